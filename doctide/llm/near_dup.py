@@ -1,11 +1,12 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
 A document's set holds its distinct word shingles, hashed to 64 bits. Documents with the same set are one node, told
-by a 64-bit sum over the set. A sketch holds a set's ``K`` smallest hashes. Two sets with a similarity of 0.75 share
-at least ``_least_shared`` sketch values: surely up to 96 shingles, above but for a chance below 1e-7. With values in
-any one order their prefixes then meet, so an inverted list for each value of the prefixes yields all candidates;
-the order puts values last that a sample of the sketches holds often, which keeps common lines and passages out of
-the lists. The sample (``HINTS`` values at most) only sets the order; results don't depend on it. Rounds then link:
+by a 64-bit sum over the set. A sketch holds a set's ``K`` smallest hashes. An inverted list for each value of the
+sketches' prefixes yields candidates. Values that a sample of the sketches holds often come last in the order, which
+keeps common lines and passages out of the lists; the sample (``HINTS`` values at most) sets only the order. A prefix
+is as long as it takes for similar sets to meet: where few values of a sketch are frequent, its ``NEAR`` smallest
+others (a pair of similarity 0.75 shares none of them with a chance below 1e-7); else, by the sketch values that
+similar sets share at least (``_least_shared``), all but so many. Rounds then link:
 
 * each list's members are paired with one of them, in a first round the smallest, in two more a random one of
   another component, so that large groups of near copies join without all pairs;
@@ -19,9 +20,11 @@ shingle make one shingle of the whole sequence. Ties and repeated rows follow th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ SHINGLE = 5
 K = 128
 #: Sketch values that similar sets of more than WHOLE shingles share at least.
 LEAST, WHOLE = 70, 96
+#: Smallest infrequent values that make a prefix where at most one in FEW sketch values is frequent.
+NEAR, FEW = 16, 8
 #: Smallest values of the union by which candidates are estimated, and how many of them both sets hold at least.
 UNION, UNION_LEAST = 64, 28
 #: Values whose frequency orders the prefixes, at most, and the share of documents they are counted on.
@@ -48,27 +53,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered for a while."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BASE = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+@lru_cache(2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
+    one = lambda x: np.multiply.accumulate(np.r_[_U(1), np.full(size - 1, x, np.uint64)])
+    return one(_U(_BASE)), one(_U(pow(_BASE, -1, 1 << 64)))
 
 
-_words = _WordHashes()
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the number of words of each text."""
+    raw = np.frombuffer(b"\n".join(texts).translate(_LOWER) + b"\n", np.uint8)
+    up, down = _powers(1 << max(16, len(raw).bit_length()))
+    solid = ~_SPACE[raw]
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    bounds = np.r_[0, edge] if solid[0] else edge
+    starts, ends = bounds[::2], bounds[1::2]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + _U(1)) * up[: len(raw)], out=total[1:])
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.r_[0, np.searchsorted(starts, text_ends)])
+    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), counts
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    split = [t.translate(_LOWER).split() for t in texts]
-    counts = np.array([len(s) for s in split], np.int64)
-    get = _words.__getitem__
-    flat = np.fromiter((get(w) for s in split for w in s), np.uint64, int(counts.sum()))
+    flat, counts = _word_hashes(texts)
     starts = np.cumsum(counts) - counts
     code = np.zeros(max(len(flat) - shingle + 1, 0), np.uint64)
     for i in range(shingle):
@@ -82,7 +96,7 @@ def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]
         elif n:
             whole = np.zeros(1, np.uint64)
             for i in range(n):
-                whole = _mix(whole + _U(i + 1)) + flat[s + i]
+                whole = _mix(whole + _U(i + 1)) + flat[s + i : s + i + 1]
             out.append(_mix(whole + _U(n)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -118,7 +132,7 @@ def _least_shared(n: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, hints: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """value, node: the prefix of every set's sketch, rare values first. ``hints``: frequent values, the most frequent last."""
+    """node, prefix: of every set's sketch. ``hints``: frequent values, the most frequent last."""
     by_value = np.argsort(hints)
     known = hints[by_value]
 
@@ -135,20 +149,37 @@ def prefixes(docs: DataFrame, hints: np.ndarray, shingle: int = SHINGLE) -> Data
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 rank = np.where(known[at] == flat, by_value[at] + 1, 0)
+            frequent = np.bincount(owner[rank > 0], minlength=len(sets))
+            long = held - np.minimum(held, _least_shared(sizes)) + 1
+            length = np.where(frequent * FEW <= held, np.minimum(long, NEAR), long)
             order = np.lexsort((flat, rank, owner))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(held) - held, held)
-            chosen = order[place < np.repeat(held - np.minimum(held, _least_shared(sizes)) + 1, held)]
-            yield from pa.table({"value": flat[chosen].view(np.int64), "node": nodes[owner[chosen]]}).combine_chunks().to_batches()
+            chosen = order[place < np.repeat(length, held)]
+            cuts = np.cumsum(np.r_[0, length]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat[chosen].view(np.int64)))
+            yield from pa.table({"node": nodes, "prefix": prefix}).combine_chunks().to_batches()
 
-    return docs.mapInArrow(run, "value long, node long")
+    return docs.mapInArrow(run, "node long, prefix array<long>")
 
 
-def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, size and sketch of node texts."""
+def _pressed(docs: DataFrame) -> DataFrame:
+    """doc_id and the text as zstandard bytes, for the road."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job = zstandard.ZstdCompressor(level=1)
         for block in blocks(batches, "text", BLOCK_BYTES):
-            sets = shingle_sets(utf8(block, "text"), shingle)
+            yield from pa.table({"doc_id": block.column("doc_id"), "text": pa.array([job.compress(t) for t in utf8(block, "text")], pa.binary())}).combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, "doc_id long, text binary")
+
+
+def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, size and sketch of nodes' compressed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job = zstandard.ZstdDecompressor()
+        for block in blocks(batches, "text", BLOCK_BYTES // 4):
+            sets = shingle_sets([job.decompress(t) for t in block.column("text").to_pylist()], shingle)
             # The sign bit is turned, so that signed order is the hashes' own.
             yield from pa.table({"node": block.column("node"), "size": pa.array([len(x) for x in sets], pa.int64()), "sketch": _arrays([x[:UNION] ^ _U(1 << 63) for x in sets])}).combine_chunks().to_batches()
 
@@ -176,12 +207,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     """Pairs whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, PAIR_ROWS):
                 part = batch.slice(at, PAIR_ROWS)
-                left, right = part.column("t_a").cast(pa.binary()).to_pylist(), part.column("t_b").cast(pa.binary()).to_pylist()
+                left, right = part.column("t_a").to_pylist(), part.column("t_b").to_pylist()
                 distinct = list(dict.fromkeys(left + right))
-                sets = dict(zip(distinct, shingle_sets(distinct, shingle), strict=True))
+                sets = dict(zip(distinct, shingle_sets([job.decompress(t) for t in distinct], shingle), strict=True))
                 good = []
                 for x, y in zip(left, right, strict=True):
                     p, q = sets[x], sets[y]
@@ -220,7 +252,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     told = materialize(measured(base, shingle), "sets")
     often = told.filter("n_shingles > 0").select("node", "sketch").dropDuplicates(["node"]).select(F.explode("sketch").alias("value")).groupBy("value").count().filter("count > 3")
     hints = [r["value"] for r in often.orderBy(F.desc("count"), "value").limit(HINTS).collect()]  # bounded, and only an order
-    rows = prefixes(base, np.array(hints[::-1], np.int64).view(np.uint64), shingle)
+    heads = materialize(prefixes(base, np.array(hints[::-1], np.int64).view(np.uint64), shingle), "prefixes")
+    rows = heads.select("node", F.explode("prefix").alias("value"))
     # Lists of two nodes or more; copies of one set are one node.
     listed = rows.groupBy("value").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("value", "hub")
     lists = materialize(rows.join(listed, "value").distinct(), "lists")
@@ -228,21 +261,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     named = lists.select("node").distinct()
     owners = told.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     wanted = materialize(owners.join(named, "node"), "owners")
-    texts = base.join(wanted, F.col("doc_id") == F.col("owner")).select("node", "text").groupBy("node").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "texts")
+    texts = _pressed(base).join(wanted, F.col("doc_id") == F.col("owner")).select("node", "text")
+    texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
     sketches = materialize(_sketched(texts, shingle), "sketches")
     links: DataFrame | None = None
     done: DataFrame | None = None
     state: DataFrame | None = None
 
-    def settle(pairs: DataFrame) -> None:
+    def settle(pairs: DataFrame, estimated: bool = False) -> None:
         nonlocal links, done, state
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
-        near = materialize(_estimated(pairs, sketches, percent), "near")
+        near = pairs if estimated else materialize(_estimated(pairs, sketches, percent), "near")
         here = materialize(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
         found = materialize(_verified(near, texts.join(here, "node", "left_semi"), percent, shingle), "links")
         if links is not None and not found.head(1):
@@ -266,10 +299,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         picked = here.groupBy("value").agg(F.max(F.struct(F.xxhash64("node", "value", F.lit(turn)), "node", "component")).alias("hub"))
         settle(here.join(picked, "value").filter("component <> hub.component").select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
     here = apart()
-    full = here.join(sketches, "node").select("value", "node", "component", "size", "sketch")
-    other = full.select("value", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
-    enough = (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & _similar_sizes("size", "nb", percent) & _union_allows("sketch", "sb", "size", "nb", percent)
-    settle(full.alias("f").join(other, (F.col("f.value") == other["value"]) & enough).select(F.col("node").alias("a"), "b"))
+    held = here.select("node").distinct()
+    first_heads = heads.join(held, "node", "left_semi").dropDuplicates(["node"])
+    full = here.join(first_heads, "node").join(sketches, "node").select("value", "node", "component", "size", "prefix", "sketch")
+    other = full.select("value", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("prefix").alias("pb"), F.col("sketch").alias("sb"))
+    # A pair is met in the list of the smallest value that both prefixes hold, and in no other.
+    once = F.array_min(F.array_intersect("prefix", "pb")) == F.col("f.value")
+    enough = (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & _similar_sizes("size", "nb", percent) & once & _union_allows("sketch", "sb", "size", "nb", percent)
+    settle(full.alias("f").join(other, (F.col("f.value") == other["value"]) & enough).select(F.col("node").alias("a"), "b"), estimated=True)
     assert state is not None
     # Back to documents: the smallest id of each set, and of each component.
     first = owners.join(state.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "owner", F.coalesce("component", "node").alias("component"))
