@@ -85,6 +85,9 @@ SPELLED = {w: str(d) for words in DIGIT_WORDS.values() for d, w in enumerate(wor
 #: So many spelled digits in a row are read as a number.
 MIN_SPELLED = 4
 
+#: Endings that make a host of words joined by plain "at" and "dot", which running text holds too.
+ENDINGS = frozenset("com org net edu gov mil int info biz io co dev app eu us uk de fr es it nl at ch be ca au in jp cn br ru pl se no dk fi example test".split())
+
 _WORDS = "|".join(sorted(map(re.escape, SPELLED), key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:(?:{_WORDS})(?:[ ,.-]+|(?!\w))|[0-9]+[ ,.-]+(?=(?:{_WORDS})(?!\w))){{{MIN_SPELLED},}}(?:[0-9]+(?!\w))?", re.I)
 _SPELLED_WORD = re.compile(rf"(?<!\w)(?:(plus)|({_WORDS}))(?!\w)", re.I)
@@ -181,7 +184,8 @@ def at_and_dot(tape: Tape) -> Tape:
         marks = [(x.start(), x.end(), "@") for x in _AT_MARK.finditer(tape.text, m.start(), m.end())][:1]
         dots = [(x.start(), x.end(), ".") for x in _DOT_MARK.finditer(tape.text, m.start(), m.end())]
         bracketed = any(c in tape.text[s:e] for s, e, _ in marks for c in "[({<")
-        if dots or bracketed or "@" in m[0]:
+        plausible = bracketed or "@" in m[0] or re.split(r"[^A-Za-z0-9-]+", m[0])[-1].lower() in ENDINGS
+        if plausible and (dots or bracketed or "@" in m[0]):
             spots = sorted(marks + dots)
             edits += [x for k, x in enumerate(spots) if not k or spots[k - 1][1] <= x[0]]
     tape = tape.rewrite(edits)
