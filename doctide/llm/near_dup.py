@@ -36,12 +36,14 @@ K = 128
 LEAST, WHOLE = 70, 96
 #: Smallest infrequent values that make a prefix where at most one in FEW sketch values is frequent.
 NEAR, FEW = 16, 8
-#: Smallest values of the union by which candidates are estimated, and how many of them both sets hold at least.
-UNION, UNION_LEAST = 64, 28
+#: Of the K smallest values of the union, how many both sets hold at least (chance below 1e-6 that similar sets hold fewer).
+UNION_LEAST = 70
 #: Values whose frequency orders the prefixes, at most, and the share of documents they are counted on.
 HINTS, HINT_SHARE = 200_000, 16
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 PAIR_ROWS = 64
+#: Bytes of the documents from which a Bloom filter pays, and of the nodes named up to which one is built.
+BLOOM = {"enabled": "true", "applicationSideScanSizeThreshold": "16m", "creationSideThreshold": "1g"}
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -110,14 +112,12 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
 
 
 def measured(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, node (a sum that tells the set) and, for a share of the nodes, the sketch."""
+    """doc_id, n_shingles, node (a sum that tells the set) and the sketch, smallest value first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
             sets = shingle_sets(utf8(block, "text"), shingle)
-            nodes = _nodes(sets)
-            shown = [x[:K] if n % HINT_SHARE == 0 else x[:0] for x, n in zip(sets, nodes.tolist(), strict=True)]
-            yield from pa.table({"doc_id": block.column("doc_id"), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "node": nodes, "sketch": _arrays(shown)}).combine_chunks().to_batches()
+            yield from pa.table({"doc_id": block.column("doc_id"), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "node": _nodes(sets), "sketch": _arrays([x[:K] for x in sets])}).combine_chunks().to_batches()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
 
@@ -131,59 +131,60 @@ def _least_shared(n: np.ndarray) -> np.ndarray:
     return np.where(n <= WHOLE, -(-n * 3 // 4), LEAST)
 
 
-def prefixes(docs: DataFrame, hints: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
-    """node, prefix: of every set's sketch. ``hints``: frequent values, the most frequent last."""
+def _high(values: np.ndarray) -> np.ndarray:
+    """The hashes' upper halves as integers of the same order."""
+    return ((values >> _U(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
+
+
+def prefixes(told: DataFrame, hints: np.ndarray) -> DataFrame:
+    """node, size, prefix and ranked: the upper halves of the whole sketch, those of the prefix first.
+
+    ``told``: n_shingles, node and sketch of filled sets. ``hints``: frequent values, the most frequent last.
+    """
     by_value = np.argsort(hints)
     known = hints[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", BLOCK_BYTES):
-            sets = [x for x in shingle_sets(utf8(block, "text"), shingle) if len(x)]
-            if not sets:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            nodes, heads = _nodes(sets), [x[:K] for x in sets]
-            sizes, held = np.array([len(x) for x in sets]), np.array([len(x) for x in heads])
-            flat = np.concatenate(heads)
-            owner = np.repeat(np.arange(len(sets)), held)
+            sketches, sizes = batch.column("sketch"), batch.column("n_shingles").to_numpy()
+            flat = sketches.flatten().to_numpy().view(np.uint64)
+            held = sketches.value_lengths().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(held)), held)
             rank = np.zeros(len(flat), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
                 rank = np.where(known[at] == flat, by_value[at] + 1, 0)
-            frequent = np.bincount(owner[rank > 0], minlength=len(sets))
+            frequent = np.bincount(owner[rank > 0], minlength=len(held))
             long = held - np.minimum(held, _least_shared(sizes)) + 1
             length = np.where(frequent * FEW <= held, np.minimum(long, NEAR), long)
             order = np.lexsort((flat, rank, owner))
             place = np.arange(len(flat)) - np.repeat(np.cumsum(held) - held, held)
             chosen = order[place < np.repeat(length, held)]
-            cuts = np.cumsum(np.r_[0, length]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat[chosen].view(np.int64)))
-            yield from pa.table({"node": nodes, "prefix": prefix}).combine_chunks().to_batches()
+            cuts = lambda n: pa.array(np.cumsum(np.r_[0, n]).astype(np.int32))
+            prefix = pa.ListArray.from_arrays(cuts(length), pa.array(flat[chosen].view(np.int64)))
+            ranked = pa.ListArray.from_arrays(cuts(held), pa.array(_high(flat[order])))
+            yield from pa.table({"node": batch.column("node"), "size": sizes, "prefix": prefix, "ranked": ranked}).combine_chunks().to_batches()
+
+    return told.select("n_shingles", "node", "sketch").mapInArrow(run, "node long, size long, prefix array<long>, ranked array<int>")
 
-    return docs.mapInArrow(run, "node long, prefix array<long>")
 
+def _pressed(named: DataFrame, shingle: int) -> DataFrame:
+    """node and the text as zstandard bytes, for the road, of rows (node, text) where the text has that set.
 
-def _pressed(docs: DataFrame) -> DataFrame:
-    """doc_id and the text as zstandard bytes, for the road."""
+    Rows that repeat an id with another text may be among them; those go.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         job = zstandard.ZstdCompressor(level=1)
         for block in blocks(batches, "text", BLOCK_BYTES):
-            yield from pa.table({"doc_id": block.column("doc_id"), "text": pa.array([job.compress(t) for t in utf8(block, "text")], pa.binary())}).combine_chunks().to_batches()
-
-    return docs.mapInArrow(run, "doc_id long, text binary")
-
-
-def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, size and sketch of nodes' compressed texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job = zstandard.ZstdDecompressor()
-        for block in blocks(batches, "text", BLOCK_BYTES // 4):
-            sets = shingle_sets([job.decompress(t) for t in block.column("text").to_pylist()], shingle)
-            # The sign bit is turned, so that signed order is the hashes' own.
-            yield from pa.table({"node": block.column("node"), "size": pa.array([len(x) for x in sets], pa.int64()), "sketch": _arrays([x[:UNION] ^ _U(1 << 63) for x in sets])}).combine_chunks().to_batches()
+            texts, nodes = utf8(block, "text"), block.column("node").to_numpy()
+            own = _nodes(shingle_sets(texts, shingle)) == nodes
+            pressed = [job.compress(t) for t, right in zip(texts, own.tolist(), strict=True) if right]
+            yield from pa.table({"node": nodes[own], "text": pa.array(pressed, pa.binary())}).combine_chunks().to_batches()
 
-    return texts.select("node", "text").mapInArrow(run, "node long, size long, sketch array<long>")
+    return named.select("node", "text").mapInArrow(run, "node long, text binary")
 
 
 def _similar_sizes(a: str, b: str, percent: int) -> Column:
@@ -192,13 +193,16 @@ def _similar_sizes(a: str, b: str, percent: int) -> Column:
 
 def _union_allows(a: str, b: str, na: str, nb: str, percent: int) -> Column:
     """Whether the smallest values of the union, of which both sets must hold a share, leave the threshold possible."""
-    bottom = F.slice(F.array_sort(F.array_union(a, b)), 1, UNION)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), bottom))
-    return F.when(F.greatest(na, nb) <= UNION, 100 * shared >= percent * F.size(F.array_union(a, b))).otherwise(shared >= UNION_LEAST)
+    both = F.array_intersect(a, b)
+    bottom = F.slice(F.sort_array(F.array_union(a, b)), 1, K)
+    # Whole sets can be told here; one more, as different hashes may have equal upper halves.
+    whole = 100 * (F.size(both) + 1) >= percent * (F.col(na) + F.col(nb) - F.size(both))
+    enough = (F.size(both) >= UNION_LEAST) & (F.size(F.array_intersect(both, bottom)) >= UNION_LEAST)
+    return F.when(F.greatest(na, nb) <= K, whole).otherwise(enough)
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    side = lambda c: sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}"), F.col("size").alias(f"n_{c}"))
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("ranked").alias(f"s_{c}"), F.col("size").alias(f"n_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.filter(_similar_sizes("n_a", "n_b", percent)).filter(_union_allows("s_a", "s_b", "n_a", "n_b", percent)).select("a", "b")
 
@@ -247,23 +251,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable) and kept."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    # Let Spark drop, by a Bloom filter of bounded size, texts that no list names before they are shuffled.
+    for key, value in BLOOM.items():
+        spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{key}", value)
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     told = materialize(measured(base, shingle), "sets")
-    often = told.filter("n_shingles > 0").select("node", "sketch").dropDuplicates(["node"]).select(F.explode("sketch").alias("value")).groupBy("value").count().filter("count > 3")
+    filled = told.filter("n_shingles > 0")
+    shown = filled.filter(F.pmod("node", F.lit(HINT_SHARE)) == 0).select("node", "sketch").dropDuplicates(["node"])
+    often = shown.select(F.explode("sketch").alias("value")).groupBy("value").count().filter("count > 3")
     hints = [r["value"] for r in often.orderBy(F.desc("count"), "value").limit(HINTS).collect()]  # bounded, and only an order
-    heads = materialize(prefixes(base, np.array(hints[::-1], np.int64).view(np.uint64), shingle), "prefixes")
+    heads = materialize(prefixes(filled, np.array(hints[::-1], np.int64).view(np.uint64)), "prefixes")
     rows = heads.select("node", F.explode("prefix").alias("value"))
     # Lists of two nodes or more; copies of one set are one node.
     listed = rows.groupBy("value").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("value", "hub")
     lists = materialize(rows.join(listed, "value").distinct(), "lists")
-    # One text for each node that any list pairs with another.
-    named = lists.select("node").distinct()
-    owners = told.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
-    wanted = materialize(owners.join(named, "node"), "owners")
-    texts = _pressed(base).join(wanted, F.col("doc_id") == F.col("owner")).select("node", "text")
-    texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-    sketches = materialize(_sketched(texts, shingle), "sketches")
+    # One sketch and one text for each node that any list pairs with another.
+    owners = filled.groupBy("node").agg(F.min("doc_id").alias("owner"), F.max("n_shingles").alias("size"))
+    wanted = materialize(owners.join(lists.select("node").distinct(), "node"), "owners").filter("size > 0")
+    sketches = heads.select("node", "size", F.slice("ranked", F.lit(1), F.size("prefix")).alias("short"), "ranked").join(wanted.select("node"), "node", "left_semi")
+    sketches = materialize(sketches.dropDuplicates(["node"]), "sketches")
+    texts = base.join(wanted.select("node", "owner", "size"), F.col("doc_id") == F.col("owner"))
+    texts = texts.select("doc_id", "node", F.xxhash64("text").alias("told"), "text").dropDuplicates(["doc_id", "node", "told"])
+    texts = materialize(_pressed(texts, shingle), "texts")
     links: DataFrame | None = None
     done: DataFrame | None = None
     state: DataFrame | None = None
@@ -299,13 +310,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         picked = here.groupBy("value").agg(F.max(F.struct(F.xxhash64("node", "value", F.lit(turn)), "node", "component")).alias("hub"))
         settle(here.join(picked, "value").filter("component <> hub.component").select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
     here = apart()
-    held = here.select("node").distinct()
-    first_heads = heads.join(held, "node", "left_semi").dropDuplicates(["node"])
-    full = here.join(first_heads, "node").join(sketches, "node").select("value", "node", "component", "size", "prefix", "sketch")
-    other = full.select("value", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("prefix").alias("pb"), F.col("sketch").alias("sb"))
+    full = here.join(sketches, "node").select("value", "node", "component", "size", "short", "ranked")
+    other = full.select("value", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("size").alias("nb"), F.col("short").alias("sb"), F.col("ranked").alias("rb"))
     # A pair is met in the list of the smallest value that both prefixes hold, and in no other.
-    once = F.array_min(F.array_intersect("prefix", "pb")) == F.col("f.value")
-    enough = (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & _similar_sizes("size", "nb", percent) & once & _union_allows("sketch", "sb", "size", "nb", percent)
+    high = F.shiftright("f.value", 32).cast("int").bitwiseXOR(F.lit(-(1 << 31)))
+    once = F.array_min(F.array_intersect("short", "sb")) == high
+    enough = (F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & _similar_sizes("size", "nb", percent) & once & _union_allows("ranked", "rb", "size", "nb", percent)
     settle(full.alias("f").join(other, (F.col("f.value") == other["value"]) & enough).select(F.col("node").alias("a"), "b"), estimated=True)
     assert state is not None
     # Back to documents: the smallest id of each set, and of each component.
@@ -313,7 +323,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     first = materialize(first, "nodes")
     smallest = first.groupBy("component").agg(F.min("owner").alias("component_id"))
     ends = materialize(first.join(smallest, "component").select(F.col("node").alias("n"), "owner", "component_id"), "ends")
-    filled = F.col("n_shingles") > 0
-    named_docs = told.join(ends, filled & (F.col("node") == F.col("n")), "left")
+    named_docs = told.select("doc_id", "n_shingles", "node").join(ends, (F.col("n_shingles") > 0) & (F.col("node") == F.col("n")), "left")
     out = named_docs.select("doc_id", "n_shingles", F.coalesce("owner", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
