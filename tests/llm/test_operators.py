@@ -173,6 +173,18 @@ def test_kneser_ney(spark, docs, empty, labels):
     assert kneser_ney.classify(empty, labels).count() == 0 and kneser_ney.classify(frame, marks.limit(0)).filter("kept").count() == 65
 
 
+def test_kneser_ney_rejects_junk_near_clean_text(spark):
+    """Text with some strange words lies above the trusted quantile though far below noise; unseen and very short clean texts stay."""
+    rng = random.Random(4)
+    made = [(i, sentence(rng, 60), "en") for i in range(240)] + [(500 + i, w.capitalize() + ".", "en") for i, w in enumerate(WORDS[2:6])]
+    made += [(1000 + i, " ".join("Thsh" if rng.random() < 0.1 else rng.choice(WORDS) for _ in range(60)), "en") for i in range(20)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(160)], LABELS)
+    kept = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(frame, marks).collect()}
+    assert sum(not kept[i] for i in kept if i >= 1000) >= 18
+    assert sum(kept[i] for i in range(160, 240)) >= 76 and all(kept[i] for i in range(500, 504))
+
+
 def test_kneser_ney_sums_to_one(spark):
     frame = spark.createDataFrame([(1, "abab abba baba ab", "en")], "doc_id long, text string, lang string")
     model = kneser_ney.Model(kneser_ney.count_grams(frame))
