@@ -3,7 +3,8 @@
 Plain matches of four kinds are found in the text itself. Then a cascade of small transducers normalises disguises -
 homoglyphs and full-width forms, spelled-out digits, ``at`` and ``dot`` words and brackets - and keeps for every
 normalised character the span of source characters it came from. The same kinds are looked for in the normalised
-text and mapped back; spans that overlap a plain one of any kind are left out, so plain matches always stay.
+text and mapped back; spans that overlap a plain one of any kind are left out, so plain matches always stay. Plain at
+and dot words make an address before a known top-level domain only; "us at example.com" then is one, too.
 Spans are code points, end exclusive. Null text counts as empty and has none.
 """
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import blocks, bound_batches
+from .endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 BLOCK_BYTES = 4 << 20
@@ -82,24 +84,29 @@ DIGIT_WORDS = {
     "fr": ["zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"], "es": ["cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"],
 }
 SPELLED = {w: str(d) for words in DIGIT_WORDS.values() for d, w in enumerate(words)} | {"oh": "0"}
-#: So many spelled digits in a row are read as a number.
-MIN_SPELLED = 4
-
-#: Endings that make a host of words joined by plain "at" and "dot", which running text holds too.
-ENDINGS = frozenset("com org net edu gov mil int info biz io co dev app eu us uk de fr es it nl at ch be ca au in jp cn br ru pl se no dk fi example test".split())
-
-_WORDS = "|".join(sorted(map(re.escape, SPELLED), key=len, reverse=True))
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:(?:{_WORDS})(?:[ ,.-]+|(?!\w))|[0-9]+[ ,.-]+(?=(?:{_WORDS})(?!\w))){{{MIN_SPELLED},}}(?:[0-9]+(?!\w))?", re.I)
-_SPELLED_WORD = re.compile(rf"(?<!\w)(?:(plus)|({_WORDS}))(?!\w)", re.I)
 _NAME = r"[A-Za-z0-9_%+-]"
 _AT = r"(?:\s*[\[({<]\s*(?:at|@|arobase|arroba)\s*[\])}>]\s*|\s+(?:at|AT|At|arobase|arroba)\s+|\s*@\s*|_at_|-at-)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*|\s+(?:dot|DOT|Dot|point|punkt|punto)\s+|_dot_|-dot-)"
-_SPACED_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}+(?:(?:{_DOT}|\.){_NAME}+)*{_AT}[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+")
-_AT_MARK, _DOT_MARK = re.compile(_AT), re.compile(_DOT)
+_SPACED_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}+(?:(?:{_DOT}|\.){_NAME}+)*{_AT}[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+", re.I)
+_AT_MARK, _DOT_MARK = re.compile(_AT, re.I), re.compile(_DOT, re.I)
 _DISGUISED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_WORDS = "|".join(sorted(map(re.escape, SPELLED), key=len, reverse=True))
+_UNITS = re.compile(rf"(?<!\w)(?:(plus)|{_WORDS}|[0-9]+)(?![^\W_])", re.I)
+_UNIT = rf"(?:(?:{_WORDS})(?![^\W_])|[0-9]+(?![^\W_]))"
+
+
+def _run(gap: str) -> re.Pattern[str]:
+    return re.compile(rf"(?<!\w)(?:plus[ -]+(?={_UNIT}))?{_UNIT}(?:(?:{_DOT}|{gap}){_UNIT})+", re.I)
+
+
+#: Spelled digits beside digits, spelled digits or dot marks. The first ends at a sentence, the second goes on; the test of each kind decides.
+_SPELLED_RUNS = (_run(r"(?!\.\s+(?-i:[A-Z]))[ ,.()-]+"), _run("[ ,.()-]+"))
 _FAR_GLYPH = re.compile("[^\x00-\u017f]|[\u00a0\u00ad]")
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arobase|arroba|point|punkt|punto)\s*[\])}>]", re.I)
-_APART = str.maketrans(",.-", "   ")
+#: Words for "at" before a host with a literal dot, and words for "dot" that stand apart.
+_AT_HOST = re.compile(r"at[\s_-]+[a-z0-9-]+\.[a-z0-9]")
+_DOT_WORD = re.compile(r"[\s_-](?:dot|point|punkt|punto)[\s_-]")
+_APART = str.maketrans(dict.fromkeys(",.-()[]{}<>_+", " "))
 #: An everyday word in running text; it alone doesn't hint at spelled digits.
 _COMMON = frozenset({"un"})
 
@@ -107,7 +114,9 @@ _COMMON = frozenset({"un"})
 def hinted(text: str) -> bool:
     """Whether a disguise can begin anywhere; cheap, for the many texts that have none."""
     low = text.lower()
-    if any(w in low for w in (" dot ", "_dot_", "-dot-", "[dot", "(dot", " point ", " punkt ", " punto ")):
+    if any(w in low for w in ("dot", "point", "punkt", "punto")) and _DOT_WORD.search(low):
+        return True
+    if "arobase" in low or "arroba" in low or _AT_HOST.search(low):
         return True
     if "@" in text and re.search(r"\s@|@\s", text):
         return True
@@ -166,26 +175,41 @@ def glyphs(tape: Tape) -> Tape:
     return tape.rewrite([(i, i + 1, new) for i, c in enumerate(tape.text) if c > "\x7f" and (new := _look_alike(c)) is not None])
 
 
-def spelled_digits(tape: Tape) -> Tape:
+def spelled_digits(tape: Tape, runs: re.Pattern[str] = _SPELLED_RUNS[0]) -> Tape:
     edits = []
-    for run in _SPELLED_RUN.finditer(tape.text):
-        at = None
-        for m in _SPELLED_WORD.finditer(tape.text, run.start(), run.end()):
-            if at is not None and tape.text[at : m.start()].strip(" ,.-") == "" and at < m.start():
-                edits.append((at, m.start(), ""))
-            edits.append((m.start(), m.end(), "+" if m[1] else SPELLED[m[2].lower()]))
-            at = m.end()
+    for run in runs.finditer(tape.text):
+        units = list(_UNITS.finditer(tape.text, run.start(), run.end()))
+        gaps = [(a.end(), b.start(), tape.text[a.end() : b.start()]) for a, b in zip(units, units[1:], strict=False)]
+        dotted = sum(g.strip() == "." for _, _, g in gaps) == 3
+        octets = dotted or sum(_DOT_MARK.fullmatch(g) is not None for _, _, g in gaps) == 3
+        for k, m in enumerate(units):
+            spelled = not m[0].isdecimal()
+            if spelled:
+                edits.append((m.start(), m.end(), "+" if m[1] else SPELLED[m[0].lower()]))
+            if k < len(gaps):
+                s, e, g = gaps[k]
+                both = (spelled and not units[k + 1][0].isdecimal()) or (octets and spelled != (not units[k + 1][0].isdecimal()))
+                if dotted and g.strip() == ".":
+                    edits.append((s, e, "."))
+                elif s < e and both and not g.strip(" ,.()-"):
+                    edits.append((s, e, ""))
     return tape.rewrite(edits)
 
 
+def _said(mail: str, at: str, dots: bool) -> bool:
+    """Whether words joined by a plain at word are an address: the host has a known ending that isn't a sentence's first word."""
+    if any(c in at for c in "[({<@"):
+        return True
+    *_, before, last = re.split(r"[^A-Za-z0-9-]+", mail)
+    return last.lower() in ENDINGS and (dots or not (last.istitle() and before[:1].islower()))
+
+
 def at_and_dot(tape: Tape) -> Tape:
     edits = []
     for m in _SPACED_MAIL.finditer(tape.text):
         marks = [(x.start(), x.end(), "@") for x in _AT_MARK.finditer(tape.text, m.start(), m.end())][:1]
         dots = [(x.start(), x.end(), ".") for x in _DOT_MARK.finditer(tape.text, m.start(), m.end())]
-        bracketed = any(c in tape.text[s:e] for s, e, _ in marks for c in "[({<")
-        plausible = bracketed or "@" in m[0] or re.split(r"[^A-Za-z0-9-]+", m[0])[-1].lower() in ENDINGS
-        if plausible and (dots or bracketed or "@" in m[0]):
+        if "@" in m[0] or all(_said(m[0], tape.text[s:e], bool(dots)) for s, e, _ in marks):
             spots = sorted(marks + dots)
             edits += [x for k, x in enumerate(spots) if not k or spots[k - 1][1] <= x[0]]
     tape = tape.rewrite(edits)
@@ -195,26 +219,33 @@ def at_and_dot(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
-TRANSDUCERS = (glyphs, spelled_digits, at_and_dot)
+#: Cascades, the widest reading first: what one joins wrongly, for example digits and a word after them, the next ones find.
+CASCADES = (
+    (glyphs, spelled_digits, at_and_dot),
+    (glyphs, lambda tape: spelled_digits(tape, _SPELLED_RUNS[1]), at_and_dot),
+    (glyphs, at_and_dot),
+)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows."""
     if not hinted(text):
         return []
-    tape = Tape(text, range(len(text)), range(1, len(text) + 1))
-    for step in TRANSDUCERS:
-        tape = step(tape)
-    if tape.text == text:
-        return []
     taken = sorted((s, e) for _, s, e in base)
-    out = []
-    for kind, s, e in plain(tape.text):
-        start, end = tape.starts[s], tape.ends[e - 1]
-        if end - start != e - s or text[start:end] != tape.text[s:e]:
-            if not any(a < end and start < b for a, b in taken):
-                out.append((kind, start, end))
-                taken.append((start, end))
+    out, seen = [], {text}
+    for cascade in CASCADES:
+        tape = Tape(text, range(len(text)), range(1, len(text) + 1))
+        for step in cascade:
+            tape = step(tape)
+        if tape.text in seen:
+            continue
+        seen.add(tape.text)
+        for kind, s, e in plain(tape.text):
+            start, end = tape.starts[s], tape.ends[e - 1]
+            if end - start != e - s or text[start:end] != tape.text[s:e]:
+                if not any(a < end and start < b for a, b in taken):
+                    out.append((kind, start, end))
+                    taken.append((start, end))
     return out
 
 

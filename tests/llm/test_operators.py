@@ -210,6 +210,28 @@ def test_pii_disguises(text, kind, said):
     assert [(k, text[s:e]) for k, s, e in pii.disguised(text, pii.plain(text))] == [(kind, said)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "said"),
+    [
+        ("write john at example.com today", "email", "john at example.com"),
+        ("jean arobase exemple.fr", "email", "jean arobase exemple.fr"),
+        ("jane dot roe at mail dot ie", "email", "jane dot roe at mail dot ie"),
+        ("pedro arroba correo punto mx", "email", "pedro arroba correo punto mx"),
+        ("host one nine two dot one six eight dot one dot one. Two more", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host 10 dot 0 dot 0 dot one", "ip", "10 dot 0 dot 0 dot one"),
+        ("call +49 30 five five 12 34 56 ok", "phone", "+49 30 five five 12 34 56"),
+        ("card ４１１１ 1111 1111 1111 five people", "card", "４１１１ 1111 1111 1111"),
+    ],
+)
+def test_pii_at_words_short_spelled_runs_and_endings(text, kind, said):
+    assert [(k, text[s:e]) for k, s, e in pii.disguised(text, pii.plain(text))] == [(kind, said)]
+
+
+def test_pii_leaves_prose_with_at_words_and_digits():
+    for text in ["We met at home.It was late", "one two three", "She looked at the dot on page 12", "at noon. Then one of two"]:
+        assert pii.disguised(text, pii.plain(text)) == []
+
+
 def test_pii_plain_matches_the_patterns(spark, docs):
     mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for text in ["a@b.co x@y.zz@k.ll a@@b.c", ".@-.-", "q@w e@r.t", "@a.b", "1.2.3.4 300.1.1.1 1.2.3", "4111 1111 1111 1111 +1 (555) 010-9999"]:
