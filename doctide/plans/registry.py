@@ -196,7 +196,11 @@ def as_of_state(spark, sf_dir):
 
 @_query("SELECT doc_id, len(string_split(text, ' ')) AS n, true AS same FROM documents")
 def array_delta_roundtrip(spark, sf_dir):
-    words = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("old")).withColumn("new", F.slice(F.reverse("old"), 1, 40))
+    """Every seventh word is replaced; by the id, a word is appended, five are cut at the end, or neither."""
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("old"))
+    edited = words.withColumn("edited", F.transform("old", lambda w, i: F.when(i % 7 == 3, F.concat(w, F.lit("*"))).otherwise(w)))
+    longer, shorter = F.concat("edited", F.array(F.lit("added"))), F.slice("edited", F.lit(1), F.greatest(F.size("edited") - 5, F.lit(0)))
+    words = edited.withColumn("new", F.when(F.col("doc_id") % 3 == 0, longer).when(F.col("doc_id") % 3 == 1, shorter).otherwise(F.col("edited")))
     back = words.withColumn("back", history.apply_array_delta(F.col("new"), history.array_delta(F.col("old"), F.col("new"))))
     return back.select("doc_id", F.size("back").cast("long").alias("n"), F.col("back").eqNullSafe(F.col("old")).alias("same"))
 

@@ -40,6 +40,14 @@ def test_oracle(spark, duck, name):
     assert key(ours) == key(theirs)
 
 
+def test_array_delta_spans_whole_texts(spark, monkeypatch):
+    """With the rebuilt array replaced by its unchanged elements, the query's n counts those: most words of any text."""
+    monkeypatch.setattr(history, "apply_array_delta", lambda new, delta: F.transform(F.filter(delta, lambda d: d["same"]), lambda d: F.lit("same")))
+    same = {r["doc_id"]: r["n"] for r in registry.QUERIES["array_delta_roundtrip"](spark, SF).collect()}
+    words = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.size(F.split("text", " ")).alias("n")).filter("n > 80").collect()
+    assert words and all(0.7 * r["n"] < same[r["doc_id"]] < r["n"] for r in words)
+
+
 DOC = (
     T.StructType().add("testid", "long").add("testresult", "string").add("testmileage", "long")
     .add("vehicle", T.StructType().add("make", "string").add("model", "string")).add("items", T.ArrayType(T.StringType()))
