@@ -17,26 +17,52 @@ BATCH_ROWS, BATCH_BYTES = 512, "8m"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Keep the session's Arrow batches small enough for texts of any length; smaller bounds that the user has set stay.
+
+    The bounds hold for the session from then on, since Spark reads them when the returned frame runs.
+    """
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only a local session that names none gets a temporary one."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="doctide-")
         spark.sparkContext.setCheckpointDir(set_to)
     return set_to.rstrip("/")
 
 
+class Scratch:
+    """Tables of one job in the shared folder: they cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/doctide-{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        """Delete tables that nothing reads any more."""
+        for frame in frames:
+            if (path := self.paths.pop(id(frame), None)) is not None:
+                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of it: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/doctide-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and return a reader of it."""
+    return Scratch(df.sparkSession).write(df, label)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
