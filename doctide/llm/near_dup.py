@@ -300,7 +300,10 @@ def _shown(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def full_prefixes(texts: DataFrame, hints: np.ndarray, percent: int, shingle: int) -> DataFrame:
-    """value, node, component, size and place: of each full set, rarest values first, as many as a similar set must meet one of."""
+    """value, node, component, size and place: of each full set, rarest values first, as many as a similar set must meet one of.
+
+    Sets with few frequent values take their NEAR smallest others, as sketches do.
+    """
     by_value = np.argsort(hints)
     known = hints[by_value]
 
@@ -309,8 +312,11 @@ def full_prefixes(texts: DataFrame, hints: np.ndarray, percent: int, shingle: in
         for batch in batches:
             sets = shingle_sets([job.decompress(t) for t in batch.column("text").to_pylist()], shingle)
             for x, node, component in zip(sets, batch.column("node").to_pylist(), batch.column("component").to_pylist(), strict=True):
+                rank = _ranked(x, known, by_value)
                 length = len(x) + 1 - -(-len(x) * percent // 100)
-                first = x[np.lexsort((x, _ranked(x, known, by_value)))[:length]].view(np.int64)
+                if np.count_nonzero(rank) * FEW <= len(x):
+                    length = min(length, NEAR)
+                first = x[np.lexsort((x, rank))[:length]].view(np.int64)
                 same = lambda v: pa.array(np.full(len(first), v, np.int64))  # noqa: E731, B023
                 yield from pa.table({"value": first, "node": same(node), "component": same(component), "size": same(len(x)), "place": np.arange(len(first))}).to_batches(max_chunksize=1 << 16)
 
@@ -386,6 +392,9 @@ def _link(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: in
     filled = told.filter("n_shingles > 0")
     shown = filled.filter(F.pmod("node", F.lit(HINT_SHARE)) == 0).select("node", "sketch").dropDuplicates(["node"])
     heads = scratch.write(prefixes(filled, _top_values(shown.select(F.explode("sketch").alias("value")))), "prefixes")
+    ids = scratch.write(told.drop("sketch"), "ids")
+    scratch.drop(told)
+    filled = ids.filter("n_shingles > 0")
     rows = heads.select("node", F.explode("prefix").alias("value"))
     # Lists of two nodes or more; copies of one set are one node.
     listed = rows.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low < top").select("value")
@@ -460,7 +469,7 @@ def _link(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: in
     ends = scratch.write(known.join(smallest, "component").select(F.col("node").alias("n"), "owner", "component_id", "first_node"), "ends")
     # A set with very many copies is dealt out to several tasks.
     sides = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = told.select("doc_id", "told", "n_shingles", "node", F.pmod(F.xxhash64("doc_id", "told"), F.lit(SALTS)).cast("int").alias("salt"))
+    dealt = ids.select("doc_id", "told", "n_shingles", "node", F.pmod(F.xxhash64("doc_id", "told"), F.lit(SALTS)).cast("int").alias("salt"))
     out = dealt.join(sides, (F.col("n_shingles") > 0) & (F.col("node") == F.col("n")) & (F.col("salt") == F.col("part")), "left")
     by_end = lambda c: F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col(c))
     out = out.select("doc_id", F.col("told").alias("text_hash"), "n_shingles", by_end("owner").alias("class_id"), by_end("component_id").alias("component_id"), F.coalesce(F.col("node") == F.col("first_node"), F.lit(True)).alias("own"))
