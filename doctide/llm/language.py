@@ -1,10 +1,16 @@
 """Language by compression: the raw-content dictionary that makes a text smallest names its language.
 
-Dictionaries hold text of a bounded sample of labelled documents (``SAMPLE_DOCS`` a language, each no longer than
-``SAMPLE_CHARS``), in lower case. Every whole text, lower-cased, is compressed once with each dictionary. The margin is how much smaller the best
-result is than the next; ``accepted`` is false where it is narrower than ``MIN_MARGIN`` or nothing could be learned.
+Dictionaries hold text of a bounded sample of labelled documents: for each language, in the order of a hash of the id
+with documents of up to ``SHORT`` characters first, as many as fill ``DICTIONARY_BYTES``, in lower case. Every language
+that a labelled text has is learned, however many there are and however long their texts. Every whole text,
+lower-cased, is compressed once with each dictionary. The margin is how much smaller the best result is than the next;
+``accepted`` is false where it is narrower than ``MIN_MARGIN`` or nothing could be learned.
+
 A text that is null or has no letter is ``und`` with score 0 and not accepted; so is every text when no labelled row
-exists. Ties go to the language that comes first by code point.
+exists. Ties go to the language that comes first by code point. Rows without text or language aren't learned from, and
+empty texts name no language. Repeated rows are learned from as often as they come and give equal predictions; an empty
+table gives no rows. Only the named columns are read; those of ``keep`` may not be called lang_pred, score, margin or
+accepted.
 """
 
 from __future__ import annotations
@@ -19,27 +25,30 @@ from pyspark.sql import functions as F
 
 from .common import blocks, bound_batches
 
-SAMPLE_DOCS, SAMPLE_CHARS = 200, 8_000
-DICTIONARY_BYTES = 110 << 10
+#: Bytes of a dictionary, which bounds the sample of each language; at most ROWS rows of one go into it.
+DICTIONARY_BYTES, ROWS = 110 << 10, 400
+#: Longer documents are learned from only where shorter ones don't fill the dictionary.
+SHORT = 8_000
 LEVEL = 6
 MIN_MARGIN = 0.02
-#: Languages that can be learned; the commonest are, and no more than these.
-MAX_LANGUAGES = 200
 BLOCK_BYTES = 4 << 20
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
     """Dictionary bytes by language, from a bounded sample that a hash of the id picks."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("pick")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.filter(F.length("text") <= SAMPLE_CHARS).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {}
-    # A share of each language's rows that holds about twice the sample; then the exact first rows by hash.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * SAMPLE_DOCS + 50) / r["count"]))])
-    near = rows.filter((F.length("text") <= SAMPLE_CHARS) & ((F.pmod("pick", F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")]))
-    first = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text"))).filter(F.col("n") <= SAMPLE_DOCS)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("pick")).filter("lang IS NOT NULL AND length(text) > 0")
+    rows = rows.withColumn("long", F.length("text") > SHORT)
+    counts = rows.groupBy("lang", "long").agg(F.count("*").alias("n"))
+    # A share of each language's rows that holds about twice the sample, by the hash, before any of them meet.
+    share = counts.select(F.col("lang").alias("of"), F.col("long").alias("of_long"), F.least(F.lit(1.0), (2 * ROWS + 50) / F.col("n")).alias("share"))
+    near = rows.join(share, (F.col("lang") == F.col("of")) & (F.col("long") == F.col("of_long"))).filter(F.pmod("pick", F.lit(1 << 30)) / (1 << 30) < F.col("share"))
+    # No more of a text's end than a dictionary can hold travels on.
+    near = near.select("lang", "long", "pick", F.substring("text", -DICTIONARY_BYTES, DICTIONARY_BYTES).alias("text"))
+    order = Window.partitionBy("lang").orderBy("long", "pick", "text")
+    before = F.sum(F.octet_length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= ROWS).withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < DICTIONARY_BYTES)
     held: dict[str, list[str]] = {}
-    for r in first.orderBy("lang", "n").select("lang", "text").collect():  # at most SAMPLE_DOCS * MAX_LANGUAGES short rows
+    for r in first.orderBy("lang", "n").select("lang", "text").toLocalIterator():  # about DICTIONARY_BYTES a language
         held.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(reversed(texts)).lower().encode()[-DICTIONARY_BYTES:] for lang, texts in sorted(held.items())}
 

@@ -5,7 +5,12 @@ homoglyphs and full-width forms, spelled-out digits, ``at`` and ``dot`` words an
 normalised character the span of source characters it came from. The same kinds are looked for in the normalised
 text and mapped back; spans that overlap a plain one of any kind are left out, so plain matches always stay. Plain at
 and dot words make an address before a known top-level domain only; "us at example.com" then is one, too.
-Spans are code points, end exclusive. Null text counts as empty and has none.
+Spans are code points, end exclusive.
+
+Null text counts as empty and has none; an empty table gives no rows. Very long texts are read whole: every pattern is
+linear in the text, and what a transducer keeps grows with its edits only. Ties (two readings of one place) go to the
+plain match, then to the earlier cascade, then to the earlier kind. Repeated rows give equal rows. Columns of other
+names than ``keep`` and the text column are not read, so they can't clash; ``keep`` may not name a result column.
 """
 
 from __future__ import annotations
@@ -13,8 +18,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +33,9 @@ BLOCK_BYTES = 4 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+# A run of digits is read from its start only; from a later digit it could match nothing else.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 Span = tuple[str, int, int]
@@ -84,11 +91,13 @@ DIGIT_WORDS = {
     "fr": ["zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"], "es": ["cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"],
 }
 SPELLED = {w: str(d) for words in DIGIT_WORDS.values() for d, w in enumerate(words)} | {"oh": "0"}
-_NAME = r"[A-Za-z0-9_%+-]"
-_AT = r"(?:\s*[\[({<]\s*(?:at|@|arobase|arroba)\s*[\])}>]\s*|\s+(?:at|AT|At|arobase|arroba)\s+|\s*@\s*|_at_|-at-)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*|\s+(?:dot|DOT|Dot|point|punkt|punto)\s+|_dot_|-dot-)"
-_SPACED_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}+(?:(?:{_DOT}|\.){_NAME}+)*{_AT}[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+", re.I)
-_AT_MARK, _DOT_MARK = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+# White space before a mark is read from its start only, and never given back.
+_IN = r"(?:(?<!\s)\s*+[\[({<]|[\[({<])\s*+"
+_AT = rf"(?:{_IN}(?:at|@|arobase|arroba)\s*+[\])}}>]\s*+|(?<!\s)\s++(?:at|arobase|arroba)\s++|(?:(?<!\s)\s*+@|@)\s*+|_at_|-at-)"
+_DOT = rf"(?:{_IN}(?:dot|\.|point|punkt|punto)\s*+[\])}}>]\s*+|(?<!\s)\s++(?:dot|point|punkt|punto)\s++|_dot_|-dot-)"
+_MARK = re.compile(rf"(?P<at>{_AT})|{_DOT}", re.I)
+_DOT_MARK = re.compile(_DOT, re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 _DISGUISED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _WORDS = "|".join(sorted(map(re.escape, SPELLED), key=len, reverse=True))
 _UNITS = re.compile(rf"(?<!\w)(?:(plus)|{_WORDS}|[0-9]+)(?![^\W_])", re.I)
@@ -101,56 +110,82 @@ def _run(gap: str) -> re.Pattern[str]:
 
 #: Spelled digits beside digits, spelled digits or dot marks. The first ends at a sentence, the second goes on; the test of each kind decides.
 _SPELLED_RUNS = (_run(r"(?!\.\s+(?-i:[A-Z]))[ ,.()-]+"), _run("[ ,.()-]+"))
-_FAR_GLYPH = re.compile("[^\x00-\u017f]|[\u00a0\u00ad]")
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|arobase|arroba|point|punkt|punto)\s*[\])}>]", re.I)
-#: Words for "at" before a host with a literal dot, and words for "dot" that stand apart.
-_AT_HOST = re.compile(r"at[\s_-]+[a-z0-9-]+\.[a-z0-9]")
-_DOT_WORD = re.compile(r"[\s_-](?:dot|point|punkt|punto)[\s_-]")
-_APART = str.maketrans(dict.fromkeys(",.-()[]{}<>_+", " "))
-#: An everyday word in running text; it alone doesn't hint at spelled digits.
-_COMMON = frozenset({"un"})
+_MARK_WORDS = ("dot", "point", "punkt", "punto", "arobase", "arroba")
+#: Whatever may hold an at mark before a host with a literal dot, in small letters.
+_AT_HOST = re.compile(r"(?:at|arobase|arroba|@)(?=[\])}>\s_-])[\])}>\s_]*+[a-z0-9-]*+\.[a-z0-9-]|[\s\[({<]@[a-z0-9-]++\.[a-z0-9-]")
+_APART = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
+_SAID = frozenset(SPELLED) | {"plus"}
+
+
+@lru_cache(256)
+def _pair(words: frozenset[str]) -> re.Pattern[str]:
+    """Two units side by side, at least one of them among ``words``; without such a pair, only dot marks make runs."""
+    any_of = f"(?:{'|'.join(sorted(map(re.escape, words), key=len, reverse=True))})(?![^\\W_])"
+    return re.compile(rf"{any_of}[ ,.()-]+(?:[0-9]|{any_of})|[0-9][ ,.()-]+{any_of}", re.I)
 
 
 def hinted(text: str) -> bool:
-    """Whether a disguise can begin anywhere; cheap, for the many texts that have none."""
-    low = text.lower()
-    if any(w in low for w in ("dot", "point", "punkt", "punto")) and _DOT_WORD.search(low):
-        return True
-    if "arobase" in low or "arroba" in low or _AT_HOST.search(low):
+    """Whether any transducer could change anything: a glyph to replace, a digit word, a dot mark, or an at mark before a host."""
+    low, apart = text.lower(), _APART
+    if not text.isascii():
+        far = [c for c in set(text) if c > "\x7f"]
+        if any(_look_alike(c) is not None for c in far):
+            return True
+        if any(not c.isalnum() for c in far):
+            apart = {k: _APART[k] for k in range(128)} | {ord(c): " " for c in far if not c.isalnum()}
+    said = _SAID.intersection(low.translate(apart).split())
+    if said and _pair(said).search(text):
         return True
-    if "@" in text and re.search(r"\s@|@\s", text):
+    bracketed = any(c in text for c in "[({<")
+    if (bracketed or any(w in low for w in _MARK_WORDS)) and _DOT_MARK.search(text):
         return True
-    if any(c in text for c in "[({<") and _BRACKETED.search(text):
-        return True
-    if not (SPELLED.keys() - _COMMON).isdisjoint(low.translate(_APART).split()):
-        return True
-    return not text.isascii() and _FAR_GLYPH.search(text) is not None
+    return _AT_HOST.search(low) is not None
 
 
 class Tape:
-    """A text with the source span of each character."""
+    """A text and its edits, each with its place here and in the source; elsewhere places only shift."""
+
+    def __init__(self, text: str, edits: list[tuple[int, int, int, int]] | None = None) -> None:
+        self.text, self.edits = text, edits or []
+        self.places = [x[0] for x in self.edits]
 
-    def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range) -> None:
-        self.text, self.starts, self.ends = text, starts, ends
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The source span of a range of characters."""
+        return self._of(start)[0], self._of(end - 1)[1]
+
+    def _of(self, at: int) -> tuple[int, int]:
+        k = bisect_right(self.places, at) - 1
+        if k < 0:
+            return at, at + 1
+        _, end, s, e = self.edits[k]
+        return (s, e) if at < end else (at + e - end, at + e - end + 1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
         """Replace ranges, in order and not overlapping; each new character stands for its whole range."""
         if not edits:
             return self
-        text, starts, ends, at = [], [], [], 0
+        text: list[str] = []
+        out: list[tuple[int, int, int, int]] = []
+        at, k, shift = 0, 0, 0
+        old = self.edits
         for s, e, new in edits:
-            text.append(self.text[at:s])
-            starts.extend(self.starts[at:s])
-            ends.extend(self.ends[at:s])
-            if new:
-                text.append(new)
-                starts.extend([self.starts[s]] * len(new))
-                ends.extend([self.ends[e - 1]] * len(new))
+            text += [self.text[at:s], new]
             at = e
-        text.append(self.text[at:])
-        starts.extend(self.starts[at:])
-        ends.extend(self.ends[at:])
-        return Tape("".join(text), starts, ends)
+            while k < len(old) and old[k][1] <= s:
+                out.append((old[k][0] + shift, old[k][1] + shift, *old[k][2:]))
+                k += 1
+            if k < len(old) and old[k][0] < s:  # an older edit that this one cuts: its first part stays
+                out.append((old[k][0] + shift, s + shift, *old[k][2:]))
+            start, end = self.source(s, e)
+            out.append((s + shift, s + shift + len(new), start, end))
+            shift += len(new) - (e - s)
+            while k < len(old) and old[k][1] <= e:
+                k += 1
+            if k < len(old) and old[k][0] < e:  # and its last part
+                out.append((e + shift, old[k][1] + shift, *old[k][2:]))
+                k += 1
+        out += [(a + shift, b + shift, c, d) for a, b, c, d in old[k:]]
+        return Tape("".join([*text, self.text[at:]]), out)
 
 
 @cache
@@ -172,7 +207,11 @@ def _look_alike(c: str) -> str | None:
 def glyphs(tape: Tape) -> Tape:
     if tape.text.isascii():
         return tape
-    return tape.rewrite([(i, i + 1, new) for i, c in enumerate(tape.text) if c > "\x7f" and (new := _look_alike(c)) is not None])
+    new = {c: x for c in set(tape.text) if c > "\x7f" and (x := _look_alike(c)) is not None}
+    longer = "".join(c for c, x in new.items() if len(x) != 1)
+    if longer:
+        tape = tape.rewrite([(m.start(), m.end(), new[m[0]]) for m in re.finditer(f"[{re.escape(longer)}]", tape.text)])
+    return Tape(tape.text.translate({ord(c): x for c, x in new.items() if len(x) == 1}), tape.edits)
 
 
 def spelled_digits(tape: Tape, runs: re.Pattern[str] = _SPELLED_RUNS[0]) -> Tape:
@@ -196,22 +235,65 @@ def spelled_digits(tape: Tape, runs: re.Pattern[str] = _SPELLED_RUNS[0]) -> Tape
     return tape.rewrite(edits)
 
 
-def _said(mail: str, at: str, dots: bool) -> bool:
+def _said(labels: list[str], at: str, dots: bool) -> bool:
     """Whether words joined by a plain at word are an address: the host has a known ending that isn't a sentence's first word."""
     if any(c in at for c in "[({<@"):
         return True
-    *_, before, last = re.split(r"[^A-Za-z0-9-]+", mail)
+    before, last = labels[-2:]
     return last.lower() in ENDINGS and (dots or not (last.istitle() and before[:1].islower()))
 
 
+def _tail(text: str, low: int, high: int) -> int:
+    """Where the characters of a local part that end at ``high`` begin."""
+    at = high
+    while at > low and text[at - 1] in _LOCAL:
+        at -= 1
+    while at < high and text[at] == ".":
+        at += 1
+    return at
+
+
 def at_and_dot(tape: Tape) -> Tape:
-    edits = []
-    for m in _SPACED_MAIL.finditer(tape.text):
-        marks = [(x.start(), x.end(), "@") for x in _AT_MARK.finditer(tape.text, m.start(), m.end())][:1]
-        dots = [(x.start(), x.end(), ".") for x in _DOT_MARK.finditer(tape.text, m.start(), m.end())]
-        if "@" in m[0] or all(_said(m[0], tape.text[s:e], bool(dots)) for s, e, _ in marks):
-            spots = sorted(marks + dots)
-            edits += [x for k, x in enumerate(spots) if not k or spots[k - 1][1] <= x[0]]
+    """At and dot marks of addresses: names and dot marks to the left of an at mark, host labels with at least one dot to its right."""
+    text = tape.text
+    marks = [(m.start(), m.end(), m["at"] is not None) for m in _MARK.finditer(text)]
+    edits: list[tuple[int, int, str]] = []
+    done = 0
+    for k, (s, e, is_at) in enumerate(marks):
+        if not is_at or s < done:
+            continue
+        first, low = k, max(done, marks[k - 1][1] if k else 0)
+        start = _tail(text, low, s)
+        if start == s or text[s - 1] == ".":
+            continue
+        while start == low and first and not marks[first - 1][2] and marks[first - 1][0] >= done:
+            # The whole stretch back to a dot mark is a name, so what stands before the mark belongs to it.
+            before = max(done, marks[first - 2][1] if first > 1 else 0)
+            high = marks[first - 1][0]
+            further = _tail(text, before, high)
+            if further == high or text[high - 1] == ".":
+                break
+            first, low, start = first - 1, before, further
+        last, end = k, 0
+        labels: list[str] = []
+        while True:
+            stop = marks[last + 1][0] if last + 1 < len(marks) else len(text)
+            m = _HOST.match(text, marks[last][1], stop)
+            if not m:
+                break
+            end = m.end()
+            labels += m[0].split(".")
+            if end < stop or last + 1 == len(marks) or marks[last + 1][2]:
+                break
+            last += 1
+        if end <= marks[last][1]:
+            last -= 1
+        if len(labels) < 2:
+            continue
+        words = marks[first:k] + marks[k + 1 : last + 1]
+        if _said(labels, text[s:e], bool(words)):
+            edits += [(a, b, "@" if at else ".") for a, b, at in marks[first : last + 1]]
+        done = end
     tape = tape.rewrite(edits)
     edits = []
     for m in _DISGUISED_IP.finditer(tape.text):
@@ -227,25 +309,26 @@ CASCADES = (
 )
 
 
-def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the normalised text shows."""
-    if not hinted(text):
+def disguised(text: str, base: list[Span], gate: bool = True) -> list[Span]:
+    """Spans that only the normalised text shows. ``gate=False`` runs the cascades on texts without any hint, too."""
+    if gate and not hinted(text):
         return []
-    taken = sorted((s, e) for _, s, e in base)
+    covered = bytearray(len(text))
+    for _, s, e in base:
+        covered[s:e] = b"\1" * (e - s)
     out, seen = [], {text}
     for cascade in CASCADES:
-        tape = Tape(text, range(len(text)), range(1, len(text) + 1))
+        tape = Tape(text)
         for step in cascade:
             tape = step(tape)
         if tape.text in seen:
             continue
         seen.add(tape.text)
         for kind, s, e in plain(tape.text):
-            start, end = tape.starts[s], tape.ends[e - 1]
-            if end - start != e - s or text[start:end] != tape.text[s:e]:
-                if not any(a < end and start < b for a, b in taken):
-                    out.append((kind, start, end))
-                    taken.append((start, end))
+            start, end = tape.source(s, e)
+            if (end - start != e - s or text[start:end] != tape.text[s:e]) and covered.find(1, start, end) < 0:
+                out.append((kind, start, end))
+                covered[start:end] = b"\1" * (end - start)
     return out
 
 

@@ -26,8 +26,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_bucket("doc_id", 4) == 2).alias("held_out"))
-    dictionaries = language.learn(docs.filter(~F.coalesce("held_out", F.lit(True))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
+    dictionaries = language.learn(docs.filter("NOT held_out AND doc_id IS NOT NULL"))
     return language.predict(docs, dictionaries, ("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score", "margin", "accepted")
 
 
