@@ -56,8 +56,9 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = warc.build_index(warc.write(table(spark, sf_dir, "pages")))
-    return warc.read_captures(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    index = warc.build_index(warc.write(pages))
+    return warc.fetch(spark, index, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

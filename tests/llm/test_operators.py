@@ -9,6 +9,7 @@ import zlib
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from doctide.llm import bpe, html_text, jpeg, kneser_ney, language, line_quality, mixing, near_dup, pii, warc
 
@@ -254,10 +255,28 @@ def test_warc(spark):
     rows = [(i, f"https://www.Example{i % 3}.com/p/{i}?b=2&a=1#f", ["same", f"own {i}", "é" * i][i % 3]) for i in range(40)] + [(100, None, None), (101, "::bad::", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     index = warc.build_index(warc.write(pages))
-    got = {r["page_id"]: r for r in warc.read_captures(spark, index).collect()}
+    got = {r["page_id"]: r for r in warc.fetch(spark, index, pages).collect()}
     for i, _, h in rows:
         same = max(k for k, _, x in rows if (x or "") == (h or ""))
         want = (len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if i == same else "revisit", None if i == same else same)
         assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["record_type"], got[i]["refers_to"]) == want
     hit = warc.lookup(spark, index, "http://example1.com/P/1?a=1&b=2")
-    assert [(c["page"], c["payload"].decode()) for c in hit] == [(1, "own 1")] and warc.lookup(spark, index, "http://none.org/") == []
+    assert [(c["page"], c["payload"].decode()) for c in hit] == [("1", "own 1")] and warc.lookup(spark, index, "http://none.org/") == []
+
+
+def test_warc_many_blocks_busy_urls_and_odd_keys(spark, monkeypatch):
+    """Blocks of 7 lines: a busy URL over many blocks, keys with spaces, marks and fragments, ids of other types, repeated rows."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    urls = ["http://a.org/a b", "http://a.org/a!b", "http://a.org/a#b", "http://a.org/a%20b", "http://a.org/a\nb", " http://a.org/~", "http://b.a.org:8080/x?b&a", "http://busy.org/"]
+    rows = [(i, urls[i % 8] if i % 3 else urls[7], f"page {i % 50}") for i in range(300)] + [(5, urls[0], "page 5")]
+    for kind in ("smallint", "string"):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("page_id", F.col("page_id").cast(kind))
+        pages = pages.withColumn("key", F.lit("clash")).withColumn("sha", F.lit(1))
+        index = warc.build_index(warc.write(pages))
+        out = warc.fetch(spark, index, pages, page_type=kind)
+        assert sorted((str(r["page_id"]), r["url"]) for r in out.collect()) == sorted((str(i), u.replace("\n", "%0A")) for i, u, _ in rows)
+    for u in urls:
+        want = sorted(str(i) for i, x, _ in rows if warc.url_key(x) == warc.url_key(u))
+        assert sorted(c["page"] for c in warc.lookup(spark, index, u)) == want and want
+    none = pages.limit(0)
+    assert warc.fetch(spark, warc.build_index(warc.write(none)), pages).count() == 0
