@@ -1,10 +1,16 @@
-"""Byte-level BPE by merge replay over the distinct words of a block of the corpus.
-
-Every Spark partition is cut into blocks. The distinct words of a block that are not known yet are laid out as
-one array of byte tokens with links to both neighbours, and an inverted index leads from a merge's rank to the
-word positions whose pair makes it. Merges are then applied in rank order over all words at once; each touches
-only its two neighbours, whose new pairs enter the index. A document's ids are its words' ids in order, so no
-row is shuffled. Null text counts as empty; an empty text has no ids.
+"""Byte-level BPE by merge replay over the distinct words of the whole corpus.
+
+Documents are cut into words once. A chunk of documents keeps, for each document, which of the chunk's distinct words
+stand where, and the distinct words of all chunks are joined to one table of the corpus, so every word is merged
+once, wherever it stands. That table is dealt out to shards. In a shard all words are laid out as one array of byte
+tokens with links to both neighbours, and an inverted index leads from a token pair, by the rank of what it makes, to
+the word positions that hold it. Merges are then applied in rank order over all words at once; each touches only its
+two neighbours, whose new pairs enter the index. The words' ids are joined back to the chunks, and a document's ids are
+its words' ids in order. ``Coder`` does the same for texts at hand, without Spark.
+
+Null text counts as empty; an empty text has no ids. Repeated rows give equal rows, an empty table none. A very long
+text is a chunk of its own. Ranks are unique, so there are no ties but positions of one pair, which merge from the left.
+Only the id and text columns are read; ``keep`` names others to carry along, which may not be called as an output.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ import base64
 import hashlib
 import re
 import unicodedata
+import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -21,13 +28,21 @@ from heapq import heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches
+from .common import Scratch, blocks, bound_batches
 
-BLOCK_BYTES = 6 << 20
-#: Words whose ids a worker remembers between blocks; a full memory is emptied, which changes no result.
+#: Rows of an Arrow batch of results.
+OUT_ROWS = 256
+#: Bytes of text in a chunk, whose distinct words are joined to the corpus' table.
+CHUNK_BYTES = 16 << 20
+#: Words whose ids a ``Coder`` remembers; a full memory is emptied, which changes no result.
 MEMORY_WORDS = 400_000
+#: Bytes of words that a shard lays out at a time.
+SHARD_BYTES = 4 << 20
 #: Merges with fewer positions are applied one by one.
 SCALAR_BELOW = 32
 #: Below this code point the pattern's classes are spelled out for the quicker ``re`` module.
@@ -264,41 +279,106 @@ class Coder:
         return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.ranks.token.__getitem__, array("I", ids)))
+        return decode(ids, self.ranks)
 
 
-@cache
-def _coder(path: str, pattern: str) -> Coder:
-    return Coder(path, pattern)
+def _split(docs: DataFrame, keep: list[str], pattern: str) -> DataFrame:
+    """One row a chunk: its key, its distinct words, and as bytes its rows and, for each, the places of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, part = splitter(pattern), TaskContext.get().partitionId()
+        press = zstandard.ZstdCompressor(level=3)
+        for n, block in enumerate(blocks(batches, "text", CHUNK_BYTES)):
+            number: dict[str, int] = {}
+            places, lengths = array("I"), array("q")
+            for batch in block.select(["text"]).to_batches():
+                for text in batch.column(0).to_pylist():
+                    words = cut(text or "")
+                    places.extend([number.setdefault(w, len(number)) for w in words])
+                    lengths.append(len(words))
+            sink = pa.BufferOutputStream()
+            kept = block.select(keep)
+            with pa.ipc.new_stream(sink, kept.schema) as out:
+                out.write_table(kept)
+            # Most words are among the first that a chunk meets, so the upper bytes of their numbers press to nothing.
+            planes = np.frombuffer(places, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+            row = {"key": f"{part}:{n}:{uuid.uuid4().hex}", "words": [w.encode() for w in number], "places": press.compress(planes), "lengths": press.compress(lengths.tobytes()), "rows": press.compress(sink.getvalue())}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("key", pa.string()), ("words", pa.list_(pa.binary())), ("places", pa.binary()), ("lengths", pa.binary()), ("rows", pa.binary())]))
+
+    return docs.mapInArrow(run, "key string, words array<binary>, places binary, lengths binary, rows binary")
+
+
+def merge_words(words: DataFrame, vocab_path: str) -> DataFrame:
+    """word and ids (packed little-endian 32-bit integers) for distinct rows of (word), by replay in shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks(vocab_path)
+        for block in blocks(batches, "word", SHARD_BYTES):
+            held = block.column("word").to_pylist()
+            yield from pa.table({"word": pa.array(held, pa.binary()), "ids": pa.array(replay(held, table), pa.binary())}).to_batches()
+
+    return words.select("word").mapInArrow(run, "word binary, ids binary")
 
 
-def encode(docs: DataFrame, vocab_path: str, pattern: str, outputs: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id and the asked outputs.
+def encode(docs: DataFrame, vocab_path: str, pattern: str, outputs: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its id, the kept columns and the asked outputs.
 
     ``ids`` array<int>, ``n_tokens`` long, ``decoded`` binary (the ids turned back to bytes), and the digests
     ``ids_sha256`` and ``decoded_sha256``. ``vocab_path`` names a rank file that every executor can open.
     """
     kinds = {"ids": "array<int>", "n_tokens": "long", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
     bound_batches(docs.sparkSession)
-    frame = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    schema = f"id {frame.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} {kinds[k]}" for k in outputs)
+    scratch = Scratch(docs.sparkSession)
+    carried = [id_col, *keep]
+    frame = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(carried)], docs[text_col].cast("string").alias("text"))
+    names = [f"k{i}" for i in range(len(carried))]
+    chunks = scratch.write(_split(frame, names, pattern), "chunks")
+    # Every distinct word of the corpus, once.
+    words = chunks.select(F.explode("words").alias("word")).distinct()
+    table = scratch.write(merge_words(words, vocab_path), "words")
+    asked = chunks.select("key", F.posexplode("words").alias("at", "word")).join(table, "word")
+    told = asked.groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+    ready = chunks.select(F.col("key").alias("chunk"), "places", "lengths", "rows").join(told, F.col("chunk") == F.col("key"), "left").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(vocab_path, pattern)
-        for block in blocks(batches, "text", BLOCK_BYTES):
-            ids = coder.encode([t or "" for t in block.column("text").to_pylist()])
-            columns: dict[str, pa.Array] = {}
-            for name in outputs:
-                if name == "ids":
-                    columns[name] = pa.array([array("i", x) for x in map(bytes, ids)], pa.list_(pa.int32()))
-                elif name == "n_tokens":
-                    columns[name] = pa.array([len(x) >> 2 for x in ids], pa.int64())
-                elif name == "ids_sha256":
-                    columns[name] = pa.array([hashlib.sha256(x).hexdigest() for x in ids])
-                elif name == "decoded":
-                    columns[name] = pa.array([coder.decode(x) for x in ids], pa.binary())
-                else:
-                    columns[name] = pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids])
-            yield from pa.table({"id": block.column("id"), **columns}).combine_chunks().to_batches()
-
-    return frame.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+        table, open_up = ranks(vocab_path), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = batch.column("found").slice(i, 1).flatten()
+                codes: list[bytes] = [b""] * len(found)
+                for at, code in zip(found.field("at").to_pylist(), found.field("ids").to_pylist(), strict=True):
+                    codes[at] = code
+                raw = {c: open_up.decompress(batch.column(c)[i].as_py()) for c in ("places", "lengths", "rows")}
+                places = np.ascontiguousarray(np.frombuffer(raw["places"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                bounds = np.r_[0, np.cumsum(np.frombuffer(raw["lengths"], np.int64))].tolist()
+                with pa.ipc.open_stream(raw["rows"]) as opened:
+                    rows = opened.read_all()
+                get = codes.__getitem__
+                for start in range(0, len(rows), OUT_ROWS):
+                    cuts = bounds[start : start + OUT_ROWS + 1]
+                    ids = [b"".join(map(get, places[a:b].tolist())) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    part = rows.slice(start, OUT_ROWS)
+                    columns = {name: _output(name, ids, table) for name in outputs}
+                    yield from pa.table({**{c: part.column(c) for c in names}, **columns}).combine_chunks().to_batches()
+
+    schema = "".join(f"{n} {frame.schema[n].dataType.simpleString()}, " for n in names) + ", ".join(f"{k} {kinds[k]}" for k in outputs)
+    out = ready.mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carried, strict=True)], *outputs)
+
+
+def decode(ids: bytes, table: Ranks) -> bytes:
+    return b"".join(map(table.token.__getitem__, array("I", ids)))
+
+
+def _output(name: str, ids: list[bytes], table: Ranks) -> pa.Array:
+    match name:
+        case "ids":
+            return pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
+        case "n_tokens":
+            return pa.array([len(x) >> 2 for x in ids], pa.int64())
+        case "ids_sha256":
+            return pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+        case "decoded":
+            return pa.array([decode(x, table) for x in ids], pa.binary())
+        case _:
+            return pa.array([hashlib.sha256(decode(x, table)).hexdigest() for x in ids], pa.string())

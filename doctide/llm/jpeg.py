@@ -5,6 +5,10 @@ each byte less ``SHIFT``. The quantisation steps are 1 and the entropy coding lo
 give the payload back. ``read`` is the general reader: it parses the markers of any baseline JPEG (several
 components, sampling factors, restart intervals) and Huffman-decodes the scans of many images in lockstep, one
 symbol a step for every restart interval. A thumbnail takes the DC coefficient of each luminance block as a pixel.
+
+Repeated rows give equal media and an empty table none. There are no ties. A very long text becomes one tall image and
+is held whole by its task, with about 20 bytes of arrays a byte of text. Columns other than the id and the text, or the
+media, are not read.
 """
 
 from __future__ import annotations

@@ -9,9 +9,13 @@ distinct requests of all chunks are joined once with the count tables, and each
 log-probabilities back. A document is rejected if its log-perplexity lies above an upper quantile of its language's
 trusted documents by more than a slack that shrinks with its length, as very short clean texts scatter widely. As texts
 that a model was trained on score better than new ones, the quantile is that of held-out documents under a model of the
-other trusted ones, or that of all under the whole model if it is higher. Null and empty texts are rejected and have no
-perplexity; a language (or null) without trusted documents takes the threshold of all languages; without any trusted
-document nothing is rejected but empty text.
+other trusted ones, or that of all under the whole model if it is higher.
+
+Null and empty texts are rejected and have no perplexity; a language (or null) without trusted documents takes the
+threshold of all languages; without any trusted document nothing is rejected but empty text. A loss that equals its
+limit is kept. Repeated rows count as often as they come and give equal rows; rows of a null id are scored and never
+trusted. A very long text makes a chunk of its own and is scored in whole. An empty table gives no rows. Only doc_id,
+lang and text, and the labels' doc_id and quality, are read; other columns are free to have any name.
 """
 
 from __future__ import annotations
@@ -163,8 +167,8 @@ def _pieces(block: pa.Table) -> Iterator[pa.Table]:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_symbols, logp (natural) for rows of (doc_id, lang, text)."""
-    frame = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    """doc_id, lang, told, n_symbols, logp (natural) for rows of (doc_id, lang, told, text)."""
+    frame = docs.select("doc_id", "lang", "told", F.col("text").cast("string").alias("text"))
     id_type = frame.schema["doc_id"].dataType.simpleString()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,19 +201,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 for piece in _pieces(block):
                     own, counts = grams([t or "" for t in piece.column("text").to_pylist()])
                     sums = np.add.reduceat(logp[np.searchsorted(code, own)], np.cumsum(counts) - counts)
-                    yield from pa.table({"doc_id": piece.column("doc_id"), "lang": piece.column("lang"), "n_symbols": counts, "logp": sums}).combine_chunks().to_batches()
+                    yield from pa.table({"doc_id": piece.column("doc_id"), "lang": piece.column("lang"), "told": piece.column("told"), "n_symbols": counts, "logp": sums}).combine_chunks().to_batches()
 
     asked = frame.mapInArrow(ask, "key string, gram long")
     known = materialize(model.log_probability(asked.select("gram").distinct()), "logp")
     told = asked.join(known, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "logp")).alias("found"))
     chunks = frame.mapInArrow(pack, "key string, chunk binary")
-    return chunks.join(told, "key", "left").mapInArrow(answer, f"doc_id {id_type}, lang string, n_symbols long, logp double")
+    return chunks.join(told, "key", "left").mapInArrow(answer, f"doc_id {id_type}, lang string, told long, n_symbols long, logp double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, threshold (of perplexity) and kept for every document."""
+    """doc_id, lang, n_symbols, perplexity, threshold (of perplexity), kept and text_hash (xxhash64) for every document."""
     bound_batches(docs.sparkSession)
-    frame = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    frame = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("told"), text.alias("text"))
     good = materialize(labels.filter("quality = 1").select(F.col("doc_id").alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct(), "trusted")
     side = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     trusted = frame.join(side, F.col("doc_id") == F.col("trusted_id"), "left_semi")
@@ -222,14 +227,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     seen = scores.join(side, F.col("doc_id") == F.col("trusted_id"), "left_semi")
     both = held.withColumn("new", F.lit(True)).unionByName(seen.withColumn("new", F.lit(False))).filter("n_symbols > 1")
     marks = both.groupBy("lang", "new").agg(F.percentile_approx("loss", F.lit(UPPER), 10000).alias("limit"))
-    limits = marks.groupBy("lang").agg(F.max("limit").alias("limit")).collect()  # one row a language
+    limits = materialize(marks.groupBy("lang").agg(F.max("limit").alias("own")).filter("lang IS NOT NULL").withColumnRenamed("lang", "of"), "limits")
     overall = both.groupBy("new").agg(F.percentile_approx("loss", F.lit(UPPER), 10000).alias("limit")).agg(F.max("limit").alias("limit")).first()["limit"]
-    top = F.lit(overall if overall is not None else math.inf).cast("double")
-    by_lang = [(r["lang"], r["limit"]) for r in limits if r["lang"] is not None and r["limit"] is not None]
-    if by_lang:
-        top = F.coalesce(F.create_map(*[F.lit(x) for pair in by_lang for x in pair])[F.col("lang")], top)
+    scores = scores.join(limits, F.col("lang") == F.col("of"), "left")
+    top = F.coalesce("own", F.lit(overall if overall is not None else math.inf).cast("double"))
     top = top + F.lit(SLACK) / F.col("n_symbols")
     empty = F.col("n_symbols") <= 1
     return scores.select(
-        "doc_id", "lang", (F.col("n_symbols") - 1).alias("n_symbols"), F.when(~empty, F.exp("loss")).alias("perplexity"), F.exp(top).alias("threshold"), (~empty & (F.col("loss") <= top)).alias("kept"),
+        "doc_id", "lang", (F.col("n_symbols") - 1).alias("n_symbols"), F.when(~empty, F.exp("loss")).alias("perplexity"), F.exp(top).alias("threshold"), (~empty & (F.col("loss") <= top)).alias("kept"), F.col("told").alias("text_hash"),
     )

@@ -4,7 +4,11 @@ A document's lines are its text cut at line feeds. The field is fitted on a boun
 (``SAMPLE_DOCS`` of each quality): lines of good documents are content and lines of bad ones boilerplate, except
 that a line which says again what an earlier line said is boilerplate anywhere. Viterbi
 decoding labels all lines of every whole text; a document is kept if at least half of its words stand in content
-lines. Null or empty text has no words and is not kept.
+lines; of two paths of equal score Viterbi takes that of boilerplate.
+
+Null or empty text has no words and is not kept. Repeated rows give equal rows; an empty table gives none, and empty
+labels a plain prior. Very long texts are read whole, a block each. Only doc_id and text, and the labels' doc_id and
+quality, are read; other columns are free to have any name.
 """
 
 from __future__ import annotations

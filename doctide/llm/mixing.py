@@ -5,7 +5,14 @@ source's size; the level rises until the clamped excess is shared out. Documents
 fractional repetitions: every document ``floor(target / size)`` times, and documents first by a seeded hash of their
 id once more until the source's words come nearest to its target. The place where a source's extra repetition ends
 is found from sums over ``BUCKETS`` hash ranges, so no source's documents meet in one task; only those of one range
-are put in order. Null text counts 0 words, null source is a source of its own, repeated rows are mixed like any.
+are put in order. ``fill`` runs a job a round, of which there are at most as many as sources, and ``ranked_weights``
+brings one row a source into one task; both are meant for up to some ten thousand sources, while documents may be any
+number.
+
+Null text counts 0 words, null source is a source of its own, repeated rows are mixed like any, each on its own. Ties of
+the hash go to the smaller id, then to the smaller document; a target halfway between two documents takes one more. Very
+long documents are taken whole or not at all. If all sources are clamped, each is taken ``max_epochs`` times. An empty
+table gives no rows. Only doc_id, source and size (or text) are read; other columns are free to have any name.
 """
 
 from __future__ import annotations
