@@ -19,7 +19,6 @@ import base64
 import hashlib
 import re
 import unicodedata
-import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -302,10 +301,10 @@ def _split(docs: DataFrame, keep: list[str], pattern: str) -> DataFrame:
                 out.write_table(kept)
             # Most words are among the first that a chunk meets, so the upper bytes of their numbers press to nothing.
             planes = np.frombuffer(places, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-            row = {"key": f"{part}:{n}:{uuid.uuid4().hex}", "words": [w.encode() for w in number], "places": press.compress(planes), "lengths": press.compress(lengths.tobytes()), "rows": press.compress(sink.getvalue())}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("key", pa.string()), ("words", pa.list_(pa.binary())), ("places", pa.binary()), ("lengths", pa.binary()), ("rows", pa.binary())]))
+            row = {"key": part << 32 | n, "words": [w.encode() for w in number], "places": press.compress(planes), "lengths": press.compress(lengths.tobytes()), "rows": press.compress(sink.getvalue())}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("key", pa.int64()), ("words", pa.list_(pa.binary())), ("places", pa.binary()), ("lengths", pa.binary()), ("rows", pa.binary())]))
 
-    return docs.mapInArrow(run, "key string, words array<binary>, places binary, lengths binary, rows binary")
+    return docs.mapInArrow(run, "key long, words array<binary>, places binary, lengths binary, rows binary")
 
 
 def merge_words(words: DataFrame, vocab_path: str) -> DataFrame:

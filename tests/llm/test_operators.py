@@ -1,16 +1,23 @@
 """Each operator on small tables with nulls, empty and repeated rows, against brute force or a round trip."""
 
 import base64
+import collections
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
+from doctide.llm.crf import Crf, viterbi
 from doctide.llm import bpe, html_text, jpeg, kneser_ney, language, line_quality, mixing, near_dup, pii, warc
 
 WORDS = "the of and river stone house light cloud walks under bright seven letters carry wind over field moon".split()
@@ -49,10 +56,13 @@ def test_bpe_equals_tiktoken(docs, empty, rows):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     oracle = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    out = bpe.encode(docs, path, public_tokenizers.PATTERN, ("ids", "n_tokens", "decoded")).collect()
+    out = bpe.encode(docs, path, public_tokenizers.PATTERN, ("ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256")).collect()
     text = {r[0]: r[1] or "" for r in rows}
     for r in out:
         assert r["ids"] == oracle.encode_ordinary(text[r["doc_id"]]) and bytes(r["decoded"]).decode() == text[r["doc_id"]]
+        packed = b"".join(i.to_bytes(4, "little") for i in r["ids"])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(r["ids"]), hashlib.sha256(packed).hexdigest(), hashlib.sha256(text[r["doc_id"]].encode()).hexdigest())
+    assert bpe.encode(docs.filter("text IS NULL"), path, public_tokenizers.PATTERN).first()["ids"] == []
     assert len(out) == len(rows) and bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
@@ -251,6 +261,229 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0), html_text.train(pages.limit(0))).count() == 0
 
 
+FIRST = "The quiet harbour lay under a pale sky while boats came in from the long night at sea, and people waited on the stones."
+SECOND = "Nobody had expected the storm to turn north so late in the year, yet it did, and the whole coast felt it for weeks."
+LAYOUTS = {
+    "aside inside": (f"<body><article><h1>Storm at sea</h1><p>{FIRST}</p><aside>Read our other story about the northern coast and its people today.</aside><p>{SECOND}</p></article></body>", ["Storm at sea", FIRST, SECOND]),
+    "comments inside": (f"<body><article><h1>Storm at sea</h1><p>{FIRST}</p><p>{SECOND}</p><section class='comments'><p>Great story, I was there that night and it was terrible to see.</p><p>Me too!</p></section></article></body>", ["Storm at sea", FIRST, SECOND]),
+    "form inside": (f"<body><article><h1>Storm at sea</h1><p>{FIRST}</p><form><label>Your mail</label><button>Send</button></form><p>{SECOND}</p></article></body>", ["Storm at sea", FIRST, SECOND]),
+    "content class": (f"<body><div class='menu'><a href=x>Home</a></div><div class='content'><h2>Storm</h2><p>{FIRST}</p><ul><li>Boats lost</li><li>Roads closed</li></ul><p>{SECOND}</p><p>It ended.</p></div><div id=footer>Copyright 2020</div></body>", ["Storm", FIRST, "Boats lost", "Roads closed", SECOND, "It ended."]),
+    "main": (f"<body><nav><a href=x>Home</a></nav><main><h1>Storm</h1><p>{FIRST}</p><table><tr><th>Port</th><th>Boats</th></tr><tr><td>North</td><td>12</td></tr></table><pre>x = 1\ny = 2</pre><p>{SECOND}</p></main><footer>All rights reserved</footer></body>", ["Storm", FIRST, "Port", "Boats", "North", "12", "x = 1 y = 2", SECOND]),
+    "bare text": (f"<body>{FIRST} {SECOND}</body>", [FIRST + " " + SECOND]),
+    "sidebar": (f"<body><div id='sidebar'><h3>Recent</h3><ul><li><a href=1>One story</a></li></ul></div><div class='post'><h1>Storm at sea</h1><p>{FIRST}</p><blockquote>{SECOND}</blockquote></div></body>", ["Storm at sea", FIRST, SECOND]),
+    "notices": (f"<body><div class='cookie-notice'>We use cookies to make this site better for all of our readers.</div><div class='ad'>Buy boats now for less.</div><article><header><h1>Storm at sea</h1></header><p>{FIRST}</p><p>{SECOND}</p><footer>Filed under sea</footer></article></body>", ["Storm at sea", FIRST, SECOND]),
+    "breaks": (f"<html><body><h1>Storm</h1>{FIRST}<br><br>{SECOND}<p>Short one.</body></html>", ["Storm", FIRST + " " + SECOND, "Short one."]),
+    "sections": (f"<body><header><h1>Site name</h1></header><section id='main-content'><h2>Storm</h2><p>{FIRST}</p><h3>After</h3><p>{SECOND}</p><dl><dt>Port</dt><dd>North</dd></dl></section><section class='related-posts'><h3>More</h3><p><a href=x>Another storm far away from here today</a></p></section></body>", ["Storm", FIRST, "After", SECOND, "Port", "North"]),
+}
+
+
+@pytest.fixture(scope="module")
+def page_model(spark):
+    return html_text.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+
+
+def test_html_layouts(spark, page_model):
+    pages = spark.createDataFrame([(k, "u", p, "clash") for k, (p, _) in LAYOUTS.items()], "page_id string, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages, page_model).collect()}
+    assert got == {k: "\n".join(want) for k, (_, want) in LAYOUTS.items()}
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p "', '<p ="', "<![CDATA[", "<!", "<b><div>", "<ul><li>", "<table><tr><td>", "&lt", "</b>", "<script>", "<x1>"])
+def test_html_hostile_pages_take_linear_time(piece):
+    began = time.time()
+    html_text.features(html_text.leaf_blocks("<b>" + piece * (1_000_000 // len(piece)) + "</b>" * 1000))
+    assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("text", ["a_dot_" * 170_000 + "! dot x", "1" * 500_000 + "." + "1" * 500_000, "bob at example dot com, " * 40_000, " " * 1_000_000 + "at", "( " * 500_000, "a at " * 200_000, "one two " * 125_000, "1." * 500_000, "+1(" * 300_000, "a@" * 500_000, "[dot]" * 200_000, "one (.) " * 120_000])
+def test_pii_hostile_texts_take_linear_time(text):
+    began = time.time()
+    pii.disguised(text, pii.plain(text), gate=False)
+    assert time.time() - began < 20
+
+
+def test_pii_gate_reaches_as_far_as_the_transducers():
+    rng = random.Random(5)
+    bits = ["a", "john", "at", "dot", "[at]", "(dot)", " ", "  ", "\t", "\n", "one", "two", "five", "plus", "1", "192", "10", ".", "-", "_", "@", "example", "com", "de", "_at_", "-dot-", "+", ",", "un", "é", "а", "１", "\u200b", "℡", "“", ":", "(.)", "point"]
+    for _ in range(6000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 30)))
+        base = pii.plain(text)
+        assert pii.disguised(text, base) == pii.disguised(text, base, gate=False), text
+    for gap in ("\t", "\n", " "):
+        text = f"john at example{gap}dot{gap}com"
+        assert [text[s:e] for _, s, e in pii.disguised(text, [])] == [text]
+
+
+def brute_pii(text):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, said):
+        digits = [int(c) for c in said if c in "0123456789"]
+        odd = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+        return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in said.split(".")), "card": 16 <= len(digits) <= 19 and odd % 10 == 0, "phone": 8 <= len(digits) <= 15}[kind]
+
+    return [(k, m.start(), m.end()) for k, p in kinds.items() for m in re.finditer(p, text) if good(k, m[0])]
+
+
+def test_pii_scan_equals_brute_force(spark):
+    rng = random.Random(8)
+    bits = ["a.b", "@", "x-y", ".", "1", "25", "300", "192.168.0.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+", " ", "-", "(", "é", "\n", "q@w.e"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randrange(40))), "clash") for i in range(400)] + [(400, None, "x"), (401, "", "x"), (7, "q@w.e 1.2.3.4", "x")]
+    for r, (i, text, _) in zip(pii.scan(spark.createDataFrame(rows, "doc_id long, text string, spans string").coalesce(1)).collect(), rows, strict=True):
+        want = brute_pii(text or "")
+        said = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        counts = tuple(sum(k == kind for k, *_ in want) for kind in ("email", "ip", "card", "phone"))
+        assert (r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) == (i, *counts, hashlib.sha256(said.encode()).hexdigest())
+        assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(r["spans"].split(","))
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(4)
+    lengths = np.array([3, 1, 0, 7, 5])
+    x = rng.normal(size=(int(lengths.sum()), 4))
+    model = Crf(rng.normal(size=(4, 2)), rng.normal(size=(2, 2)))
+    got, at = viterbi(model, x, lengths), 0
+    for n in lengths.tolist():
+        scores = x[at : at + n] @ model.weights
+        best = max(itertools.product((0, 1), repeat=n), key=lambda path: sum(scores[k, y] for k, y in enumerate(path)) + sum(model.moves[a, b] for a, b in itertools.pairwise(path)))
+        assert got[at : at + n].tolist() == list(best)
+        at += n
+
+
+def test_language_sizes_equal_plain_zstandard(spark):
+    made = [(i, ("wind stone river " * (i % 5 + 1) + str(i)) if i % 2 else ("viento piedra rio " * (i % 4 + 1) + str(i)), "en" if i % 2 else "es") for i in range(40)]
+    docs = spark.createDataFrame(made + [(50, "x" * 9000 + " only long", "zz"), (51, None, "en"), (52, "", "qq")], "doc_id long, text string, lang string")
+    known = language.learn(docs)
+    assert sorted(known) == ["en", "es", "zz"]
+    for r in language.predict(docs, known, ("doc_id",)).collect():
+        text = {i: t for i, t, _ in docs.collect()}[r["doc_id"]]
+        if not text:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        sizes = []
+        for lang in sorted(known):
+            content = zstandard.ZstdCompressionDict(known[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=language.LEVEL)
+            sizes.append((len(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text.lower().encode())), lang))
+        assert r["lang_pred"] == min(sizes)[1]
+    assert language.predict(docs.limit(0), known, ("doc_id",)).count() == 0
+
+
+def brute_kneser_ney(trusted):
+    """Probability of a symbol after three others, by dictionaries."""
+    counts = {4: collections.Counter()}
+    for t in trusted:
+        units = "\x02" * 3 + t + "\x03"
+        counts[4].update(units[k : k + 4] for k in range(len(units) - 3))
+    for n in (3, 2, 1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+
+    def discounts(c):
+        n = [sum(v == k for v in c.values()) for k in range(5)]
+        if not (n[1] and n[2]):
+            return [0.75] * 3
+        y = n[1] / (n[1] + 2 * n[2])
+        raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 0.75]
+        return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
+
+    cut = {n: discounts(c) for n, c in counts.items()}
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(counts[1]) + 1)
+        own = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        if not total:
+            return p(gram[1:])
+        held = sum(cut[n][min(c, 3) - 1] for c in own.values())
+        c = own.get(gram, 0)
+        return (c - cut[n][min(c, 3) - 1] if c else 0) / total + held / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_dictionaries(spark):
+    rng = random.Random(12)
+    texts = [sentence(rng, 12) for _ in range(8)]
+    model = kneser_ney.Model(kneser_ney.count_grams(spark.createDataFrame([(t,) for t in texts], "text string")))
+    p = brute_kneser_ney(texts)
+    asked = [*texts[:2], "river zz", "", "house light"]
+    rows = [(i, "en", i, t) for i, t in enumerate(asked)] + [(9, "en", 9, None)]
+    for r in kneser_ney.score(spark.createDataFrame(rows, "doc_id long, lang string, told long, text string"), model).collect():
+        units = "\x02" * 3 + (asked[r["doc_id"]] if r["doc_id"] < 9 else "") + "\x03"
+        assert r["logp"] == pytest.approx(sum(math.log(p(units[k : k + 4])) for k in range(len(units) - 3)), abs=1e-6)
+
+
+def test_near_dup_recall_on_known_pairs(spark):
+    """Long texts at similarities just above the limit, and pairs just below: all of the first are found, none of the others."""
+    rng = random.Random(21)
+    made, near, far = [], 0, 0
+    for k in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([120, 400, 1500]))]
+        other, goal = list(words), 0.76 if k % 2 else 0.72
+        shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        own = shingles(words)
+        edits = rng.sample(range(len(words)), len(words))
+        while edits:
+            before = list(other)
+            other[edits.pop()] = f"e{rng.randrange(10**9)}"
+            both = len(own & shingles(other))
+            if both / (2 * len(own) - both) < goal:
+                other = before if k % 2 else other
+                break
+        made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.link(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(1, 120, 2)) >= 54
+    assert got == {i: c for i, (_, c) in brute_components(made).items()}
+
+
+def test_near_dup_null_and_repeated_ids(spark):
+    text, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(None, text), (3, text), (3, text), (3, other), (None, other + " more"), (None, "lone words here now and then"), (None, None), (None, "")]
+    out = near_dup.link(spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))).collect()
+    assert len(out) == len(rows)
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"], r["first"]) for r in out if r["n_shingles"] > 0) == sorted(
+        [("None", "3", False, False), ("3", "3", True, True), ("3", "3", True, True), ("3", "3", True, True), ("None", "3", False, False), ("None", "None", True, True)]
+    )
+
+
+PIPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Whole run on a small corpus: junk, copies and private data are dealt with, null and repeated ids kept apart, extra columns dropped."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    clean = [sentence(rng, 80) for _ in range(60)]
+    rows = [(i, t, "en", ["s1", "s2", None][i % 3], len(t)) for i, t in enumerate(clean)]
+    rows += [(100, clean[3], "en", "s1", 1), (101, clean[4] + " end", "en", "s2", 1), (5, clean[5], "en", "s3", 1), (None, sentence(rng, 80), "en", "s1", 1), (None, sentence(rng, 80) + " x@y.org", "en", "s2", 1)]
+    rows += [(200 + i, "".join(rng.choices("#$%&*QXZ|", k=300)), "en", "s1", 300) for i in range(4)] + [(300, None, "en", "s1", 0), (301, "", None, None, 0), (7, "#$%&*QXZ|" * 40, "en", "s1", 1)]
+    spark.createDataFrame([(*r, 1) for r in rows], PIPE + ", k_id int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(60) if i != 7], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name.replace(" ", "_")))
+        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
+        seen[name] = docs.collect()
+    assert {r["doc_id"] for r in seen["quality classifier"]} == {*range(60), 100, 101, None} and len(seen["quality classifier"]) == 65
+    one = sorted(r["text"] for r in seen["near dedup"])
+    assert one == sorted([*clean, rows[63][1], rows[64][1]]) and docs.count() == len(seen["mixing"])
+    assert sorted(r["text"] for r in seen["pii"]) == sorted(t.replace("x@y.org", "[EMAIL]") for t in one)
+    assert {r["text"] for r in seen["mixing"]} <= {r["text"] for r in seen["pii"]} and max(collections.Counter(r["text"] for r in seen["mixing"]).values()) <= 2
+    assert [r["decoded_sha256"] for r in seen["bpe"]] and {r["decoded_sha256"] for r in seen["bpe"]} == {hashlib.sha256(r["text"].encode()).hexdigest() for r in seen["mixing"]}
+    assert set(seen["mixing"][0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], PIPE).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_warc(spark):
     rows = [(i, f"https://www.Example{i % 3}.com/p/{i}?b=2&a=1#f", ["same", f"own {i}", "é" * i][i % 3]) for i in range(40)] + [(100, None, None), (101, "::bad::", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
