@@ -106,9 +106,9 @@ def parsed(spec: str | Mapping[str, Any]) -> dict[str, Any]:
 
 
 def renamed(spec: Any, names: Mapping[str, str]) -> Any:
-    """The spec with the first part of every path put through ``names``, at any depth."""
+    """The spec with every part of every path put through ``names``, at any depth."""
     if isinstance(spec, Mapping):
-        return {".".join([names.get(k.split(".")[0], k.split(".")[0]), *k.split(".")[1:]]) if not k.startswith("$") else k: renamed(v, names) for k, v in spec.items()}
+        return {k if k.startswith("$") else ".".join(names.get(x, x) for x in k.split(".")): renamed(v, names) for k, v in spec.items()}
     return [renamed(v, names) for v in spec] if isinstance(spec, list) else spec
 
 
@@ -191,6 +191,11 @@ def by_id(df: DataFrame, key: str, value: Any) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value))
 
 
+def embedded_by_id(df: DataFrame, path: str, id_field: str, value: Any) -> DataFrame:
+    """The first embedded object at ``path`` whose own id is ``value``, as a row of its own; none without a match."""
+    return df.filter(F.col(f"{path}.{id_field}") == F.lit(value)).limit(1).select(f"{path}.*")
+
+
 def grid_view(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     """Label -> dotted path; arrays are joined with commas skipping nulls, ``a.$`` takes the first, midnight times are cut."""
     out = []

@@ -7,71 +7,119 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .joins import weight_ranges
+from ..functions.values import typed_json
+from .joins import weight_ranges, weighted_pick
+
+Tables = Mapping[str, DataFrame]
 
 
 def uniform(seed: int, name: str, id_col: str = "id") -> Column:
     """A repeatable number in [0, 1) for each row and name."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(name)), F.lit(1 << 40)) / F.lit(1 << 40)
+    said = F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}:{name}"))
+    return F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
+#: Value macros by name: from the arguments as text, a uniform number and the row's id, the value as text. More may be added.
+MACROS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
+    "ONEUP": lambda a, b, u, i: (i + 1).cast("string"),
+    "INTEGER": lambda a, b, u, i: F.floor(a.try_cast("double") + u * (b.try_cast("double") - a.try_cast("double") + 1)).cast("string"),
+    "DOUBLE": lambda a, b, u, i: (a.try_cast("double") + u * (b.try_cast("double") - a.try_cast("double"))).cast("string"),
+    "DATE": lambda a, b, u, i: F.date_add(a.try_cast("date"), F.floor(u * (F.datediff(b.try_cast("date"), a.try_cast("date")) + 1)).cast("int")).cast("string"),
+    "DATETIME": lambda a, b, u, i: F.date_format(F.timestamp_seconds(F.unix_timestamp(a.try_cast("timestamp")) + F.floor(u * ((F.unix_timestamp(b.try_cast("timestamp")) - F.unix_timestamp(a.try_cast("timestamp"))) / 60 + 1)) * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+}
 
 
-def macro_value(text: Column, seed: int, name: str, id_col: str = "id") -> Column:
-    """Macros of a picked value as text: one-up numbers, whole numbers, decimals, dates and times between two bounds, JSON; else the literal."""
+def macro_json(text: Column, seed: int, name: str, id_col: str = "id") -> Column:
+    """A picked value as JSON text: a macro expanded, ``@JSON`` as it is, an unknown one and any literal typed by its look."""
     u = uniform(seed, name + "/macro", id_col)
     args = F.transform(F.split(F.regexp_extract(text, r"^@\w+\((.*)\)$", 1), ","), lambda x: F.trim(x))
     a, b = F.get(args, F.lit(0)), F.get(args, F.lit(1))
-    low, high = a.try_cast("double"), b.try_cast("double")
-    days = F.datediff(b.try_cast("date"), a.try_cast("date"))
-    minutes = (F.unix_timestamp(b.try_cast("timestamp")) - F.unix_timestamp(a.try_cast("timestamp"))) / 60
-    return (
-        F.when(text.startswith("@ONEUP"), (F.col(id_col) + 1).cast("string"))
-        .when(text.startswith("@INTEGER("), F.floor(low + u * (high - low + 1)).cast("string"))
-        .when(text.startswith("@DOUBLE("), (low + u * (high - low)).cast("string"))
-        .when(text.startswith("@DATETIME("), F.date_format(F.timestamp_seconds(F.unix_timestamp(a.try_cast("timestamp")) + F.floor(u * (minutes + 1)) * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(text.startswith("@DATE("), F.date_add(a.try_cast("date"), F.floor(u * (days + 1)).cast("int")).cast("string"))
-        .when(text.startswith("@JSON("), F.regexp_extract(text, r"(?s)^@JSON\((.*)\)$", 1))
-        .otherwise(text)
-    )
-
-
-def generate(spark: SparkSession, count: int, tables: Mapping[str, DataFrame], seed: int = 1, weight: str = "probability") -> DataFrame:
-    """id and one JSON document a row: every table gives one row by weight, dotted names nest, empty and null values drop."""
-    docs = spark.range(count)
+    value = text
+    for macro, make in MACROS.items():
+        value = F.when(text.rlike(rf"^@{macro}(\(.*\))?$"), make(a, b, u, F.col(id_col))).otherwise(value)
+    return F.when(text.startswith("@JSON("), F.regexp_extract(text, r"(?s)^@JSON\((.*)\)$", 1)).otherwise(typed_json(value))
+
+
+def generate(spark: SparkSession, count: int, tables: Tables, arrays: Mapping[str, Tables] | None = None, seed: int = 1, weight: str = "probability") -> DataFrame:
+    """id and one JSON document a row: every table gives one row by weight, dotted names nest, empty and null values drop.
+
+    ``@ARRAY(name,n)`` is an array of n documents made from the tables ``arrays[name]``; a field ``ROOT`` that holds an
+    object replaces the document. Arrays are made for their own rows and gathered by document.
+    """
+    return documents(spark.range(count), tables, arrays or {}, seed, weight).select("id", "document")
+
+
+def documents(ids: DataFrame, tables: Tables, arrays: Mapping[str, Tables], seed: int, weight: str) -> DataFrame:
+    """The rows of ``ids`` (id, ...) with a document each."""
+    docs = ids
     columns: list[str] = []
     for name, table in tables.items():
         fields = [c for c in table.columns if c != weight]
-        ranges = weight_ranges(table, weight, fields)
-        total = ranges.agg(F.max("hi")).first()[0]
-        alias = {f: f"{name}/{f}" for f in fields}
-        ranges = ranges.select("lo", "hi", *[F.col(f"`{f}`").cast("string").alias(a) for f, a in alias.items()])
-        r = F.floor(uniform(seed, name) * F.lit(total))
-        docs = docs.withColumn("__r", r).join(ranges, (F.col("__r") >= F.col("lo")) & (F.col("__r") < F.col("hi"))).drop("__r", "lo", "hi")
-        for a in alias.values():
-            docs = docs.withColumn(a, macro_value(F.col(f"`{a}`"), seed, a))
-        columns += alias.values()
+        # Any order of the rows gives the same odds, so a hash deals them out to buckets.
+        bucket = F.pmod(F.crc32(F.concat_ws("\x01", *[F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields]).cast("binary")), F.lit(256))
+        ranges, total = weight_ranges(table, weight, fields, bucket)
+        names = {f: f"{name}/{f}" for f in fields}
+        ranges = ranges.select("lo", "hi", *[F.col(f"`{f}`").cast("string").alias(a) for f, a in names.items()])
+        docs = weighted_pick(docs.withColumn("__r", F.floor(uniform(seed, name) * F.lit(total))), "__r", ranges, total).drop("__r", "lo", "hi")
+        columns += names.values()
+    for a in columns:
+        for name, inner in arrays.items():
+            docs = _with_array(docs, a, name, inner, arrays, seed, weight)
+        made = macro_json(F.col(f"`{a}`"), seed, a)
+        docs = docs.withColumn(a, F.coalesce(*[F.col(f"`{a}#{name}`") for name in arrays], made) if arrays else made)
+    roots = [c for c in columns if c.endswith("/ROOT")]
     tree: dict = {}
     for c in columns:
-        at = tree
-        *parents, leaf = c.split("/", 1)[1].split(".")
-        for p in parents:
-            at = at.setdefault(p, {})
-        at[leaf] = c
-    return docs.select("id", F.to_json(F.struct(*_nested(tree))).alias("document"))
+        if c not in roots:
+            at = tree
+            *parents, leaf = c.split("/", 1)[1].split(".")
+            for p in parents:
+                at = at.setdefault(p, {})
+            at[leaf] = c
+    whole = F.to_json(F.struct(*_nested(tree))) if tree else F.lit("{}")
+    root = F.coalesce(*[F.col(f"`{c}`") for c in roots]) if roots else F.lit(None).cast("string")
+    return docs.select(*ids.columns, F.when(root.startswith("{"), root).otherwise(whole).alias("document"))
+
+
+def _with_array(docs: DataFrame, column: str, name: str, inner: Tables, arrays: Mapping[str, Tables], seed: int, weight: str) -> DataFrame:
+    """A column of JSON arrays for the rows whose picked value is ``@ARRAY(name,n)``."""
+    length = F.regexp_extract(F.col(f"`{column}`"), rf"^@ARRAY\(\s*{name}\s*,\s*(\d+)\s*\)$", 1).try_cast("int")
+    wanted = docs.filter(length.isNotNull()).select(F.col("id").alias("parent"), length.alias("n"))
+    parts = wanted.filter("n > 0").select("parent", F.explode(F.sequence(F.lit(1), "n")).alias("pos")).withColumn("id", F.xxhash64("parent", F.lit(column), "pos"))
+    others = {k: v for k, v in arrays.items() if k != name}
+    made = documents(parts, inner, others, seed + 1, weight)
+    listed = made.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("pos", "document"))).alias("items"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["document"]), ","), F.lit("]"))
+    return docs.join(listed.select(F.col("parent").alias("__parent"), text.alias("__array")), F.col("id") == F.col("__parent"), "left").withColumn(f"{column}#{name}", F.when(length.isNotNull(), F.coalesce("__array", F.lit("[]")))).drop("__parent", "__array")
 
 
 def _nested(tree: dict) -> list[Column]:
-    blank = lambda c: F.when(~F.coalesce(F.trim(c), F.lit("")).isin("", "null"), c)
-    return [F.struct(*_nested(v)).alias(k) if isinstance(v, dict) else blank(F.col(f"`{v}`")).alias(k) for k, v in tree.items()]
+    out = []
+    for k, v in tree.items():
+        if isinstance(v, dict):
+            inner = F.to_json(F.struct(*_nested(v)))
+            out.append(F.try_parse_json(F.when(inner != "{}", inner)).alias(k))
+        else:
+            out.append(F.try_parse_json(F.col(f"`{v}`")).alias(k))
+    return out
 
 
 def mutate(df: DataFrame, key: str, rate: float, edits: Mapping[str, tuple[float, Callable[[Column], Column]]], seed: int = 1) -> DataFrame:
     """A share of rows is touched; of these each column's edit applies with its own rate. Repeatable by key."""
     hit = uniform(seed, "hit", key) < rate
-    out = df.withColumn("__hit", hit)
-    for column, (share, edit) in edits.items():
-        out = out.withColumn(f"__{column}", F.col("__hit") & (uniform(seed, column, key) < share))
-    for column, (_, edit) in edits.items():
-        out = out.withColumn(column, F.when(F.col(f"__{column}"), edit(F.col(column))).otherwise(F.col(column)))
-    return out.drop("__hit", *[f"__{c}" for c in edits])
+    marks = {c: hit & (uniform(seed, c, key) < share) for c, (share, _) in edits.items()}
+    return df.select(*[F.when(marks[c], edits[c][1](F.col(c))).otherwise(F.col(c)).alias(c) if c in edits else F.col(c) for c in df.columns])
+
+
+def mutate_documents(df: DataFrame, key: str, number: str, flag: str, values: tuple[str, str], rate: float = 0.01, seed: int = 1, deleted: str = "deleted") -> DataFrame:
+    """Of the rows touched, a tenth each: the number grows by a hundredth, the flag flips, the row is marked deleted, or, of the others, it gets a new id."""
+    hit = uniform(seed, "hit", key) < rate
+    tenth = lambda name: hit & (uniform(seed, name, key) < 0.1)
+    gone = tenth("delete")
+    flipped = F.when(F.col(flag) == values[0], values[1]).when(F.col(flag) == values[1], values[0]).otherwise(F.col(flag))
+    moved = (F.col(key) * 100 + F.floor(uniform(seed, "id", key) * 100)).cast(df.schema[key].dataType)
+    return df.select(
+        F.when(tenth("move") & ~gone, moved).otherwise(F.col(key)).alias(key),
+        *[F.when(tenth("number"), F.floor(F.col(c) * 101 / 100).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == number else F.when(tenth("flag"), flipped).otherwise(F.col(c)).alias(c) if c == flag else F.col(c) for c in df.columns if c != key],
+        F.when(gone, F.lit(True)).alias(deleted),
+    )

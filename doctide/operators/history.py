@@ -47,7 +47,13 @@ def as_of(current: DataFrame, history: DataFrame, key: str, instant: Column, whe
 
 
 def change_log(history: DataFrame, record_id) -> DataFrame:
-    return history.filter(F.col("record_id") == F.lit(record_id)).orderBy("ts", "seq")
+    """The events of one key, newest first."""
+    return history.filter(F.col("record_id") == F.lit(record_id)).orderBy(F.desc("ts"), F.desc("seq"))
+
+
+def as_of_one(current: DataFrame, history: DataFrame, key: str, value, instant: Column) -> DataFrame:
+    """One key at an instant; its own history is all that is read."""
+    return as_of(current.filter(F.col(key) == F.lit(value)), history.filter(F.col("record_id") == F.lit(value)), key, instant)
 
 
 def array_delta(old: Column, new: Column) -> Column:

@@ -53,13 +53,29 @@ def group_columns(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame
     return df.withColumn(name, F.struct(*columns)).drop(*columns)
 
 
-def weight_ranges(table: DataFrame, weight: str, order: Sequence[str]) -> DataFrame:
-    """Cumulative ``lo`` and ``hi`` of truncated weights in a given order; rows without weight go. One small table meets in one task."""
-    whole = table.withColumn("__w", F.col(weight).cast("double").cast("long")).filter("__w >= 1")
-    hi = F.sum("__w").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return whole.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("__w")).drop("__w")
-
-
-def weighted_pick(draws: DataFrame, r: str, ranges: DataFrame) -> DataFrame:
-    """The range row with lo <= r < hi; the table is small and the planner loops over its broadcast."""
-    return draws.join(ranges, (F.col(r) >= F.col("lo")) & (F.col(r) < F.col("hi")))
+def weight_ranges(table: DataFrame, weight: str, order: Sequence[str], bucket: Column) -> tuple[DataFrame, int]:
+    """Cumulative ``lo`` and ``hi`` of truncated weights, and their total; rows of a weight below one go.
+
+    ``bucket`` deals the rows out: sums run inside each, and one row a bucket is put in order. The running order is that of
+    (bucket, order), so a bucket that grows with the order keeps it.
+    """
+    whole = table.withColumn("__w", F.col(weight).cast("double").cast("long")).filter("__w >= 1").withColumn("__b", bucket)
+    sums = whole.groupBy("__b").agg(F.sum("__w").alias("__sum"))
+    before = sums.select(F.col("__b").alias("__of"), (F.sum("__sum").over(Window.orderBy("__b")) - F.col("__sum")).alias("__before"))
+    inside = F.sum("__w").over(Window.partitionBy("__b").orderBy(*[F.col(f"`{c}`") for c in order]).rowsBetween(Window.unboundedPreceding, 0))
+    ranges = whole.withColumn("__in", inside).join(before, F.col("__b") == F.col("__of")).withColumn("hi", F.col("__before") + F.col("__in")).withColumn("lo", F.col("hi") - F.col("__w"))
+    return ranges.drop("__w", "__b", "__of", "__before", "__in"), sums.agg(F.coalesce(F.sum("__sum"), F.lit(0))).first()[0]
+
+
+def weighted_pick(draws: DataFrame, r: str, ranges: DataFrame, total: int, cells: int = 1 << 16) -> DataFrame:
+    """The range row with lo <= r < hi, by equality on cells of the number line that a range covers, then its bounds."""
+    width = max(1, -(-total // cells))
+    covered = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))
+    sides = ranges.withColumn("__cell", covered)
+    return draws.withColumn("__at", F.floor(F.col(r) / width)).join(sides, (F.col("__at") == F.col("__cell")) & (F.col(r) >= F.col("lo")) & (F.col(r) < F.col("hi"))).drop("__at", "__cell")
+
+
+def conditional_lookup(df: DataFrame, details: DataFrame, key: str, other: str, when: Column, then: str, otherwise: str, name: str, order: Sequence[Column] = ()) -> DataFrame:
+    """One detail row by key (the first by ``order``), of which one of two texts is taken by a condition on the left row; empty ones are null."""
+    one = first_per_key(details.select(F.col(other).alias("__key"), F.col(then).alias("__then"), F.col(otherwise).alias("__else")), ["__key"], list(order) or [F.col("__then"), F.col("__else")])
+    return df.join(one, df[key] == one["__key"], "left").withColumn(name, F.nullif(F.when(when, F.col("__then")).otherwise(F.col("__else")), F.lit(""))).drop("__key", "__then", "__else")

@@ -42,6 +42,46 @@ def undeclared_keys(raw: str, declared: Sequence[str]) -> Column:
     return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(F.col(raw)), F.array().cast("array<string>")), F.array(*map(F.lit, declared))))
 
 
+def undeclared_paths(raw: str, schema: T.StructType, at: str = "") -> Column:
+    """Dotted names of keys that a closed schema doesn't have, at every level that declares fields."""
+    text = F.col(raw) if not at else F.get_json_object(F.col(raw), "$." + at)
+    declared = F.array(*[F.lit(f.name) for f in schema])
+    own = F.transform(F.array_except(F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")), declared), lambda k: F.concat(F.lit(at + "." if at else ""), k))
+    inner = [undeclared_paths(raw, f.dataType, f"{at}.{f.name}" if at else f.name) for f in schema if isinstance(f.dataType, T.StructType)]
+    return F.array_sort(F.concat(own, *inner))
+
+
+def coerce_leaves(df: DataFrame, raw: str) -> DataFrame:
+    """key columns with ``path``, ``number``, ``day`` and ``instant`` for every leaf of a JSON text, through objects and one level of arrays."""
+    rest = [c for c in df.columns if c != raw]
+    level = df.select(*rest, F.expr(f"explode(from_json(`{raw}`, 'map<string,string>'))").alias("path", "value"))
+    for _ in range(3):
+        nested = F.col("value").startswith("{")
+        deeper = level.filter(nested).select(*rest, F.col("path").alias("__up"), F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")).select(*rest, F.concat_ws(".", "__up", "key").alias("path"), "value")
+        level = level.filter(~nested | F.col("value").isNull()).unionByName(deeper)
+    listed = F.col("value").startswith("[")
+    items = level.filter(listed).select(*rest, "path", F.explode(F.from_json("value", "array<string>")).alias("value"))
+    flat = level.filter(~listed | F.col("value").isNull()).unionByName(items)
+    made = coerce_dynamic(F.col("value"))
+    return flat.select(*rest, "path", *[c.alias(n) for n, c in made.items()])
+
+
+def schema_document(schema: T.StructType, rules: Sequence[tuple[str, str]] = (), closed: bool = True) -> dict:
+    """A structured description of a declared model: types, nesting, arrays, required fields, whether unknown ones are allowed."""
+    simple = {"string": "string", "bigint": "long", "int": "int", "double": "double", "boolean": "bool", "date": "date", "timestamp": "date"}
+
+    def of(kind: T.DataType, at: str) -> dict:
+        if isinstance(kind, T.StructType):
+            need = [f.name for f in kind if (at + f.name, "not_null") in rules or not f.nullable]
+            body: dict = {"type": "object", "properties": {f.name: of(f.dataType, f"{at}{f.name}.") for f in kind}}
+            return body | ({"required": need} if need else {}) | ({"additionalProperties": False} if closed else {})
+        if isinstance(kind, T.ArrayType):
+            return {"type": "array", "items": of(kind.elementType, at)}
+        return {"type": simple.get(kind.simpleString(), "any")}
+
+    return of(schema, "")
+
+
 def coerce_dynamic(text: Column) -> dict[str, Column]:
     """A dynamic value read as number, date and instant; strings shorter than 8 or not led by a digit stay text."""
     dated = (F.length(text) >= 8) & text.rlike("^[0-9]")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 
@@ -40,3 +41,39 @@ def text_search(df: DataFrame, key: str, fields: Sequence[str], query: str, limi
         idf = F.log(1 + (F.col("n") - n + 0.5) / (n + 0.5))
         parts = parts + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return scored.select(key, F.round(parts, 6).alias("score")).orderBy(F.desc("score"), key).offset(skip).limit(limit)
+
+
+def text_fields(df: DataFrame, path: str | Sequence[str]) -> list[str]:
+    """Field names; the wildcard ``*`` stands for all string leaves, also inside of objects."""
+    if path != "*":
+        return [path] if isinstance(path, str) else list(path)
+
+    def leaves(schema: T.StructType, at: str = "") -> list[str]:
+        return [x for f in schema for x in (leaves(f.dataType, f"{at}{f.name}.") if isinstance(f.dataType, T.StructType) else [at + f.name] if isinstance(f.dataType, T.StringType) else [])]
+
+    return leaves(df.schema)
+
+
+def indexed_search(index: DataFrame, key: str, query: str, n_rows: int, mean_length: float, limit: int | None = 1000, skip: int = 0) -> DataFrame:
+    """key and score from a ``postings`` table; only the query terms' rows of the index are read, and no text."""
+    terms = [t for t in dict.fromkeys(w.lower() for w in query.replace(",", " ").split()) if t]
+    found = index.filter(F.col("term").isin(terms))
+    idf = found.groupBy(F.col("term").alias("of")).agg(F.count("*").alias("n")).select("of", F.log(1 + (F.lit(float(n_rows)) - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
+    scores = found.join(F.broadcast(idf), F.col("term") == F.col("of")).groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))  # one row a query term
+    return scores if limit is None else scores.orderBy(F.desc("score"), key).offset(skip).limit(limit)
+
+
+def compound_search(df: DataFrame, key: str, texts: Sequence[tuple[str, str | Sequence[str]]], where: Column | None = None, limit: int = 1000, skip: int = 0) -> DataFrame:
+    """key and score of rows that match every (query, path) clause and the condition; the clauses' scores are summed."""
+    out: DataFrame | None = None
+    for query, path in texts:
+        fields = text_fields(df, path)
+        index = postings(df, key, fields)
+        totals = df.select(F.size(tokens(*fields)).alias("n")).agg(F.count("*").alias("rows"), F.avg("n").alias("mean")).first()
+        found = indexed_search(index, key, query, totals["rows"], totals["mean"] or 1.0, None)
+        out = found if out is None else out.join(found.withColumnRenamed("score", "__more"), key).select(key, (F.col("score") + F.col("__more")).alias("score"))
+    assert out is not None
+    if where is not None:
+        out = out.join(df.filter(where).select(key).distinct(), key, "left_semi")
+    return out.select(key, F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).offset(skip).limit(limit)

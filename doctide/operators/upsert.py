@@ -2,20 +2,24 @@
 
 Current tables hold the declared columns, ``lock_version`` and ``previous`` (update id, time, changed paths with old
 values). Incoming null means absent. One full join on the key does the whole batch; rows that don't change stay as
-they are. A key that comes more than once in a batch is first collapsed in the order given.
+they are. A key that comes more than once in a batch is first collapsed in the order given; without an order the
+batch must not repeat a key, and a repeated one fails it. INSERT fails on keys that exist if ``conflicts`` is "fail".
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import first_per_key
+from .quality import split_invalid, violations
 
 STRATEGIES = ("REPLACE", "UPDATE", "UPDATEWITHHISTORY", "INSERT")
 PREVIOUS = "struct<update_id:string,last_update:timestamp,changes:map<string,string>>"
@@ -75,12 +79,17 @@ def collapse(incoming: DataFrame, key: str, order: str, strategy: str, delete: s
     return rows.groupBy(key).agg(F.max(order).alias(order), *last)
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str, strategy: str, batch_id: str, batch_ts: Column, delete: str | None = None, order: str | None = None, delete_when: str = "true") -> Upsert:
+def upsert(current: DataFrame, incoming: DataFrame, key: str, strategy: str, batch_id: str, batch_ts: Column, delete: str | None = None, order: str | None = None, delete_when: str = "true", conflicts: str = "report") -> Upsert:
     """Apply a batch. ``delete`` names a marker column of the incoming frame; ``delete_when="present"`` takes any non-null."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     if order:
         incoming = collapse(incoming, key, order, strategy, delete).drop(order)
+    else:
+        # Checked as the rows are read: one group a key, on the partitioning that the join needs anyway.
+        other = [c for c in incoming.columns if c != key]
+        alone = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("a key comes twice and no order is given: "), F.col(key).cast("string")))).otherwise(F.first(F.struct(F.lit(1).alias("__one"), *other)))
+        incoming = incoming.groupBy(key).agg(alone.alias("__row")).select(key, *[F.col(f"__row.{c}").alias(c) for c in other])
     book = {"lock_version", "previous"}
     doc = T.StructType([f for f in current.schema if f.name not in book])
     leaves = [(p, k) for p, k in leaf_paths(doc) if p != key]
@@ -108,6 +117,8 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, strategy: str, bat
     take[key] = F.coalesce(F.col(f"c.{key}"), F.col(f"i.{key}"))
     nothing = F.lit(None).cast("map<string,string>")
     kept = F.when(F.col("__action") == "update", delta) if strategy == "UPDATEWITHHISTORY" else nothing
+    if conflicts == "fail":
+        action = F.when(action == "conflict", F.raise_error(F.concat(F.lit("key exists: "), F.col(f"i.{key}").cast("string"))).cast("string")).otherwise(action)
     both = both.withColumn("__action", action)
     version = F.when(F.col("__action") == "insert", F.lit(1)).when(F.col("__action") == "update", F.lit(1) if strategy == "REPLACE" else F.coalesce("c.lock_version", F.lit(0)) + 1).otherwise(F.col("c.lock_version")).cast("long")
     note = F.struct(F.when(F.col("__action") == "update", F.lit(batch_id)).alias("update_id"), batch_ts.cast("timestamp").alias("last_update"), kept.alias("changes")).cast(PREVIOUS)
@@ -123,3 +134,31 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, strategy: str, bat
 def with_bookkeeping(df: DataFrame) -> DataFrame:
     """A plain frame as a current table at version 1."""
     return df.withColumn("lock_version", F.lit(1).cast("long")).withColumn("previous", F.lit(None).cast(PREVIOUS))
+
+
+@dataclass
+class Load:
+    """A batch with its rejected rows and a report of one row: counters, invalid and broken rows, success and message."""
+
+    applied: Upsert
+    invalid: DataFrame
+    report: DataFrame
+
+
+def load(
+    current: DataFrame, incoming: DataFrame, key: str, strategy: str, batch_id: str, batch_ts: Column, rules: Sequence[tuple[str, Column]] = (), keep_invalid: Column | None = None,
+    pre_write: Callable[[DataFrame], DataFrame] | None = None, broken: DataFrame | None = None, **options: Any,
+) -> Load:
+    """Hook, validation, upsert and report in one. Rows that break a rule stay out unless ``keep_invalid`` says otherwise; without rules all are written.
+
+    ``broken`` holds texts that could not be read: the rest is applied, and the report says that the load failed.
+    """
+    rows = pre_write(incoming) if pre_write else incoming
+    marked = violations(rows, rules) if rules else rows.withColumn("violations", F.array().cast("array<string>"))
+    accepted, invalid = split_invalid(marked, "quarantine", keep_invalid)
+    applied = upsert(current, accepted, key, strategy, batch_id, batch_ts, **options)
+    bad = invalid.agg(F.count("*").alias("invalid"))
+    unread = broken.agg(F.count("*").alias("broken")) if broken is not None else bad.sparkSession.range(1).select(F.lit(0).cast("long").alias("broken"))
+    report = applied.metrics.crossJoin(bad).crossJoin(unread)  # one row each
+    report = report.withColumn("success", F.col("broken") == 0).withColumn("message", F.when(F.col("broken") > 0, F.concat(F.col("broken").cast("string"), F.lit(" texts could not be read"))).otherwise(F.lit("")))
+    return Load(applied, invalid, report)

@@ -273,13 +273,14 @@ def query_cost(spark, sf_dir):
     return log.select("event_id", querylog.cost_score(F.col("event_type") == "error", F.col("event_type") == "click", F.col("r"), F.col("k"), F.col("d")).alias("cost"))
 
 
-@_query("""WITH w AS (SELECT p_partkey, sum(p_size::BIGINT) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS hi, p_size::BIGINT AS w FROM part WHERE p_size >= 1 AND p_partkey <= 200)
-SELECT o_orderkey, p_partkey FROM (SELECT o_orderkey, o_orderkey * 7919 % (SELECT max(hi) FROM w) AS r FROM orders) JOIN w ON r >= hi - w AND r < hi""")
+@_query("""WITH w AS (SELECT p_partkey, sum(p_size::BIGINT) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS hi, p_size::BIGINT AS w FROM part WHERE p_size >= 1),
+d AS (SELECT o_orderkey, (o_orderkey * 7919 % (SELECT max(hi) FROM w))::BIGINT AS r FROM orders)
+SELECT o_orderkey, p_partkey FROM d ASOF JOIN (SELECT p_partkey, hi - w AS lo FROM w) ON r >= lo""")
 def weighted_sample(spark, sf_dir):
-    ranges = joins.weight_ranges(_table(spark, sf_dir, "part").filter("p_partkey <= 200").select("p_partkey", "p_size"), "p_size", ["p_partkey"])
-    total = ranges.agg(F.max("hi")).first()[0]
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    ranges, total = joins.weight_ranges(parts, "p_size", ["p_partkey"], F.floor(F.col("p_partkey") / 1000))
     draws = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % F.lit(total)).alias("r"))
-    return joins.weighted_pick(draws, "r", ranges).select("o_orderkey", "p_partkey")
+    return joins.weighted_pick(draws, "r", ranges, total).select("o_orderkey", "p_partkey")
 
 
 @_query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN floor(o_totalprice * 101 / 100) ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 10 = 4 THEN CASE o_orderstatus WHEN 'F' THEN 'O' ELSE 'F' END ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -289,14 +290,29 @@ def mutation_by_rule(spark, sf_dir):
     return rows.withColumns({"o_totalprice": F.when(pick(3), F.floor(F.col("o_totalprice") * 101 / 100).cast("double")).otherwise(F.col("o_totalprice")), "o_orderstatus": F.when(pick(4), F.when(F.col("o_orderstatus") == "F", "O").otherwise("F")).otherwise(F.col("o_orderstatus"))})
 
 
-@_query()
+def _u(seed: int, name: str, key: str) -> str:
+    """The seeded uniform number of a row in SQL."""
+    return f"(('0x' || substr(md5({key}::VARCHAR || ':{seed}:{name}'), 1, 12))::BIGINT / 281474976710656.0)"
+
+
+@_query(f"""SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, CASE WHEN h AND {_u(1, 'o_totalprice', 'o_orderkey')} < 0.1 THEN o_totalprice * 101 / 100 ELSE o_totalprice END AS o_totalprice,
+CASE WHEN h AND {_u(1, 'o_orderstatus', 'o_orderkey')} < 0.1 THEN CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'F' END ELSE o_orderstatus END AS o_orderstatus FROM (SELECT *, {_u(1, 'hit', 'o_orderkey')} < 0.01 AS h FROM orders)""")
 def mutation_seeded(spark, sf_dir):
     return generate.mutate(_table(spark, sf_dir, "orders"), "o_orderkey", 0.01, {"o_totalprice": (0.1, lambda c: c * 101 / 100), "o_orderstatus": (0.1, lambda c: F.when(c == "F", "O").otherwise("F"))})
 
 
-@_query()
+@_query("SELECT count(*) AS n, count(*) AS ids, true AS shaped, true AS in_range FROM orders")
 def generated_documents(spark, sf_dir):
-    """Documents shaped like events and orders: frequency tables learned from both."""
+    """Documents shaped like events and orders: frequency tables learned from both; their counts and whether all have the learned shape."""
     kinds = profile.frequency(_table(spark, sf_dir, "events"), "event_type", "event.type")
     orders = _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("order.status"), F.col("o_orderpriority").alias("order.priority")).agg(F.count("*").alias("probability"))
-    return generate.generate(spark, _table(spark, sf_dir, "orders").count(), {"kinds": kinds, "orders": orders})
+    macros = _table(spark, sf_dir, "orders").groupBy(F.lit("@ONEUP").alias("n"), F.lit("@INTEGER(3,9)").alias("order.level"), F.lit("@ARRAY(lines,2)").alias("lines")).agg(F.count("*").alias("probability"))
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").cast("string").alias("number")).agg(F.count("*").alias("probability"))
+    made = generate.generate(spark, _table(spark, sf_dir, "orders").count(), {"kinds": kinds, "orders": orders, "macros": macros}, {"lines": {"lines": lines}})
+    typed = F.from_json("document", "n bigint, event struct<type:string>, order struct<status:string,priority:string,level:bigint>, lines array<struct<flag:string,number:bigint>>")
+    d = made.select("id", typed.alias("d")).select("id", "d.*")
+    shaped = F.col("event.type").isNotNull() & F.col("order.status").isNotNull() & F.col("order.priority").isNotNull() & (F.size("lines") == 2) & F.forall("lines", lambda x: x["flag"].isNotNull() & x["number"].isNotNull())
+    return d.agg(F.count("*").alias("n"), F.count_distinct(F.col("n") - 1).alias("ids"), F.bool_and(shaped).alias("shaped"), F.bool_and(F.col("order.level").between(3, 9)).alias("in_range"))
+
+
+from . import documents as _documents  # noqa: E402, F401  further queries enter the same registry

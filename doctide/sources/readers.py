@@ -2,45 +2,88 @@
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_FILE_BYTES = 256 << 20
+
+#: Files up to this size come whole from Spark's reader; larger ones are read by their task piece by piece.
+WHOLE_BYTES, PIECE = 64 << 20, 4 << 20
 
 
 def read_json_text(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """``raw`` JSON texts and ``broken`` remainders. Layouts: lines; array or concatenated (a file is one task, up to MAX_FILE_BYTES)."""
+    """``raw`` JSON texts and ``broken`` remainders. Layouts: lines; array or concatenated, files of any size, each read by one task.
+
+    A task holds no more of a large file than its longest object (for a broken one, what follows it).
+    """
     if layout == "lines":
         return spark.read.text(path).select(F.col("value").alias("raw"), F.try_parse_json("value").isNull().alias("broken")).filter("trim(raw) <> ''")
     if layout not in ("array", "concatenated"):
         raise ValueError(f"unknown layout: {layout}")
     files = spark.read.format("binaryFile").load(path)
-    large = F.when(F.col("length") > MAX_FILE_BYTES, F.raise_error(F.concat(F.lit("file too large for this layout: "), "path"))).otherwise(F.col("content"))
-    return files.select(large.alias("content")).mapInPandas(_split_files, "raw string, broken boolean")
-
-
-def split_objects(text: str) -> Iterator[tuple[str, bool]]:
-    """Each top-level object of a text; what can't be read from some brace on comes as one broken remainder."""
-    decoder, at = json.JSONDecoder(), text.find("{")
-    while at >= 0:
+    small = files.filter(F.col("length") <= WHOLE_BYTES).select("path", "content")
+    large = files.filter(F.col("length") > WHOLE_BYTES).select("path", F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large).mapInPandas(_split_files, "raw string, broken boolean")
+
+
+def split_objects(pieces: Iterator[str]) -> Iterator[tuple[str, bool]]:
+    """Each top-level object of a text that comes in pieces; what can't be read from some brace on comes as one broken remainder."""
+    decoder, held, wanted, ended = json.JSONDecoder(), "", 0, False
+    while True:
+        while not ended and len(held) <= wanted:
+            if (piece := next(pieces, None)) is None:
+                ended = True
+            else:
+                held += piece
+        at = held.find("{")
+        if at < 0:
+            if ended:
+                return
+            held, wanted = "", 0
+            continue
         try:
-            _, end = decoder.raw_decode(text, at)
+            _, end = decoder.raw_decode(held, at)
         except ValueError:
-            yield text[at:], True
-            return
-        yield text[at:end], False
-        at = text.find("{", end)
+            if ended:
+                yield held[at:], True
+                return
+            held, wanted = held[at:], 2 * (len(held) - at)
+            continue
+        yield held[at:end], False
+        done = end
+        # Further objects of the same text, without copying it for each.
+        while (at := held.find("{", done)) >= 0:
+            try:
+                _, end = decoder.raw_decode(held, at)
+            except ValueError:
+                break
+            yield held[at:end], False
+            done = end
+        held, wanted = held[done:], 0 if ended else len(held) - done
+
+
+def _pieces(path: str) -> Iterator[str]:
+    fs, at = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    decode = codecs.getincrementaldecoder("utf-8")()
+    with fs.open_input_stream(at) as source:
+        while data := source.read(PIECE):
+            yield decode.decode(data)
+        yield decode.decode(b"", True)
 
 
 def _split_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for content in frame["content"]:
-            yield pd.DataFrame(split_objects(bytes(content).decode("utf-8")), columns=["raw", "broken"])
+        for path, content in zip(frame["path"], frame["content"], strict=True):
+            found = split_objects(_pieces(path) if content is None else iter([bytes(content).decode("utf-8")]))
+            while rows := list(itertools.islice(found, 1000)):
+                yield pd.DataFrame(rows, columns=["raw", "broken"])
 
 
 def bind(df: DataFrame, schema: T.StructType, raw: str = "raw", payload: str | None = "payload") -> DataFrame:
@@ -73,9 +116,13 @@ def clean_rows(df: DataFrame, header_column: str, keys: Sequence[str], order: Se
     return first_per_key(rows.withColumns(text), list(keys), [F.col(c) for c in order])
 
 
-def read_frequency_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
-    """Frequency tables by name from csv or csv.gz files with a header."""
-    return {name: spark.read.option("header", True).option("escape", '"').csv(path) for name, path in paths.items()}
+def read_frequency_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Frequency tables by name from the csv, csv.gz and written csv folders of a folder, each with a header."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at))
+    read = spark.read.option("header", True).option("escape", '"')
+    return {n.removesuffix(".gz").removesuffix(".csv"): read.csv(f"{folder}/{n}") for n in names if n.removesuffix(".gz").endswith(".csv")}
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, key: str, low: int, high: int, partitions: int, **options: str) -> DataFrame:

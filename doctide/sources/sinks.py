@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import time
+import uuid
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,17 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name below the one that all machines share (``spark.checkpoint.dir``); local sessions may do without."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="doctide-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/doctide-{label}-{uuid.uuid4().hex}"
+
+
 def published(spark: SparkSession, root: str) -> int | None:
     """The newest published batch of a table folder."""
     fs, at = _fs(spark, f"{root}/published")
@@ -22,13 +37,31 @@ def published(spark: SparkSession, root: str) -> int | None:
     return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=None)
 
 
-def write_snapshot(df: DataFrame, root: str, batch: int) -> None:
-    """Write a whole state under its batch, then publish it by one atomic marker; a repeated batch overwrites its own."""
+def write_state(df: DataFrame, root: str, batch: int) -> None:
+    """A whole state under its batch; a repeated batch overwrites its own."""
     df.write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
-    fs, at = _fs(df.sparkSession, f"{root}/published/{batch}")
+
+
+def publish(spark: SparkSession, root: str, batch: int) -> None:
+    """Make a batch's state and history visible, by one atomic marker."""
+    fs, at = _fs(spark, f"{root}/published/{batch}")
     fs.create(at, True).close()
 
 
+def write_snapshot(df: DataFrame, root: str, batch: int) -> None:
+    write_state(df, root, batch)
+    publish(df.sparkSession, root, batch)
+
+
+def batch_time(spark: SparkSession, root: str, batch: int) -> datetime:
+    """The time of a batch: set by its first attempt and found again by later ones."""
+    fs, at = _fs(spark, f"{root}/times/{batch}")
+    if not fs.exists(at) or not fs.listStatus(at):
+        now = int(time.time() * 1_000_000)
+        fs.create(_fs(spark, f"{root}/times/{batch}/{now}")[1], True).close()
+    return datetime.fromtimestamp(min(int(s.getPath().getName()) for s in fs.listStatus(at)) / 1_000_000)
+
+
 def read_snapshot(spark: SparkSession, root: str, batch: int | None = None) -> DataFrame:
     return spark.read.parquet(f"{root}/state/batch={published(spark, root) if batch is None else batch}")
 
@@ -39,18 +72,38 @@ def append_history(df: DataFrame, root: str, batch: int) -> None:
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/history").drop("batch")
+    """History of published batches only; what a batch wrote before it was published isn't seen."""
+    last = published(spark, root)
+    return spark.read.parquet(f"{root}/history").filter(F.col("batch") <= F.lit(-1 if last is None else last)).drop("batch")
+
+
+def expire(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Delete states but the newest ``keep`` published ones; markers and history stay."""
+    last = published(spark, root)
+    fs, at = _fs(spark, f"{root}/state")
+    if last is None or not fs.exists(at):
+        return
+    batches = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at) if s.getPath().getName().startswith("batch="))
+    for batch in [b for b in batches if b <= last][: -keep]:
+        fs.delete(_fs(spark, f"{root}/state/batch={batch}")[1], True)
 
 
 def json_lines(df: DataFrame, payload: str | None = None) -> DataFrame:
-    """``document``: one JSON text a row, nulls left out, ISO times, payload keys at the top level."""
-    own = F.to_json(F.struct(*[c for c in df.columns if c != payload]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "ignoreNullFields": "true"})
+    """``document``: one JSON text a row, nulls left out, ISO times, payload keys at the top level.
+
+    The payload maps keys to JSON texts; a value that isn't one is written as a string. Declared columns win over equal keys.
+    """
+    style = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "ignoreNullFields": "true"}
+    own = F.to_json(F.struct(*[c for c in df.columns if c != payload]), style)
     if not payload:
         return df.select(own.alias("document"))
-    item = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["value"].rlike(r'(?s)^(\{.*\}|\[.*\]|-?\d+(\.\d+)?|true|false|null)$'), e["value"]).otherwise(F.concat(F.lit('"'), F.regexp_replace(e["value"], r'(["\\])', r"\\$1"), F.lit('"'))))
-    extra = F.concat_ws(",", F.transform(F.map_entries(payload), item))
-    whole = F.when(F.coalesce(extra, F.lit("")) == "", own).when(own == "{}", F.concat(F.lit("{"), extra, F.lit("}"))).otherwise(F.concat(F.expr("substring(d, 1, length(d) - 1)"), F.lit(","), extra, F.lit("}")))
-    return df.withColumn("d", own).select(whole.alias("document"))
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", "$1")
+    item = lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(F.to_json(F.try_parse_json(e["value"])), quoted(e["value"])))
+    declared = [c for c in df.columns if c != payload]
+    entries = F.filter(F.map_entries(payload), lambda e: e["value"].isNotNull() & ~e["key"].isin(*declared))
+    extra = F.coalesce(F.array_join(F.transform(entries, item), ","), F.lit(""))
+    glue = F.when((own == "{}") | (extra == ""), "").otherwise(",")
+    return df.select(F.concat(F.regexp_extract(own, r"(?s)^(.*)\}$", 1), glue, extra, F.lit("}")).alias("document"))
 
 
 def native_extract(df: DataFrame, fields: Mapping[str, str | Column]) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -14,14 +15,36 @@ from ..operators.upsert import upsert, with_bookkeeping
 from ..sources import sinks
 
 
+@dataclass
+class Stream:
+    """A running upsert: its query, and what its published batches did, added up."""
+
+    query: StreamingQuery
+    root: str
+
+    def drain(self) -> None:
+        """Work off what has arrived, then stop."""
+        self.query.processAllAvailable()
+        self.query.stop()
+
+    def counters(self) -> DataFrame:
+        """One row: inserts, updates, deletes, conflicts and broken messages of all published batches."""
+        spark = self.query.sparkSession if hasattr(self.query, "sparkSession") else SparkSession.active()
+        last = sinks.published(spark, self.root)
+        rows = spark.read.parquet(f"{self.root}/counters").filter(F.col("batch") <= F.lit(-1 if last is None else last))
+        return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("inserts", "updates", "deletes", "conflicts", "broken")])
+
+
 def stream_upsert(
     documents: DataFrame, root: str, schema: T.StructType, key: str, checkpoint: str, strategy: str = "REPLACE", delete: str | None = None, every: str | None = "1 second",
-    pre_write: Callable[[DataFrame], DataFrame] | None = None, post_write: Callable[[DataFrame, int], None] | None = None,
-) -> StreamingQuery:
+    pre_write: Callable[[DataFrame], DataFrame] | None = None, post_write: Callable[[DataFrame, int], None] | None = None, keep_states: int = 2,
+) -> Stream:
     """Start the stream: each micro-batch is collapsed (last of a key wins), applied and published once.
 
     ``documents`` comes from ``stream_documents``. Broken messages go to quarantine. A batch that was published before
-    is skipped, so a repeated one changes nothing. ``every=None`` works off what is there and stops.
+    is skipped, so a repeated one changes nothing; one that failed before writes the same rows with the same time again,
+    as its time is written first. ``post_write`` sees the changes when history and state are written, before they are
+    published. ``every=None`` works off what is there and stops. The newest ``keep_states`` states are kept.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -29,17 +52,30 @@ def stream_upsert(
         last = sinks.published(spark, root)
         if last is not None and last >= number:
             return
+        if not batch.head(1):
+            return
+        batch_ts = F.lit(sinks.batch_time(spark, root, number))
         batch = batch.persist()
-        sinks.quarantine(batch.filter("broken").select("raw"), f"{root}/quarantine", number)
-        rows = batch.filter("NOT broken").select("doc.*", F.struct("seq", F.monotonically_increasing_id().alias("row")).alias("__order")).filter(F.col(key).isNotNull())
-        rows = pre_write(rows) if pre_write else rows
-        state = with_bookkeeping(spark.createDataFrame([], T.StructType([f for f in schema if f.name != delete]))) if last is None else sinks.read_snapshot(spark, root, last)
-        made = upsert(state, rows, key, strategy, str(number), F.current_timestamp(), delete, "__order")
-        if post_write:
-            post_write(made.changes, number)
-        sinks.append_history(history_rows(made.changes, number), root, number)
-        sinks.write_snapshot(made.state, root, number)
-        batch.unpersist()
+        try:
+            broken = batch.filter("broken").select("raw")
+            sinks.quarantine(broken, f"{root}/quarantine", number)
+            rows = batch.filter("NOT broken").select("doc.*", F.struct("seq", F.monotonically_increasing_id().alias("row")).alias("__order")).filter(F.col(key).isNotNull())
+            rows = pre_write(rows) if pre_write else rows
+            state = with_bookkeeping(spark.createDataFrame([], T.StructType([f for f in schema if f.name != delete]))) if last is None else sinks.read_snapshot(spark, root, last)
+            made = upsert(state, rows, key, strategy, str(number), batch_ts, delete, "__order")
+            made.changes.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
+            changes = spark.read.parquet(f"{root}/changes/batch={number}")
+            sinks.append_history(history_rows(changes, number), root, number)
+            sinks.write_state(made.state, root, number)
+            count = lambda kind: F.count(F.when(F.col("type") == kind, 1)).alias(f"{kind}s")
+            totals = changes.agg(count("insert"), count("update"), count("delete"), count("conflict")).withColumn("broken", F.lit(broken.count()).cast("long"))
+            totals.coalesce(1).write.mode("overwrite").parquet(f"{root}/counters/batch={number}")
+            if post_write:
+                post_write(changes, number)
+            sinks.publish(spark, root, number)
+            sinks.expire(spark, root, keep_states)
+        finally:
+            batch.unpersist()
 
     writer = documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return Stream((writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start(), root)
