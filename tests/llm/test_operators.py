@@ -455,9 +455,10 @@ def test_pipeline_stages(spark, tmp_path):
     """Whole run on a small corpus: junk, copies and private data are dealt with, null and repeated ids kept apart, extra columns dropped."""
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(31)
-    clean = [sentence(rng, 80) for _ in range(60)]
+    clean = [sentence(rng, 80) + (" river at house dot com" if k % 2 else "") for k in range(60)]
+    both = lambda a, b: " ".join(clean[a].split()[:40] + clean[b].split()[40:])
     rows = [(i, t, "en", ["s1", "s2", None][i % 3], len(t)) for i, t in enumerate(clean)]
-    rows += [(100, clean[3], "en", "s1", 1), (101, clean[4] + " end", "en", "s2", 1), (5, clean[5], "en", "s3", 1), (None, clean[10] + " " + clean[11], "en", "s1", 1), (None, clean[12] + " " + clean[13] + " river at house dot com", "en", "s2", 1)]
+    rows += [(100, clean[3], "en", "s1", 1), (101, clean[4] + " end", "en", "s2", 1), (5, clean[5], "en", "s3", 1), (None, both(10, 12), "en", "s1", 1), (None, both(11, 13), "en", "s2", 1)]
     rows += [(200 + i, "".join(rng.choices("#$%&*QXZ|", k=300)), "en", "s1", 300) for i in range(4)] + [(300, None, "en", "s1", 0), (301, "", None, None, 0), (7, "#$%&*QXZ|" * 40, "en", "s1", 1)]
     spark.createDataFrame([(*r, 1) for r in rows], PIPE + ", k_id int").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(60) if i != 7], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
