@@ -141,15 +141,23 @@ def _arrays(values: list[np.ndarray]) -> pa.Array:
 
 
 def measured(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, told, n_shingles, node (a sum that tells the set) and the sketch, smallest value first, of (doc_id, told, text)."""
+    """doc_id, told, n_shingles, node (a sum that tells the set), the sketch, smallest value first, and the text, of (doc_id, told, text).
+
+    The text comes as zstandard bytes, for the road, once for each set that a task meets; other rows hold null there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, shown = zstandard.ZstdCompressor(level=1), set()
         for block in blocks(batches, "text", BLOCK_BYTES):
-            sets = shingle_sets(utf8(block, "text"), shingle)
-            sizes = pa.array([len(x) for x in sets], pa.int64())
-            yield from pa.table({"doc_id": block.column("doc_id"), "told": block.column("told"), "n_shingles": sizes, "node": _nodes(sets), "sketch": _arrays([x[:K] for x in sets])}).combine_chunks().to_batches()
+            texts = utf8(block, "text")
+            sets = shingle_sets(texts, shingle)
+            sizes, nodes, pressed = [len(x) for x in sets], _nodes(sets), []
+            for text, size, node in zip(texts, sizes, nodes.tolist(), strict=True):
+                pressed.append(job.compress(text) if size and node not in shown else None)
+                shown.add(node)
+            yield from pa.table({"doc_id": block.column("doc_id"), "told": block.column("told"), "n_shingles": pa.array(sizes, pa.int64()), "node": nodes, "sketch": _arrays([x[:K] for x in sets]), "pressed": pa.array(pressed, pa.binary())}).combine_chunks().to_batches()
 
-    return docs.mapInArrow(run, "doc_id long, told long, n_shingles long, node long, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, told long, n_shingles long, node long, sketch array<long>, pressed binary")
 
 
 def _nodes(sets: list[np.ndarray]) -> np.ndarray:
@@ -206,23 +214,6 @@ def prefixes(told: DataFrame, hints: np.ndarray) -> DataFrame:
     return told.select("n_shingles", "node", "sketch").mapInArrow(run, "node long, size long, prefix array<long>, ranked array<int>")
 
 
-def _pressed(named: DataFrame, shingle: int) -> DataFrame:
-    """node and the text as zstandard bytes, for the road, of rows (node, text) where the text has that set.
-
-    Rows that repeat an id with another text may be among them; those go.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job = zstandard.ZstdCompressor(level=1)
-        for block in blocks(batches, "text", BLOCK_BYTES):
-            texts, nodes = utf8(block, "text"), block.column("node").to_numpy()
-            own = _nodes(shingle_sets(texts, shingle)) == nodes
-            pressed = [job.compress(t) for t, right in zip(texts, own.tolist(), strict=True) if right]
-            yield from pa.table({"node": nodes[own], "text": pa.array(pressed, pa.binary())}).combine_chunks().to_batches()
-
-    return named.select("node", "text").mapInArrow(run, "node long, text binary")
-
-
 def _similar_sizes(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -392,24 +383,24 @@ def _link(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: in
     filled = told.filter("n_shingles > 0")
     shown = filled.filter(F.pmod("node", F.lit(HINT_SHARE)) == 0).select("node", "sketch").dropDuplicates(["node"])
     heads = scratch.write(prefixes(filled, _top_values(shown.select(F.explode("sketch").alias("value")))), "prefixes")
-    ids = scratch.write(told.drop("sketch"), "ids")
-    scratch.drop(told)
+    ids = scratch.write(told.drop("sketch", "pressed"), "ids")
     filled = ids.filter("n_shingles > 0")
     rows = heads.select("node", F.explode("prefix").alias("value"))
     # Lists of two nodes or more; copies of one set are one node.
     listed = rows.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low < top").select("value")
     lists = scratch.write(rows.join(listed, "value").distinct(), "lists")
     # One sketch and one text for each node that any list pairs with another.
-    by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told")
+    by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     owners = filled.groupBy("node").agg(F.min(by_id).alias("one"), F.max("n_shingles").alias("size"), F.count("*").alias("copies"))
-    owners = scratch.write(owners.select("node", F.col("one.doc_id").alias("owner"), F.col("one.told").alias("told"), "size", "copies"), "owners")
+    owners = scratch.write(owners.select("node", F.col("one.doc_id").alias("owner"), "size", "copies"), "owners")
     wanted = owners.join(lists.groupBy("node").agg(F.count("*").alias("lists")), "node")
-    wanted = scratch.write(wanted.select("node", "owner", F.col("told").alias("own"), "size", "lists"), "wanted").filter("size > 0")
+    wanted = scratch.write(wanted.select("node", "size", "lists"), "wanted").filter("size > 0")
     sketches = heads.select("node", "size", "ranked").join(wanted.select("node"), "node", "left_semi")
     sketches = scratch.write(sketches.dropDuplicates(["node"]), "sketches")
-    texts = base.join(wanted, (F.col("told") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("owner"))).select("node", "text")
-    texts = scratch.write(_pressed(texts, shingle).dropDuplicates(["node"]), "texts")
-    scratch.drop(heads)
+    # Texts of one set are alike here, so any row's will do.
+    texts = told.filter("pressed IS NOT NULL").select("node", F.col("pressed").alias("text")).join(wanted.select("node"), "node", "left_semi")
+    texts = scratch.write(texts.dropDuplicates(["node"]), "texts")
+    scratch.drop(heads, told)
     links: DataFrame | None = None
     done: DataFrame | None = None
     state: DataFrame | None = None
@@ -452,9 +443,10 @@ def _link(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: in
         linked = settle(here.join(picked, "value").filter("component <> hub.component").select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
         scratch.drop(here)
     here = apart()
-    still = scratch.write(texts.join(here.select(F.col("node").alias("n"), "component").distinct(), F.col("node") == F.col("n")).select("node", "component", "text"), "open")
-    hints = _top_values(_shown(still.filter(F.pmod("node", F.lit(HINT_SHARE)) == 0), shingle))
-    entries = scratch.write(full_prefixes(still, hints, percent, shingle), "entries")
+    still = scratch.write(here.select("node", "component").distinct(), "open")
+    sample = still.filter(F.pmod("node", F.lit(HINT_SHARE)) == 0)
+    hints = _top_values(_shown(texts.join(sample, "node"), shingle))
+    entries = scratch.write(full_prefixes(texts.join(still, "node"), hints, percent, shingle), "entries")
     scratch.drop(here, still)
     settle(_across(entries, percent, scratch))
     scratch.drop(entries, texts, sketches, lists)
