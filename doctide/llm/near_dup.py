@@ -56,7 +56,7 @@ PAIR_ROWS = 64
 ENOUGH = 0.1
 #: List entries, or pairs of one node, that meet in one task; more are dealt out by a salt.
 SPLIT = 512
-#: Parts that a node's neighbours are dealt out to when components are found and told to the documents.
+#: Parts that the copies of a set are dealt out to when components are told to them.
 SALTS = 16
 #: Nodes with more than SPLIT pairs up to which they are broadcast; beyond, they are joined by shuffle.
 HOT_NODES = 200_000
@@ -331,28 +331,33 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and component (its smallest member) for the nodes of ``edges`` (a, b), by alternating large and small stars."""
     scratch = scratch or Scratch(edges.sparkSession)
     now = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    signature = None
+    signature, pairs = None, now.count()
 
     def told(rows: DataFrame, least: DataFrame) -> DataFrame:
-        """Each row with its centre's ``m``; a centre's rows are dealt out to SALTS parts."""
-        sides = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return rows.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(sides, ["a", "part"]).drop("part")
+        """Each row with its centre's ``m``; the rows of a centre of more than SPLIT (``n``) are dealt out."""
+        parts = F.ceil(F.col("n") / SPLIT).cast("int")
+        hot = least.filter(F.col("n") > SPLIT).select("a", parts.alias("parts"))
+        # No more than 2 * pairs / SPLIT centres are hot.
+        hot = F.broadcast(hot) if 2 * pairs <= HOT_NODES * SPLIT else hot
+        dealt = rows.join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), "parts").cast("int"), F.lit(0))).drop("parts")
+        sides = least.select("a", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        return dealt.join(sides, ["a", "part"]).drop("part")
 
     while True:
         # Large star: every larger neighbour of a node is linked to the smallest member of the neighbourhood.
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
         large = scratch.write(told(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Small star: a node and its smaller neighbours are linked to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
         small = told(large, low).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = scratch.write(small.filter("a <> b").distinct(), "edges")
-        scratch.drop(now, large)
+        scratch.drop(now, large, least, low)
         now = after
         row = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         if tuple(row) == signature:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        signature = tuple(row)
+        signature, pairs = tuple(row), row["n"]
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = SHINGLE) -> DataFrame:
