@@ -1,15 +1,17 @@
 """Byte-level BPE by merge replay over the distinct words of the whole corpus.
 
-Documents are cut into words once. A chunk of documents keeps, for each document, which of the chunk's distinct words
-stand where, and the distinct words of all chunks are joined to one table of the corpus, so every word is merged
-once, wherever it stands. That table is dealt out to shards. In a shard all words are laid out as one array of byte
-tokens with links to both neighbours, and an inverted index leads from a token pair, by the rank of what it makes, to
-the word positions that hold it. Merges are then applied in rank order over all words at once; each touches only its
-two neighbours, whose new pairs enter the index. The words' ids are joined back to the chunks, and a document's ids are
-its words' ids in order. ``Coder`` does the same for texts at hand, without Spark.
+A chunk of documents asks for the ids of its distinct words that aren't tokens themselves. All chunks' words are dealt
+out to shards by their hash and sorted there, so equal words meet and every word of the corpus is merged once, wherever
+it stands. In a shard all words are laid out as one array of byte tokens with links to both neighbours, and an inverted
+index leads from a token pair, by the rank of what it makes, to the word positions that hold it. Merges are then applied
+in rank order over all words at once; each touches only its two neighbours, whose new pairs enter the index. The ids go
+back to a folder for each chunk. Documents are then read once more, in the same chunks: a document's ids are its words'
+ids in order. Ids tell their word, so no word is sent back, and texts are never shuffled. Should an input be cut
+otherwise when read again, the words that a chunk doesn't find in its folder are replayed there. ``Coder`` does the same
+for texts at hand, without Spark.
 
 Null text counts as empty; an empty text has no ids. Repeated rows give equal rows, an empty table none. A very long
-text is a chunk of its own. Ranks are unique, so there are no ties but positions of one pair, which merge from the left.
+text stays in one chunk. Ranks are unique, so there are no ties but positions of one pair, which merge from the left.
 Only the id and text columns are read; ``keep`` names others to carry along, which may not be called as an output.
 """
 
@@ -19,6 +21,7 @@ import base64
 import hashlib
 import re
 import unicodedata
+import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -26,17 +29,18 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 import regex
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, bound_batches
+from .common import blocks, bound_batches, shared_dir
 
 #: Rows of an Arrow batch of results.
 OUT_ROWS = 256
-#: Bytes of text in a chunk, whose distinct words are joined to the corpus' table.
+#: Bytes of text in a chunk, which asks once for each of its words.
 CHUNK_BYTES = 16 << 20
 #: Words whose ids a ``Coder`` remembers; a full memory is emptied, which changes no result.
 MEMORY_WORDS = 400_000
@@ -281,42 +285,101 @@ class Coder:
         return decode(ids, self.ranks)
 
 
-def _split(docs: DataFrame, keep: list[str], pattern: str) -> DataFrame:
-    """One row a chunk: its key, its distinct words, and as bytes its rows and, for each, the places of its words."""
+@cache
+def whole_tokens(path: str) -> dict[str, bytes]:
+    """Packed ids of the words that are tokens themselves."""
+    out = {}
+    for token, rank in ranks(path).rank.items():
+        try:
+            out[token.decode()] = rank.to_bytes(4, "little")
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of a task, each with the key of its chunk."""
+    part, seen = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        yield part << 32 | seen // CHUNK_BYTES, batch
+        seen += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+
+
+def asked_words(docs: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
+    """key and word, once for each chunk of (text) and each of its words that isn't a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, part = splitter(pattern), TaskContext.get().partitionId()
-        press = zstandard.ZstdCompressor(level=3)
-        for n, block in enumerate(blocks(batches, "text", CHUNK_BYTES)):
-            number: dict[str, int] = {}
-            places, lengths = array("I"), array("q")
-            for batch in block.select(["text"]).to_batches():
-                for text in batch.column(0).to_pylist():
-                    words = cut(text or "")
-                    places.extend([number.setdefault(w, len(number)) for w in words])
-                    lengths.append(len(words))
-            sink = pa.BufferOutputStream()
-            kept = block.select(keep)
-            with pa.ipc.new_stream(sink, kept.schema) as out:
-                out.write_table(kept)
-            # Most words are among the first that a chunk meets, so the upper bytes of their numbers press to nothing.
-            planes = np.frombuffer(places, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-            row = {"key": part << 32 | n, "words": [w.encode() for w in number], "places": press.compress(planes), "lengths": press.compress(lengths.tobytes()), "rows": press.compress(sink.getvalue())}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("key", pa.int64()), ("words", pa.list_(pa.binary())), ("places", pa.binary()), ("lengths", pa.binary()), ("rows", pa.binary())]))
+        cut, known = splitter(pattern), whole_tokens(vocab_path).keys()
+        at, held = -1, set()
 
-    return docs.mapInArrow(run, "key long, words array<binary>, places binary, lengths binary, rows binary")
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = pa.array([w.encode() for w in held - known], pa.binary())
+            yield from pa.table({"key": np.full(len(words), at, np.int64), "word": words}).to_batches(max_chunksize=1 << 14)
 
+        for key, batch in _chunked(batches):
+            if key != at:
+                yield from flush()
+                at, held = key, set()
+            for text in batch.column("text").to_pylist():
+                held.update(cut(text or ""))
+        yield from flush()
 
-def merge_words(words: DataFrame, vocab_path: str) -> DataFrame:
-    """word and ids (packed little-endian 32-bit integers) for distinct rows of (word), by replay in shards."""
+    return docs.mapInArrow(run, "key long, word binary")
+
+
+def merge_words(asked: DataFrame, vocab_path: str) -> DataFrame:
+    """key and ids (of many words, each ended by ``_unit``'s end mark) of rows (key, word), by replay in shards of sorted words.
+
+    A word that every chunk asks for has a row a chunk in its shard, which is small against the chunks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(vocab_path)
+        unit, end = _unit(table)
+        last, code = None, b""
         for block in blocks(batches, "word", SHARD_BYTES):
-            held = block.column("word").to_pylist()
-            yield from pa.table({"word": pa.array(held, pa.binary()), "ids": pa.array(replay(held, table), pa.binary())}).to_batches()
-
-    return words.select("word").mapInArrow(run, "word binary, ids binary")
+            coded = block.column("word").combine_chunks().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            again = words[0] == last
+            codes = [code, *replay(words[1:], table)] if again else replay(words, table)
+            last, code = words[-1], codes[-1]
+            keys, places = block.column("key").to_numpy(), coded.indices.to_numpy()
+            order = np.argsort(keys, kind="stable")
+            cuts = np.flatnonzero(np.diff(keys[order])) + 1
+            runs = np.split(places[order], cuts)
+            packed = [np.frombuffer(end.join([*map(codes.__getitem__, run.tolist()), b""]), "<u4").astype(unit).tobytes() for run in runs]
+            yield from pa.table({"key": keys[order][np.r_[0, cuts]], "ids": pa.array(packed, pa.binary())}).to_batches(max_chunksize=OUT_ROWS)
+
+    return asked.repartition("word").sortWithinPartitions("word").mapInArrow(run, "key long, ids binary")
+
+
+def _unit(table: Ranks) -> tuple[str, bytes]:
+    """The numpy type that holds a vocabulary's ids and one more, and that one, as the end mark of a word, in four bytes."""
+    small = len(table.token) < 0xFFFF
+    return ("<u2" if small else "<u4"), (0xFFFF if small else 0xFFFFFFFF).to_bytes(4, "little")
+
+
+def _told(folder: str, key: int, table: Ranks) -> dict[str, bytes]:
+    """Packed ids by word, as the folder holds them for a chunk."""
+    unit, end = _unit(table)
+    fs, root = pyarrow.fs.FileSystem.from_uri(f"{folder}/key={key}")
+    out: dict[str, bytes] = {}
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
+        if not info.base_name.endswith(".parquet"):
+            continue
+        with fs.open_input_file(info.path) as source:
+            held = pq.ParquetFile(source).read(columns=["ids"]).column("ids").to_pylist()
+        for blob in held:
+            ids = np.frombuffer(blob, unit)
+            ends = np.flatnonzero(ids == int.from_bytes(end, "little"))
+            tokens = [table.token[i] if i < len(table.token) else b"" for i in ids.tolist()]
+            stops = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))[ends].tolist()
+            whole, packed = b"".join(tokens), ids.astype("<u4").tobytes()
+            a = s = 0
+            for b, e in zip(stops, (ends * 4).tolist(), strict=True):
+                out[whole[a:b].decode()] = packed[s:e]
+                a, s = b, e + 4
+    return out
 
 
 def encode(docs: DataFrame, vocab_path: str, pattern: str, outputs: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -327,42 +390,36 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, outputs: tuple[str, .
     """
     kinds = {"ids": "array<int>", "n_tokens": "long", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
     bound_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession)
     carried = [id_col, *keep]
     frame = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(carried)], docs[text_col].cast("string").alias("text"))
     names = [f"k{i}" for i in range(len(carried))]
-    chunks = scratch.write(_split(frame, names, pattern), "chunks")
-    # Every distinct word of the corpus, once.
-    words = chunks.select(F.explode("words").alias("word")).distinct()
-    table = scratch.write(merge_words(words, vocab_path), "words")
-    asked = chunks.select("key", F.posexplode("words").alias("at", "word")).join(table, "word")
-    told = asked.groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
-    ready = chunks.select(F.col("key").alias("chunk"), "places", "lengths", "rows").join(told, F.col("chunk") == F.col("key"), "left").drop("key")
+    folder = f"{shared_dir(docs.sparkSession)}/doctide-ids-{uuid.uuid4().hex}"
+    merged = merge_words(asked_words(frame, vocab_path, pattern), vocab_path)
+    merged.repartition("key").write.option("compression", "zstd").partitionBy("key").parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, open_up = ranks(vocab_path), zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = batch.column("found").slice(i, 1).flatten()
-                codes: list[bytes] = [b""] * len(found)
-                for at, code in zip(found.field("at").to_pylist(), found.field("ids").to_pylist(), strict=True):
-                    codes[at] = code
-                raw = {c: open_up.decompress(batch.column(c)[i].as_py()) for c in ("places", "lengths", "rows")}
-                places = np.ascontiguousarray(np.frombuffer(raw["places"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                bounds = np.r_[0, np.cumsum(np.frombuffer(raw["lengths"], np.int64))].tolist()
-                with pa.ipc.open_stream(raw["rows"]) as opened:
-                    rows = opened.read_all()
-                get = codes.__getitem__
-                for start in range(0, len(rows), OUT_ROWS):
-                    cuts = bounds[start : start + OUT_ROWS + 1]
-                    ids = [b"".join(map(get, places[a:b].tolist())) for a, b in zip(cuts, cuts[1:], strict=False)]
-                    part = rows.slice(start, OUT_ROWS)
-                    columns = {name: _output(name, ids, table) for name in outputs}
-                    yield from pa.table({**{c: part.column(c) for c in names}, **columns}).combine_chunks().to_batches()
+        table, cut = ranks(vocab_path), splitter(pattern)
+        at, codes = -1, {}
+        for key, batch in _chunked(batches):
+            if key != at:
+                at, codes = key, whole_tokens(vocab_path) | _told(folder, key, table)
+            for start in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(start, OUT_ROWS)
+                ids = []
+                for text in part.column("text").to_pylist():
+                    words = cut(text or "")
+                    try:
+                        ids.append(b"".join(map(codes.__getitem__, words)))
+                    except KeyError:
+                        new = list(set(words) - codes.keys())
+                        codes.update(zip(new, replay([w.encode() for w in new], table), strict=True))
+                        ids.append(b"".join(map(codes.__getitem__, words)))
+                columns = {name: _output(name, ids, table) for name in outputs}
+                yield from pa.table({**{c: part.column(c) for c in names}, **columns}).combine_chunks().to_batches()
 
     schema = "".join(f"{n} {frame.schema[n].dataType.simpleString()}, " for n in names) + ", ".join(f"{k} {kinds[k]}" for k in outputs)
-    out = ready.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carried, strict=True)], *outputs)
+    out = frame.mapInArrow(run, schema)
+    return out.select(*[out[n].alias(c) for n, c in zip(names, carried, strict=True)], *outputs)
 
 
 def decode(ids: bytes, table: Ranks) -> bytes:
