@@ -28,12 +28,13 @@ empty table gives no rows; columns other than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, bound_batches, utf8
@@ -62,6 +63,8 @@ SALTS = 16
 HOT_NODES = 200_000
 #: Bytes of the documents from which a Bloom filter pays, and of the nodes named up to which one is built.
 BLOOM = {"enabled": "true", "applicationSideScanSizeThreshold": "16m", "creationSideThreshold": "1g"}
+#: Size up to which Spark broadcasts a join's side by itself.
+BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 
 _U = np.uint64
 
@@ -368,19 +371,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    # Let Spark drop, by a Bloom filter of bounded size, texts that no list names before they are shuffled.
-    names = {f"spark.sql.optimizer.runtime.bloomFilter.{key}": value for key, value in BLOOM.items()}
-    before = {name: spark.conf.get(name) for name in names}
+    # Let Spark drop, by a Bloom filter of bounded size, texts that no list names before they are shuffled. Joins are
+    # planned alike at every size: sides that grow with the documents go by shuffle, even while they are small.
+    values = {f"spark.sql.optimizer.runtime.bloomFilter.{key}": value for key, value in BLOOM.items()}
+    with _settings(spark, values | {BROADCAST: "-1"}) as before:
+        return _link(docs, id_col, text_col, percent, shingle, before[BROADCAST])
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[dict[str, str]]:
+    """Set the session's configurations for a while; the values they had."""
+    before = {name: spark.conf.get(name) for name in values}
     try:
-        for name, value in names.items():
+        for name, value in values.items():
             spark.conf.set(name, value)
-        return _link(docs, id_col, text_col, percent, shingle)
+        yield before
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
 
 
-def _link(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int) -> DataFrame:
+def _link(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, broadcast: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     text = docs[text_col].cast("string")
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("told"), text.alias("text"))
@@ -420,13 +431,16 @@ def _link(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: in
         done = pairs if done is None else done.unionByName(pairs)
         hot = _hot(pairs, scratch)
         near = scratch.write(_estimated(pairs, sketches, percent, hot), "near")
-        here = scratch.write(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "named")
-        found = scratch.write(_verified(near, texts.join(here, "node", "left_semi"), percent, shingle, hot), "links")
-        scratch.drop(near, here)
+        # Spark builds a Bloom filter only of a side with a condition; this one always holds.
+        named = scratch.write(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("named", F.lit(1)), "named")
+        found = scratch.write(_verified(near, texts.join(named.filter("named > 0").select("node"), "node", "left_semi"), percent, shingle, hot), "links")
+        scratch.drop(near, named)
         linked = found.count()
         if links is None or linked:
             links = found if links is None else links.unionByName(found)
-            state = components(links, scratch)
+            # The stars' tables are small against the documents, so Spark may plan them as usual.
+            with _settings(docs.sparkSession, {BROADCAST: broadcast}):
+                state = components(links, scratch)
         return linked / max(pairs.count(), 1)
 
     def apart() -> DataFrame:
@@ -448,10 +462,10 @@ def _link(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: in
         linked = settle(here.join(picked, "value").filter("component <> hub.component").select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
         scratch.drop(here)
     here = apart()
-    still = scratch.write(here.select("node", "component").distinct(), "open")
+    still = scratch.write(here.select("node", "component").distinct().withColumn("named", F.lit(1)), "open")
     sample = still.filter(F.pmod("node", F.lit(HINT_SHARE)) == 0)
     hints = _top_values(_shown(texts.join(sample, "node"), shingle))
-    entries = scratch.write(full_prefixes(texts.join(still, "node"), hints, percent, shingle), "entries")
+    entries = scratch.write(full_prefixes(texts.join(still.filter("named > 0"), "node"), hints, percent, shingle), "entries")
     scratch.drop(here, still)
     settle(_across(entries, percent, scratch))
     scratch.drop(entries, texts, sketches, lists)
