@@ -66,6 +66,20 @@ def test_bpe_equals_tiktoken(docs, empty, rows):
     assert len(out) == len(rows) and bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_words_of_several_chunks(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    table, rng = bpe.ranks(path), random.Random(5)
+    words = ["".join(rng.choices("abé ²一\n", k=rng.randint(2, 9))) for _ in range(40)]
+    asked = {key: set(rng.sample(words, 25)) for key in (0, 1, 1 << 32)}
+    rows = [(key, bytearray(w.encode())) for key, held in asked.items() for w in held]
+    folder = f"file://{tmp_path}/ids"
+    bpe.merge_words(spark.createDataFrame(rows, "key long, word binary"), path).repartition("key").write.partitionBy("key").parquet(folder)
+    for key, held in asked.items():
+        order = sorted(held)
+        assert bpe._told(folder, key, table) == dict(zip(order, bpe.replay([w.encode() for w in order], table), strict=True))
+    assert bpe._told(folder, 7, table) == {}
+
+
 def test_bpe_replay_on_runs():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
