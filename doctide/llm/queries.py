@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jpeg, kneser_ney, language, line_quality, mixing, near_dup, pii, warc
+from . import bpe, collocations, html_text, jpeg, kneser_ney, language, line_quality, mixing, near_dup, pii, token_counts, warc, whitening
 from .common import crc_bucket, table
 
 
@@ -61,6 +61,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fetch(spark, index, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = token_counts.store(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.answer(stored, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality": op1_line_quality,
     "op2_jpeg": op2_jpeg,
@@ -72,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_html_text": op9_html_text,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
+    "op12_token_counts": op12_token_counts,
+    "op13_collocations": op13_collocations,
 }
 
 _PAGES = """
@@ -107,4 +123,20 @@ x AS (
   FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
 SELECT doc_id, size, source_size, target, (size * r)::BIGINT AS taken, r::BIGINT AS repeats
 FROM (SELECT *, whole + CASE WHEN through <= extra OR before + size / 2.0 <= extra THEN 1 ELSE 0 END AS r FROM x)""",
+    "op13_collocations": r"""WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (SELECT lang, k, unnest([words[i : i + k - 1] FOR i IN range(1, len(words) - k + 2)]) AS ids FROM w, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(words) >= k),
+f AS (SELECT lang, ids, count(*)::HUGEINT AS a FROM g GROUP BY lang, ids),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE len(ids) = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE len(ids) > 1 AND a >= 10),
+longer AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([ids[1:2], ids[2:3]]) AS part FROM c WHERE len(ids) = 3) GROUP BY lang, part),
+kept AS (SELECT c.* FROM c LEFT JOIN longer ON c.lang = longer.lang AND c.ids = longer.part WHERE longer IS NULL OR 100 * longer < 50 * a),
+cuts AS (SELECT lang, ids, a, k FROM kept, (VALUES (1), (2)) AS cuts(k) WHERE k < len(ids)),
+s AS (
+  SELECT cuts.lang, cuts.ids, cuts.a, k, x.a AS l, y.a AS r, 1000000 * cuts.a * cuts.a // (x.a * y.a) AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.ids = cuts.ids[1 : k] JOIN f AS y ON y.lang = cuts.lang AND y.ids = cuts.ids[k + 1 : len(cuts.ids)]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, ids ORDER BY score, k) AS cut, array_to_string(ids, ' ') AS phrase FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE cut = 1)
+SELECT t.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM t JOIN n ON t.lang = n.lang WHERE rank <= 2000""",
 }
