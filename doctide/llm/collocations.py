@@ -3,7 +3,8 @@
 Texts are cut into pieces at punctuation and pieces into words. The first relation holds each occurrence of a word, by
 piece and position. Groups of a language are counted; those below the support go, and the relation is semi-joined with
 the rest before it is extended: a relation of phrases of k words is merge-joined with that of single words where the
-piece is the same and the word stands right behind the phrase, which gives the occurrences of k + 1 words.
+piece is the same and the word stands right behind the phrase, which gives the occurrences of k + 1 words. Of these, too,
+only the frequent groups are kept and persisted, sorted as before.
 
 A relation is stored as one row a chunk of text: positions in rising order, in which every end of a piece takes a
 position of its own (so what is adjacent lies in one piece), with the chunk's number of the group at each. A chunk sends
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, bound_batches, utf8
 
 #: Occurrences in a chunk, and bytes of text that are split at a time.
-CHUNK_WORDS, SLICE_BYTES = 4 << 20, 4 << 20
+CHUNK_WORDS, SLICE_BYTES = 2 << 20, 4 << 20
+#: Rows of an Arrow batch of results.
+OUT_ROWS = 1 << 15
 #: Parts of a language whose best phrases are found apart before they are compared.
 PARTS = 256
 #: What ends a piece, besides the end of the text.
@@ -46,13 +49,21 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS, b"abcdefghijklmnop
 _SCHEMA = "chunk long, lang string, number int, word string, c long, at binary, held binary"
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed steps from one to the next."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=0).astype(np.int32).tobytes())
+def _pack(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(np.int32).tobytes())
 
 
 def _unpack(stored: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(stored), np.int32), dtype=np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(stored), np.int32)
+
+
+def _pack_at(places: np.ndarray) -> bytes:
+    """Rising positions as steps from one to the next."""
+    return _pack(np.diff(places, prepend=0))
+
+
+def _unpack_at(stored: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(stored), dtype=np.int32)
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -80,17 +91,24 @@ class _Chunk:
         self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def rows(self, chunk: int, lang: str) -> pa.RecordBatch:
-        """A row a distinct word, and one with the relation."""
+    def rows(self, chunk: int, lang: str) -> Iterator[pa.RecordBatch]:
+        """The relation in a row, then a row a distinct word."""
         held = np.concatenate(self.parts)
+        self.parts.clear()
         times = np.bincount(held, minlength=len(self.number))[1:]
         at = np.flatnonzero(held)
-        n = len(times)
-        return pa.record_batch({
-            "chunk": pa.array([chunk] * (n + 1), pa.int64()), "lang": pa.array([lang] * (n + 1)), "number": pa.array([*range(1, n + 1), None], pa.int32()),
-            "word": pa.array([*self.number, None][1:], pa.binary()).cast(pa.string()), "c": pa.array([*times.tolist(), None], pa.int64()),
-            "at": pa.array([None] * n + [_pack(at)], pa.binary()), "held": pa.array([None] * n + [_pack(held[at])], pa.binary()),
-        })
+        yield self._batch(1, chunk, lang, at=pa.array([_pack_at(at)], pa.binary()), held=pa.array([_pack(held[at])], pa.binary()))
+        words = pa.array(self.number, pa.binary())[1:].cast(pa.string())
+        self.number.clear()
+        for start in range(0, len(words), OUT_ROWS):
+            part = words[start : start + OUT_ROWS]
+            number = np.arange(start + 1, start + len(part) + 1, dtype=np.int32)
+            yield self._batch(len(part), chunk, lang, number=pa.array(number), word=part, c=pa.array(times[start : start + OUT_ROWS]))
+
+    @staticmethod
+    def _batch(n: int, chunk: int, lang: str, **filled: pa.Array) -> pa.RecordBatch:
+        kinds = {"number": pa.int32(), "word": pa.string(), "c": pa.int64(), "at": pa.binary(), "held": pa.binary()}
+        return pa.record_batch({"chunk": pa.repeat(chunk, n), "lang": pa.repeat(lang, n)} | {c: filled[c] if c in filled else pa.nulls(n, kind) for c, kind in kinds.items()})
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -108,115 +126,141 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 for part in _slices(b".".join(texts).translate(_FOLD)):
                     chunks[lang].add(part)
                     if chunks[lang].size >= CHUNK_WORDS:
-                        yield chunks.pop(lang).rows(base + next(made), lang)
-        for lang, chunk in chunks.items():
-            yield chunk.rows(base + next(made), lang)
+                        yield from chunks.pop(lang).rows(base + next(made), lang)
+        while chunks:
+            lang, chunk = chunks.popitem()
+            yield from chunk.rows(base + next(made), lang)
 
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def _with_held(relations: DataFrame, groups: DataFrame, *ids: str) -> DataFrame:
-    """Each chunk's relation with the numbers of its frequent groups and their ids, as arrays in order of the number."""
-    lists = groups.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("number", *ids))).alias("g"))  # at most as many as the chunk has words
-    return relations.join(lists, "chunk").select("chunk", "lang", "at", "held", *[F.col(f"g.{c}").alias(f"g_{c}") for c in ("number", *ids)])
+def _longs(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
 
 
-def _longs(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+#: A stored relation: that of single words with their ids, and from two words on that of phrases with the ids of each word.
+_WORDS = "chunk long, word_at binary, word binary, word_ids array<long>"
+_PHRASES = ", at binary, held binary, ids array<array<long>>"
 
 
-def _semi_joined(relations: DataFrame) -> DataFrame:
-    """Relations of frequent groups only, renumbered from 0 in order, with the ids of each number."""
-    ids = [c for c in relations.columns if c.startswith("g_") and c != "g_number"]
+def _frequent_words(relations: DataFrame, told: DataFrame) -> DataFrame:
+    """The relation of frequent words, renumbered from 0 in order, with the ids of the numbers."""
+    lists = told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("number", "id"))).alias("g"))  # at most as many as the chunk has words
+    rows = relations.join(lists, "chunk").select("chunk", "at", "held", F.col("g.number").alias("kept"), F.col("g.id").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                at, held = _unpack(batch.column("at")[i].as_py()), _unpack(batch.column("held")[i].as_py())
-                kept = _longs(batch.column("g_number"), i)
-                place = np.minimum(np.searchsorted(kept, held), len(kept) - 1)
-                stays = kept[place] == held
-                row = {"chunk": batch.column("chunk").slice(i, 1), "lang": batch.column("lang").slice(i, 1)}
-                row |= {"at": pa.array([_pack(at[stays])], pa.binary()), "held": pa.array([_pack(place[stays])], pa.binary())}
-                yield pa.record_batch(row | {c: batch.column(c).slice(i, 1) for c in ids})
+                at, held = _unpack_at(batch.column("at")[i].as_py()), _unpack(batch.column("held")[i].as_py())
+                kept = _longs(batch.column("kept"), i)
+                number = np.full(int(max(held.max(), kept.max())) + 1, -1, np.int32)
+                number[kept] = np.arange(len(kept))
+                number = number[held]
+                stays = number >= 0
+                yield pa.record_batch({
+                    "chunk": batch.column("chunk").slice(i, 1), "word_at": pa.array([_pack_at(at[stays])], pa.binary()),
+                    "word": pa.array([_pack(number[stays])], pa.binary()), "word_ids": batch.column("ids").slice(i, 1),
+                })
+
+    return rows.mapInArrow(run, _WORDS)
+
+
+def _merge_joined(at: np.ndarray, held: np.ndarray, word_at: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of k words with the words right behind them: positions, and phrase and word as one number."""
+    place = np.searchsorted(word_at, at + np.int32(k))
+    there = place < len(word_at)
+    there[there] = word_at[place[there]] == at[there] + k
+    pair = held[there].astype(np.int64) << 32
+    pair |= word[place[there]]
+    return at[there], pair
 
-    return relations.mapInArrow(run, "chunk long, lang string, at binary, held binary" + "".join(f", {c} array<long>" for c in ids))
 
+class _Grown:
+    """One chunk's phrases of k words, extended by a word."""
 
-def _pairs(at: np.ndarray, held: np.ndarray, word_at: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge-join of phrases of k words with the words right behind them: positions, and phrase and word as one number."""
-    place = np.searchsorted(word_at, at + k)
-    there = place < len(word_at)
-    there[there] = word_at[place[there]] == at[there] + k
-    return at[there], held[there] << 32 | word[place[there]]
+    def __init__(self, batch: pa.RecordBatch, i: int, k: int) -> None:
+        self.word_at, self.word = _unpack_at(batch.column("word_at")[i].as_py()), _unpack(batch.column("word")[i].as_py())
+        self.word_ids = _longs(batch.column("word_ids"), i)
+        at, held, self.ids = self.word_at, self.word, [self.word_ids]
+        if k > 1:
+            at, held = _unpack_at(batch.column("at")[i].as_py()), _unpack(batch.column("held")[i].as_py())
+            self.ids = [x.values.to_numpy(zero_copy_only=False) for x in batch.column("ids")[i].values]
+        self.at, self.pair = _merge_joined(at, held, self.word_at, self.word, k)
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct groups in order, and how often each comes."""
+        ordered = np.sort(self.pair)
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+        return ordered[first], np.diff(np.r_[first, len(ordered)])
+
+    def spelled(self, groups: np.ndarray) -> list[np.ndarray]:
+        """Ids of the words of groups, an array a word."""
+        return [*(x[groups >> 32] for x in self.ids), self.word_ids[groups & 0xFFFFFFFF]]
+
+
+def _asked(relations: DataFrame, k: int) -> DataFrame:
+    """A row a distinct group of k + 1 words and chunk: the chunk's number of it, its ids and count."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grown = _Grown(batch, i, k)
+                groups, times = grown.groups()
+                for start in range(0, len(groups), OUT_ROWS):
+                    part = groups[start : start + OUT_ROWS]
+                    ids = {f"i{n}": x for n, x in enumerate(grown.spelled(part), 1)}
+                    yield pa.record_batch({"chunk": pa.repeat(batch.column("chunk")[i], len(part)), "number": np.arange(start, start + len(part), dtype=np.int32)} | ids | {"c": times[start : start + OUT_ROWS]})
 
-def _extended(phrases: DataFrame, words: DataFrame, k: int, relation: DataFrame | None = None) -> DataFrame:
-    """Phrases of k words extended by one. Without ``relation``: a row a distinct group of a chunk with its number, ids and count.
+    return relations.mapInArrow(run, "chunk long, number int, " + "".join(f"i{n} long, " for n in range(1, k + 2)) + "c long")
 
-    ``relation`` holds the numbers of the frequent ones of a chunk; then their relation, with ids, comes out.
-    """
-    ids = [f"g_i{n}" for n in range(1, k + 1)]
-    own = words.select("chunk", F.col("at").alias("word_at"), F.col("held").alias("word"), F.col("g_i1").alias("word_id"))
-    rows = phrases.join(own, "chunk") if k > 1 else phrases.withColumns({"word_at": F.col("at"), "word": F.col("held"), "word_id": F.col("g_i1")})
-    keeps = relation is not None
-    if keeps:
-        rows = rows.join(relation.groupBy("chunk").agg(F.array_sort(F.collect_list("number")).alias("kept")), "chunk")
+
+def _semi_joined(relations: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """The relation of the frequent groups of k + 1 words, by the chunks' numbers of them; chunks without any are left out."""
+    lists = kept.groupBy("chunk").agg(F.array_sort(F.collect_list("number")).alias("kept"))  # at most as many as the chunk has words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = {c: _unpack(batch.column(c)[i].as_py()) for c in ("at", "held", "word_at", "word")}
-                at, pair = _pairs(one["at"], one["held"], one["word_at"], one["word"], k)
-                distinct, number, times = np.unique(pair, return_inverse=True, return_counts=True)
-                if keeps:
-                    kept = _longs(batch.column("kept"), i)
-                    place = np.full(len(distinct), -1, np.int64)
-                    place[kept] = np.arange(len(kept))
-                    number, distinct, stays = place[number], distinct[kept], place[number] >= 0
-                group = [*(_longs(batch.column(c), i)[distinct >> 32] for c in ids), _longs(batch.column("word_id"), i)[distinct & 0xFFFFFFFF]]
-                if keeps:
-                    row = {"chunk": batch.column("chunk").slice(i, 1), "lang": batch.column("lang").slice(i, 1)}
-                    row |= {"at": pa.array([_pack(at[stays])], pa.binary()), "held": pa.array([_pack(number[stays])], pa.binary())}
-                    yield pa.record_batch(row | {f"g_i{n}": pa.array([g], pa.list_(pa.int64())) for n, g in enumerate(group, 1)})
-                elif len(distinct):
-                    out = {"chunk": pa.array(np.full(len(distinct), batch.column("chunk")[i].as_py())), "number": pa.array(np.arange(len(distinct)), pa.int32())}
-                    yield from pa.table(out | {f"i{n}": g for n, g in enumerate(group, 1)} | {"c": times}).to_batches(max_chunksize=1 << 16)
-
-    if keeps:
-        return rows.mapInArrow(run, "chunk long, lang string, at binary, held binary" + "".join(f", g_i{n} array<long>" for n in range(1, k + 2)))
-    return rows.mapInArrow(run, "chunk long, number int, " + "".join(f"i{n} long, " for n in range(1, k + 2)) + "c long")
+                grown = _Grown(batch, i, k)
+                groups = grown.groups()[0][_longs(batch.column("kept"), i)]
+                number = np.minimum(np.searchsorted(groups, grown.pair), len(groups) - 1)
+                stays = groups[number] == grown.pair
+                row = {c: batch.column(c).slice(i, 1) for c in ("chunk", "word_at", "word", "word_ids")}
+                row |= {"at": pa.array([_pack_at(grown.at[stays])], pa.binary()), "held": pa.array([_pack(number[stays])], pa.binary())}
+                yield pa.record_batch(row | {"ids": pa.array([grown.spelled(groups)], pa.list_(pa.list_(pa.int64())))})
+
+    return relations.join(lists, "chunk").mapInArrow(run, _WORDS + _PHRASES)
 
 
 def candidates(docs: DataFrame, longest: int = 3, support: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent words (lang, word, id, a), frequent phrases of 2 to ``longest`` words (ids, a), and words a language (lang, n); ids tell the language."""
     scratch = Scratch(docs.sparkSession)
     first = scratch.write(occurrences(docs), "occurrences")
-    asked = first.filter("word IS NOT NULL")
-    counted = asked.groupBy("lang", "word").agg(F.sum("c").alias("a")).filter(F.col("a") >= support)
-    frequent = scratch.write(counted.withColumn("id", F.monotonically_increasing_id()), "words")
+    asked = first.filter("word IS NOT NULL").select("chunk", "lang", "number", "word", "c")
     sizes = scratch.write(asked.groupBy("lang").agg(F.sum("c").alias("n")), "sizes")
-    told = asked.join(frequent.drop("a"), ["lang", "word"]).select("chunk", "number", F.col("id").alias("i1"))
-    words = scratch.write(_semi_joined(_with_held(first.filter("word IS NULL").select("chunk", "lang", "at", "held"), told, "i1")), "relation1")
-    scratch.drop(first)
-    phrases, found = words, []
+    # One exchange by group serves both the count and the semi-join; a key has at most a row a chunk. A word's id is the least of its rows'.
+    same = Window.partitionBy("lang", "word")
+    told = asked.withColumn("row", F.monotonically_increasing_id()).withColumns({"a": F.sum("c").over(same), "id": F.min("row").over(same)})
+    told = scratch.write(told.filter(F.col("a") >= support).select("chunk", "number", "id", "row", "lang", "word", "a"), "words")
+    frequent = scratch.write(told.filter("row = id").select("lang", "word", "id", "a"), "frequent")
+    relation = scratch.write(_frequent_words(first.filter("word IS NULL").select("chunk", "at", "held"), told.select("chunk", "number", "id")), "relation1")
+    scratch.drop(first, told)
+    found = []
     for k in range(1, longest):
         ids = [f"i{n}" for n in range(1, k + 2)]
-        asks = _extended(phrases, words, k)
+        asks = _asked(relation, k)
         if k + 1 < longest:
-            # One exchange by group serves both the count and the semi-join; a key has at most a row a chunk.
-            by_group = asks.withColumn("a", F.sum("c").over(Window.partitionBy(*ids))).filter(F.col("a") >= support)
-            kept = scratch.write(by_group, f"groups{k + 1}")
-            counts = kept.groupBy(*ids).agg(F.first("a").alias("a"))
-            grown = scratch.write(_extended(phrases, words, k, kept.select("chunk", "number")), f"relation{k + 1}")
+            by_group = asks.withColumns({"a": F.sum("c").over(Window.partitionBy(*ids)), "one": F.row_number().over(Window.partitionBy(*ids).orderBy("chunk"))})
+            kept = scratch.write(by_group.filter(F.col("a") >= support), f"groups{k + 1}")
+            counts = kept.filter("one = 1")
+            grown = scratch.write(_semi_joined(relation, kept.select("chunk", "number"), k), f"relation{k + 1}")
+            found.append(scratch.write(counts.select(F.array(*ids).alias("ids"), "a"), f"phrases{k + 1}"))
+            scratch.drop(relation, kept)
+            relation = grown
         else:
             counts = asks.groupBy(*ids).agg(F.sum("c").alias("a")).filter(F.col("a") >= support)
-            grown = None
-        found.append(scratch.write(counts.select(F.array(*ids).alias("ids"), "a"), f"phrases{k + 1}"))
-        if phrases is not words:
-            scratch.drop(phrases)
-        phrases = grown
-    scratch.drop(words)
+            found.append(scratch.write(counts.select(F.array(*ids).alias("ids"), "a"), f"phrases{k + 1}"))
+    scratch.drop(relation)
     every = found[0] if found else docs.sparkSession.createDataFrame([], "ids array<long>, a long")
     for more in found[1:]:
         every = every.unionByName(more)
