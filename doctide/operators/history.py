@@ -16,34 +16,51 @@ def history_rows(changes: DataFrame, first_seq: int = 0) -> DataFrame:
     return changes.filter("type <> 'conflict'").select(name.alias("history_id"), "record_id", "ts", F.lit(first_seq).cast("long").alias("seq"), "type", content.alias("changes"))
 
 
+def _restored(path: str, kind: T.DataType, now: Column) -> Column:
+    """A path's value at the instant: as its earliest later change has it, else as it is. Arrays get their old length and old elements."""
+    old = F.col("__back")[path]
+    touched = F.coalesce(F.map_contains_key("__back", F.lit(path)), F.lit(False))
+    if not isinstance(kind, T.ArrayType):
+        return F.when(touched, F.from_json(old, T.StructType([T.StructField("v", kind)]))["v"]).otherwise(now)
+    note = F.from_json(old, T.StructType([T.StructField("v", kind), T.StructField("n", T.IntegerType())]))
+    element = T.StructType([T.StructField("v", kind.elementType)])
+
+    def at(i: Column) -> Column:
+        name = F.concat(F.lit(path + "["), i.cast("string"), F.lit("]"))
+        return F.when(F.map_contains_key("__back", name), F.from_json(F.element_at("__back", name), element)["v"]).otherwise(F.get(now, i))
+
+    places = F.when(note["n"] > 0, F.sequence(F.lit(0), note["n"] - 1)).when(note["n"] == 0, F.array().cast("array<int>"))
+    return F.when(touched, F.coalesce(note["v"], F.transform(places, at))).otherwise(now)
+
+
 def as_of(current: DataFrame, history: DataFrame, key: str, instant: Column, where: Column | None = None, include_deleted: bool = False) -> DataFrame:
-    """Rows as they were at an instant: for every path the old value of the earliest later change.
+    """Rows as they were at an instant: for every path, and every element of an array, the old value of the earliest later change.
 
-    ``where`` tests the current version. Keys inserted later have no row; deleted ones only with ``include_deleted``.
+    A key has a life from an insert to a delete. The first later one of these tells which life held the instant: an
+    insert, none (no row); a delete, the life that it ended, whose last row the delete holds (a row only with
+    ``include_deleted``); neither, the present one. Only changes of that life are undone. Events of one key are told
+    apart by ``ts`` and ``seq``. ``where`` tests the current version, so it also leaves out keys that have none.
     """
     later = history.filter(F.col("ts") > instant)
     doc = T.StructType([f for f in current.schema if f.name not in ("lock_version", "previous")])
     base = current.select(*[f.name for f in doc])
     if where is not None:
         base = base.filter(where)
+    place = F.struct("ts", "seq")
+    bounds = later.filter("type IN ('insert', 'delete')").groupBy("record_id").agg(F.min_by(F.struct("type", place.alias("at"), "changes"), place).alias("__end"))
+    present = base.join(bounds.select("record_id"), F.col(key) == F.col("record_id"), "left_anti")
     if include_deleted:
-        ends = later.filter("type = 'delete'").groupBy("record_id").agg(F.min_by("changes", F.struct("ts", "seq")).alias("__was"))
+        ended = bounds.filter("__end.type = 'delete'").select("record_id", F.col("__end.changes").alias("__was"))
+        if where is not None:
+            ended = ended.join(base.select(F.col(key).alias("record_id")), "record_id", "left_semi")
         leaf = lambda p, k: (F.from_json(F.col("__was")[p], T.StructType([T.StructField("v", k)]))["v"] if p != key else F.col("record_id"))
-        base = base.unionByName(ends.join(base.select(F.col(key).alias("record_id")), "record_id", "left_anti").select(*rebuild(doc, leaf)))
-    steps = later.filter("type = 'update'").select("record_id", "ts", "seq", F.explode("changes").alias("path", "old"))
-    first = steps.groupBy("record_id", "path").agg(F.min_by(F.struct("old"), F.struct("ts", "seq")).alias("o"))
-    back = first.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("path", F.col("o.old")))).alias("__back"))
-    # A key whose first later event is its insert didn't exist at the instant.
-    born = later.filter("type IN ('insert', 'delete')").groupBy("record_id").agg(F.min_by("type", F.struct("ts", "seq")).alias("t")).filter("t = 'insert'").select("record_id")
-    rows = base.join(born, F.col(key) == F.col("record_id"), "left_anti").join(back, F.col(key) == F.col("record_id"), "left").drop("record_id")
-
-    def leaf(path: str, kind: T.DataType) -> Column:
-        if path == key:
-            return F.col(path)
-        old = F.from_json(F.col("__back")[path], T.StructType([T.StructField("v", kind)]))["v"]
-        return F.when(F.coalesce(F.map_contains_key("__back", F.lit(path)), F.lit(False)), old).otherwise(F.col(path))
-
-    return rows.select(*rebuild(doc, leaf))
+        present = present.unionByName(ended.select(*rebuild(doc, leaf)))
+    updates = later.filter("type = 'update'").join(bounds.select("record_id", F.col("__end.at").alias("__until")), "record_id", "left")
+    updates = updates.filter(F.col("__until").isNull() | (place < F.col("__until")))
+    first = updates.select("record_id", "ts", "seq", F.explode("changes").alias("path", "old")).groupBy("record_id", "path").agg(F.min_by(F.struct("old"), place).alias("o"))
+    back = first.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("path", F.col("o.old")))).alias("__back"))  # at most the document's paths
+    rows = present.join(back, F.col(key) == F.col("record_id"), "left").drop("record_id")
+    return rows.select(*rebuild(doc, lambda path, kind: F.col(path) if path == key else _restored(path, kind, F.col(path))))
 
 
 def change_log(history: DataFrame, record_id) -> DataFrame:

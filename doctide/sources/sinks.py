@@ -29,6 +29,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/doctide-{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder, which cuts its lineage and survives lost executors."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def published(spark: SparkSession, root: str) -> int | None:
     """The newest published batch of a table folder."""
     fs, at = _fs(spark, f"{root}/published")
