@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import values
 from ..operators import find, generate, history, joins, profile, quality, search, upsert
 from ..sources import readers, sinks
-from ..streaming.upsert_stream import stream_upsert
+from ..streaming.upsert_stream import Stream, stream_upsert
 from .registry import _query, _table, _u
 
 
@@ -362,18 +362,41 @@ def json_lines_roundtrip(spark, sf_dir):
     return spark.read.schema("event_id long, k string, type string, text string, zip string").json(path)
 
 
-@_query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
-def stream_upsert_latest(spark, sf_dir):
-    """Events as messages in files, oldest first, worked off by the stream; the published state is each user's latest."""
+#: Messages of the stream's queries come in so many files, each a batch.
+_FILES = 4
+
+
+def _streamed(spark: SparkSession, sf_dir: str, strategy: str, delete: str | None = None) -> Stream:
+    """Events as messages in files, oldest first, worked off a file a batch."""
     path, root = sinks.scratch_path(spark, "messages"), sinks.scratch_path(spark, "streamed")
-    events = _table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("user_id", "event_type", "value")).alias("value"))
-    events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    events = _table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id") + 1).first()
+    gone = [(F.col("event_type") == "view").alias(delete)] if delete else []
+    for n in range(_FILES):
+        part = events.filter((F.col("event_id") >= low + (high - low) * n // _FILES) & (F.col("event_id") < low + (high - low) * (n + 1) // _FILES))
+        lines = part.select("event_id", F.to_json(F.struct("user_id", "event_type", "value", *gone)).alias("value"))
+        lines.repartition(1).sortWithinPartitions("event_id").select("value").write.mode("append").text(path)
     schema = T.StructType().add("user_id", "long").add("event_type", "string").add("value", "double")
-    stream_upsert(_by_name(spark, path, schema), root, schema, "user_id", sinks.scratch_path(spark, "checkpoint"), every=None).query.awaitTermination()
-    return sinks.read_snapshot(spark, root).select("user_id", "event_type", "value")
+    schema = schema.add(delete, "boolean") if delete else schema
+    rows = readers.stream_documents(spark, "text", schema, path=path, maxFilesPerTrigger="1")
+    made = stream_upsert(rows, root, schema, "user_id", sinks.scratch_path(spark, "checkpoint"), strategy, delete, every=None, n_buckets=16)
+    made.finish()
+    return made
+
+
+@_query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def stream_upsert_latest(spark, sf_dir):
+    """Each user's latest event, from the table that the stream left after its batches."""
+    return _streamed(spark, sf_dir, "REPLACE").state().select("user_id", "event_type", "value")
+
+
+_FILE_OF = f"""(SELECT max(k) FROM (SELECT unnest(range({_FILES})) AS k) WHERE event_id >= (SELECT min(event_id) FROM events) + ((SELECT max(event_id) + 1 FROM events) - (SELECT min(event_id) FROM events)) * k // {_FILES})"""
 
 
-def _by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The messages of a folder in one batch, in the order of file names."""
-    raw = spark.readStream.format("text").load(path).select(F.col("value").alias("raw"), F.col("_metadata.file_name").alias("seq"))
-    return raw.select("raw", "seq", F.try_parse_json("raw").isNull().alias("broken"), F.from_json("raw", schema).alias("doc"))
+@_query(f"""WITH b AS (SELECT user_id, {_FILE_OF} AS batch, arg_max(event_type = 'view', event_id) AS gone FROM events GROUP BY 1, 2),
+s AS (SELECT *, coalesce(lag(NOT gone) OVER (PARTITION BY user_id ORDER BY batch), false) AS was FROM b)
+SELECT batch, CASE WHEN gone THEN 'delete' WHEN was THEN 'update' ELSE 'insert' END AS type, count(*) AS n FROM s WHERE NOT gone OR was GROUP BY 1, 2""")
+def stream_history(spark, sf_dir):
+    """What each batch of the stream did, from the history that it kept; a batch's last event of a user decides."""
+    made = _streamed(spark, sf_dir, "REPLACE", "gone")
+    return made.table.history().groupBy(F.col("seq").alias("batch"), "type").agg(F.count("*").alias("n"))

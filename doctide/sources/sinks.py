@@ -1,18 +1,17 @@
-"""Sinks: snapshots with a pointer, history by batch, JSON extracts and quarantine."""
+"""Sinks: written tables, JSON extracts, frequency tables and quarantine."""
 
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 from collections.abc import Mapping
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
@@ -36,65 +35,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def published(spark: SparkSession, root: str) -> int | None:
-    """The newest published batch of a table folder."""
-    fs, at = _fs(spark, f"{root}/published")
-    if not fs.exists(at):
-        return None
-    return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=None)
-
-
-def write_state(df: DataFrame, root: str, batch: int) -> None:
-    """A whole state under its batch; a repeated batch overwrites its own."""
-    df.write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
-
-
-def publish(spark: SparkSession, root: str, batch: int) -> None:
-    """Make a batch's state and history visible, by one atomic marker."""
-    fs, at = _fs(spark, f"{root}/published/{batch}")
-    fs.create(at, True).close()
-
-
-def write_snapshot(df: DataFrame, root: str, batch: int) -> None:
-    write_state(df, root, batch)
-    publish(df.sparkSession, root, batch)
-
-
-def batch_time(spark: SparkSession, root: str, batch: int) -> datetime:
-    """The time of a batch: set by its first attempt and found again by later ones."""
-    fs, at = _fs(spark, f"{root}/times/{batch}")
-    if not fs.exists(at) or not fs.listStatus(at):
-        now = int(time.time() * 1_000_000)
-        fs.create(_fs(spark, f"{root}/times/{batch}/{now}")[1], True).close()
-    return datetime.fromtimestamp(min(int(s.getPath().getName()) for s in fs.listStatus(at)) / 1_000_000)
-
-
-def read_snapshot(spark: SparkSession, root: str, batch: int | None = None) -> DataFrame:
-    return spark.read.parquet(f"{root}/state/batch={published(spark, root) if batch is None else batch}")
-
-
-def append_history(df: DataFrame, root: str, batch: int) -> None:
-    """History rows in a folder of their batch, so that a repeated batch doesn't double them."""
-    df.write.mode("overwrite").parquet(f"{root}/history/batch={batch}")
-
-
-def read_history(spark: SparkSession, root: str) -> DataFrame:
-    """History of published batches only; what a batch wrote before it was published isn't seen."""
-    last = published(spark, root)
-    return spark.read.parquet(f"{root}/history").filter(F.col("batch") <= F.lit(-1 if last is None else last)).drop("batch")
-
-
-def expire(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Delete states but the newest ``keep`` published ones; markers and history stay."""
-    last = published(spark, root)
-    fs, at = _fs(spark, f"{root}/state")
-    if last is None or not fs.exists(at):
-        return
-    batches = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at) if s.getPath().getName().startswith("batch="))
-    for batch in [b for b in batches if b <= last][: -keep]:
-        fs.delete(_fs(spark, f"{root}/state/batch={batch}")[1], True)
-
-
 def json_lines(df: DataFrame, payload: str | None = None) -> DataFrame:
     """``document``: one JSON text a row, nulls left out, ISO times, payload keys at the top level.
 

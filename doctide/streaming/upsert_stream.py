@@ -1,18 +1,71 @@
-"""Continuous upsert of a document stream into a snapshot table."""
+"""Continuous upsert of a document stream into a bucketed table."""
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.history import history_rows
-from ..operators.upsert import upsert, with_bookkeeping
 from ..sources import sinks
+from ..sources.buckets import BucketTable, Manifest, apply_batch
+
+COUNTERS = ("inserts", "updates", "deletes", "conflicts", "broken")
+
+
+class Holder:
+    """Rows of micro-batches that wait, as folders by batch, until there are enough of them or none has come for a while."""
+
+    def __init__(self, root: str, rows: int, idle: float, flush: Callable[[DataFrame, int], None]) -> None:
+        self.root, self.rows, self.idle, self.flush = f"{root}/pending", rows, idle, flush
+        self.lock, self.timer, self.arrived, self.failed = threading.RLock(), None, 0.0, None
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        """Keep a micro-batch; a repeated one takes its own place again. Flushes if that makes enough rows."""
+        with self.lock:
+            if self.failed:
+                raise self.failed
+            batch.write.mode("overwrite").parquet(f"{self.root}/batch={number}")
+            self.arrived = time.monotonic()
+            waiting = batch.sparkSession.read.schema(batch.schema).parquet(f"{self.root}/batch=*")
+            if waiting.count() >= self.rows:
+                self.release(batch.sparkSession)
+            else:
+                self._wait(batch.sparkSession)
+
+    def _wait(self, spark: SparkSession) -> None:
+        if self.timer:
+            self.timer.cancel()
+        self.timer = threading.Timer(self.idle, self._quiet, (spark,))
+        self.timer.daemon = True
+        self.timer.start()
+
+    def _quiet(self, spark: SparkSession) -> None:
+        with self.lock:
+            if time.monotonic() - self.arrived >= self.idle:
+                try:
+                    self.release(spark)
+                except Exception as error:  # seen by the next micro-batch; the rows go on waiting
+                    self.failed = error
+
+    def release(self, spark: SparkSession) -> None:
+        """Flush what waits as the batch of its newest number."""
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            fs, at = sinks.file_system(spark, self.root)
+            names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+            if not (numbers := sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))):
+                return
+            paths = [f"{self.root}/batch={n}" for n in numbers]
+            self.flush(spark.read.parquet(*paths), numbers[-1])
+            for path in paths:
+                fs.delete(sinks.file_system(spark, path)[1], True)
 
 
 @dataclass
@@ -20,62 +73,75 @@ class Stream:
     """A running upsert: its query, and what its published batches did, added up."""
 
     query: StreamingQuery
-    root: str
+    table: BucketTable
+    holder: Holder | None = field(default=None)
+
+    def finish(self) -> None:
+        """Wait for a stream that works off what is there; what was held back is applied, too."""
+        self.query.awaitTermination()
+        if self.holder:
+            self.holder.release(self.table.spark)
 
     def drain(self) -> None:
         """Work off what has arrived, then stop."""
         self.query.processAllAvailable()
         self.query.stop()
+        if self.holder:
+            self.holder.release(self.table.spark)
+
+    def state(self) -> DataFrame:
+        return self.table.state()
 
     def counters(self) -> DataFrame:
         """One row: inserts, updates, deletes, conflicts and broken messages of all published batches."""
-        spark = self.query.sparkSession if hasattr(self.query, "sparkSession") else SparkSession.active()
-        last = sinks.published(spark, self.root)
-        rows = spark.read.parquet(f"{self.root}/counters").filter(F.col("batch") <= F.lit(-1 if last is None else last))
-        return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("inserts", "updates", "deletes", "conflicts", "broken")])
+        known = self.table.manifest()
+        row = [int(known.totals.get(c, 0)) if known else 0 for c in COUNTERS]
+        return self.table.spark.createDataFrame([row], ", ".join(f"{c} long" for c in COUNTERS))
 
 
 def stream_upsert(
     documents: DataFrame, root: str, schema: T.StructType, key: str, checkpoint: str, strategy: str = "REPLACE", delete: str | None = None, every: str | None = "1 second",
-    pre_write: Callable[[DataFrame], DataFrame] | None = None, post_write: Callable[[DataFrame, int], None] | None = None, keep_states: int = 2,
+    pre_write: Callable[[DataFrame], DataFrame] | None = None, post_write: Callable[[DataFrame, int], None] | None = None, keep_states: int = 2, n_buckets: int = 64,
+    flush_rows: int | None = None, idle_seconds: float = 1.0,
 ) -> Stream:
     """Start the stream: each micro-batch is collapsed (last of a key wins), applied and published once.
 
-    ``documents`` comes from ``stream_documents``. Broken messages go to quarantine. A batch that was published before
-    is skipped, so a repeated one changes nothing; one that failed before writes the same rows with the same time again,
-    as its time is written first. ``post_write`` sees the changes when history and state are written, before they are
-    published. ``every=None`` works off what is there and stops. The newest ``keep_states`` states are kept.
+    ``documents`` comes from ``stream_documents``. Broken messages and those without a key go to quarantine. A batch that
+    was published before is skipped, so a repeated one changes nothing; one that failed before writes the same rows with
+    the same time again, as its time is written first. A batch rewrites only the buckets that it changes. ``post_write``
+    sees the changes when history and state are written, before they are published. ``every=None`` works off what is
+    there and stops. The newest ``keep_states`` states are kept.
+
+    With ``flush_rows``, micro-batches are held back until that many rows wait, or none has come for ``idle_seconds``;
+    the source's rate bound (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) says how many come at a time. What waits
+    is kept in the table's folder, so a restart goes on with it.
     """
+    table = BucketTable(documents.sparkSession, root)
+    plain = T.StructType([f for f in schema if f.name != delete])
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = sinks.published(spark, root)
-        if last is not None and last >= number:
-            return
-        if not batch.head(1):
+    def flush(batch: DataFrame, number: int) -> None:
+        known: Manifest | None = table.manifest()
+        if known is not None and known.batch >= number:
             return
-        batch_ts = F.lit(sinks.batch_time(spark, root, number))
         batch = batch.persist()
         try:
-            broken = batch.filter("broken").select("raw")
-            sinks.quarantine(broken, f"{root}/quarantine", number)
-            rows = batch.filter("NOT broken").select("doc.*", F.struct("seq", F.monotonically_increasing_id().alias("row")).alias("__order")).filter(F.col(key).isNotNull())
-            rows = pre_write(rows) if pre_write else rows
-            state = with_bookkeeping(spark.createDataFrame([], T.StructType([f for f in schema if f.name != delete]))) if last is None else sinks.read_snapshot(spark, root, last)
-            made = upsert(state, rows, key, strategy, str(number), batch_ts, delete, "__order")
-            made.changes.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
-            changes = spark.read.parquet(f"{root}/changes/batch={number}")
-            sinks.append_history(history_rows(changes, number), root, number)
-            sinks.write_state(made.state, root, number)
-            count = lambda kind: F.count(F.when(F.col("type") == kind, 1)).alias(f"{kind}s")
-            totals = changes.agg(count("insert"), count("update"), count("delete"), count("conflict")).withColumn("broken", F.lit(broken.count()).cast("long"))
-            totals.coalesce(1).write.mode("overwrite").parquet(f"{root}/counters/batch={number}")
-            if post_write:
-                post_write(changes, number)
-            sinks.publish(spark, root, number)
-            sinks.expire(spark, root, keep_states)
+            bad = F.col("broken") | F.col(f"doc.{key}").isNull()
+            sinks.quarantine(batch.filter(bad).select("raw"), f"{root}/quarantine", number)
+            broken = batch.filter(bad).count()
+            rows = batch.filter(~bad).select("doc.*", F.struct("seq", "row").alias("__order"))
+            apply_batch(table, rows, number, key, plain, strategy, n_buckets, keep=keep_states, pre_write=pre_write, post_write=post_write, more_totals={"broken": broken}, delete=delete, order="__order")
         finally:
             batch.unpersist()
 
-    writer = documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return Stream((writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start(), root)
+    holder = Holder(root, flush_rows, idle_seconds, flush) if flush_rows else None
+
+    def take(batch: DataFrame, number: int) -> None:
+        known = table.manifest()
+        if known is not None and known.batch >= number:
+            return
+        rows = batch.withColumn("row", F.struct(F.lit(number).alias("batch"), F.monotonically_increasing_id().alias("at")))
+        (holder.add if holder else flush)(rows, number)
+
+    writer = documents.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    return Stream(query, table, holder)

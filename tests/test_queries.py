@@ -165,7 +165,7 @@ def test_stream_equals_batch(spark, tmp_path):
         os.utime(source / f"{k}.json", (1000 + k, 1000 + k))
     root = f"file://{tmp_path}/table"
     rows = readers.stream_documents(spark, "text", DOC, path=str(source), maxFilesPerTrigger="1")
-    stream_upsert(rows, root, DOC, "testid", str(tmp_path / "check"), every=None).query.awaitTermination()
-    state = sinks.read_snapshot(spark, root)
-    assert {r["testid"]: r["testmileage"] for r in state.collect()} == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(1, 6), 1), **dict.fromkeys(range(2, 7), 2)}
-    assert spark.read.parquet(f"{root}/quarantine").count() == 3
+    made = stream_upsert(rows, root, DOC, "testid", str(tmp_path / "check"), every=None)
+    made.finish()
+    assert {r["testid"]: r["testmileage"] for r in made.state().collect()} == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(1, 6), 1), **dict.fromkeys(range(2, 7), 2)}
+    assert spark.read.parquet(f"{root}/quarantine").count() == 3 and made.counters().first()["broken"] == 3
