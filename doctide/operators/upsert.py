@@ -58,7 +58,7 @@ def rebuild(schema: T.StructType, leaf, at: str = "") -> list[Column]:
 def _comparable(c: Column, kind: T.DataType) -> Column:
     """Maps and variants compare by their JSON with sorted keys."""
     if isinstance(kind, T.MapType):
-        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
+        return F.to_json(F.map_from_entries(F.transform(F.array_sort(F.map_keys(c)), lambda k: F.struct(k, F.element_at(c, k)))))
     return F.to_json(c) if isinstance(kind, T.VariantType) else c
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -338,21 +341,70 @@ def frequency_folder(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of a partition as the lines of one JSON array."""
+    lead = "["
+    for batch in batches:
+        lines = [(lead if i == 0 else ",") + text for i, text in enumerate(batch.column("value").to_pylist())]
+        lead = "," if lines else lead
+        yield pa.RecordBatch.from_pydict({"value": lines}, schema=pa.schema([("value", pa.string())]))
+    yield pa.record_batch({"value": ["]" if lead == "," else "[]"]})
+
+
+def _order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    return orders.select("o_orderkey", F.to_json(F.struct("o_orderkey", F.struct("priority", F.lit('a{"}').alias("odd")).alias("in"), "price")).alias("value"))
+
+
+_ORDER = T.StructType().add("o_orderkey", "long").add("in", T.StructType().add("priority", "string")).add("price", "double")
+
+
 @_query("SELECT o_orderkey, o_orderpriority AS priority, o_totalprice AS price FROM orders")
 def json_layouts(spark, sf_dir):
-    """Documents as one array and as texts without separators, a file a task; both layouts are read, each row once in each."""
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
-    lines = orders.select(F.pmod("o_orderkey", F.lit(64)).alias("file"), F.to_json(F.struct("o_orderkey", F.struct("priority", F.lit("a{\"}").alias("odd")).alias("in"), "price")).alias("doc"))
-    files = lines.groupBy("file").agg(F.collect_list("doc").alias("docs"))
-    path = sinks.scratch_path(spark, "layouts")
-    files.select(F.concat(F.lit("["), F.array_join("docs", ",\n"), F.lit("]")).alias("value")).write.text(f"{path}/array")
-    files.select(F.array_join("docs", "").alias("value")).write.text(f"{path}/concatenated")
-    schema = T.StructType().add("o_orderkey", "long").add("in", T.StructType().add("priority", "string")).add("price", "double")
-    good, _ = readers.read_documents(spark, f"{path}/array/*.txt", schema, "array")
-    more, _ = readers.read_documents(spark, f"{path}/concatenated/*.txt", schema, "concatenated")
+    """Documents as arrays and as texts one after another; both layouts are read by ranges, each row once in each."""
+    path, texts = sinks.scratch_path(spark, "layouts"), _order_texts(spark, sf_dir)
+    texts.select("value").mapInArrow(_bracketed, "value string").write.text(f"{path}/array")
+    texts.select("value").write.option("lineSep", " ").text(f"{path}/concatenated")
+    good, _ = readers.read_documents(spark, f"{path}/array/*.txt", _ORDER, "array")
+    more, _ = readers.read_documents(spark, f"{path}/concatenated/*.txt", _ORDER, "concatenated")
     return good.unionByName(more).select("o_orderkey", F.col("in.priority").alias("priority"), "price").groupBy("o_orderkey", "priority", "price").agg(F.count("*").alias("n")).filter("n = 2").drop("n")
 
 
+@_query("""SELECT 'broken' AS kind, ', oops ' || o_orderkey AS text, 1::BIGINT AS n FROM orders WHERE o_orderkey % 5 = 3
+UNION ALL SELECT 'broken', '{"cut":' || o_orderkey || ',}', 1 FROM orders WHERE o_orderkey % 5 = 4 UNION ALL SELECT 'good', '', count(*) FROM orders WHERE o_orderkey % 5 <> 4""")
+def json_quarantine(spark, sf_dir):
+    """Arrays with words between the objects and objects that can't be read: none is lost, and the rest is read."""
+    path, key = sinks.scratch_path(spark, "broken"), F.col("o_orderkey")
+    said = F.when(key % 5 == 3, F.concat(F.lit(" oops "), key.cast("string"), F.col("value"))).when(key % 5 == 4, F.concat(F.lit('{"cut":'), key.cast("string"), F.lit(",}"))).otherwise(F.col("value"))
+    first = _order_texts(spark, sf_dir).select(F.lit('{"o_orderkey":0}').alias("value")).limit(1)
+    texts = _order_texts(spark, sf_dir).select(said.alias("value")).coalesce(1)
+    first.unionByName(texts).coalesce(1).mapInArrow(_bracketed, "value string").write.text(path)
+    good, broken = readers.read_documents(spark, path, _ORDER, "array")
+    told = good.filter("o_orderkey > 0 OR price IS NOT NULL").agg(F.lit("good").alias("kind"), F.lit("").alias("text"), F.count("*").alias("n"))
+    return told.unionByName(broken.groupBy(F.lit("broken").alias("kind"), F.regexp_replace("raw", r"\s+", " ").alias("text")).agg(F.count("*").alias("n")))
+
+
+_TYPED = """'{"a":' || CASE WHEN {now} AND event_id % 2 = 0 THEN '"' || event_id || '"' ELSE event_id::VARCHAR END || ',"b":"true","c":true,"d":"null","e":null,"f":{"x":["1",1,null,1.5,{"y":"' || event_type || '"}]},"zip":"00123"}'"""
+
+
+@_query(f"SELECT event_id, {_TYPED.replace('{now}', 'true')} AS now, {_TYPED.replace('{now}', 'false')} AS was, CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM events")
+def typed_payload(spark, sf_dir):
+    """Undeclared keys from reader to table, compared, kept in the history and written as lines: a number and its text are two values."""
+    e, path = _table(spark, sf_dir, "events"), sinks.scratch_path(spark, "typed")
+    text = lambda a: F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"a":'), a, F.lit(',"b":"true","c":true,"d":"null","e":null,"f":{"x":["1",1,null,1.5,{"y":"'), F.col("event_type"), F.lit('"}]},"zip":"00123"}'))
+    number = F.col("event_id").cast("string")
+    schema = T.StructType().add("event_id", "long")
+    first = readers.bind(e.select(text(number).alias("raw")), schema)
+    second = readers.bind(e.select(text(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)).alias("raw")), schema)
+    made = upsert.upsert(upsert.with_bookkeeping(first), second, "event_id", "UPDATEWITHHISTORY", "b1", F.timestamp_seconds(F.lit(2)))
+    state = sinks.written(made.state, "typed-state")
+    was = history.as_of(state, sinks.written(history.history_rows(made.changes), "typed-log"), "event_id", F.timestamp_seconds(F.lit(1)))
+    sinks.write_lines(sinks.json_lines(state.select("event_id", "payload"), "payload"), path)
+    again = readers.bind(spark.read.text(path).withColumnRenamed("value", "raw"), schema)
+    out = again.select("event_id", F.to_json("payload").alias("now")).join(was.select("event_id", F.to_json("payload").alias("was")), "event_id")
+    return out.join(state.select("event_id", F.col("lock_version").alias("version")), "event_id")
+
+
 @_query("SELECT event_id, props::JSON->>'k' AS k, event_type AS type, 'a\"b' || chr(10) || '{x}' AS text, '00123' AS zip FROM events")
 def json_lines_roundtrip(spark, sf_dir):
     """Documents with a payload of numbers, texts with quotes, line feeds and braces, written as lines and read again."""

@@ -210,7 +210,7 @@ def payload_capture(spark, sf_dir):
     raw = _table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", F.from_json("props", "k bigint").alias("props"), F.round("value").cast("long").alias("value"))).alias("raw"))
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("props", T.StructType([T.StructField("k", T.LongType())]))])
     bound = readers.bind(raw, schema)
-    return bound.select("event_id", F.col("props.k").alias("k"), F.array_join(F.transform(F.map_entries("payload"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",").alias("extra"))
+    return bound.select("event_id", F.col("props.k").alias("k"), F.array_join(F.transform(F.map_entries("payload"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("extra"))
 
 
 @_query("SELECT event_id, (props::JSON->>'k')::DOUBLE AS number, strftime(ts, '%Y-%m-%d') AS day FROM events")

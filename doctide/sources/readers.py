@@ -2,96 +2,29 @@
 
 from __future__ import annotations
 
-import codecs
-import itertools
-import json
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-#: Files up to this size come whole from Spark's reader; larger ones are read by their task piece by piece.
-WHOLE_BYTES, PIECE = 64 << 20, 4 << 20
-
+from .json_split import split_objects
 
 def read_json_text(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """``raw`` JSON texts and ``broken`` remainders. Layouts: lines; array or concatenated, files of any size, each read by one task.
-
-    A task holds no more of a large file than its longest object (for a broken one, what follows it).
-    """
+    """``raw`` JSON texts and ``broken`` ones. Layouts: lines; array or concatenated, files of any size, each read by many tasks."""
     if layout == "lines":
         return spark.read.text(path).select(F.col("value").alias("raw"), F.try_parse_json("value").isNull().alias("broken")).filter("trim(raw) <> ''")
     if layout not in ("array", "concatenated"):
         raise ValueError(f"unknown layout: {layout}")
-    files = spark.read.format("binaryFile").load(path)
-    small = files.filter(F.col("length") <= WHOLE_BYTES).select("path", "content")
-    large = files.filter(F.col("length") > WHOLE_BYTES).select("path", F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large).mapInPandas(_split_files, "raw string, broken boolean")
-
-
-def split_objects(pieces: Iterator[str]) -> Iterator[tuple[str, bool]]:
-    """Each top-level object of a text that comes in pieces; what can't be read from some brace on comes as one broken remainder."""
-    decoder, held, wanted, ended = json.JSONDecoder(), "", 0, False
-    while True:
-        while not ended and len(held) <= wanted:
-            if (piece := next(pieces, None)) is None:
-                ended = True
-            else:
-                held += piece
-        at = held.find("{")
-        if at < 0:
-            if ended:
-                return
-            held, wanted = "", 0
-            continue
-        try:
-            _, end = decoder.raw_decode(held, at)
-        except ValueError:
-            if ended:
-                yield held[at:], True
-                return
-            held, wanted = held[at:], 2 * (len(held) - at)
-            continue
-        yield held[at:end], False
-        done = end
-        # Further objects of the same text, without copying it for each.
-        while (at := held.find("{", done)) >= 0:
-            try:
-                _, end = decoder.raw_decode(held, at)
-            except ValueError:
-                break
-            yield held[at:end], False
-            done = end
-        held, wanted = held[done:], 0 if ended else len(held) - done
-
-
-def _pieces(path: str) -> Iterator[str]:
-    fs, at = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-    decode = codecs.getincrementaldecoder("utf-8")()
-    with fs.open_input_stream(at) as source:
-        while data := source.read(PIECE):
-            yield decode.decode(data)
-        yield decode.decode(b"", True)
-
-
-def _split_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            found = split_objects(_pieces(path) if content is None else iter([bytes(content).decode("utf-8")]))
-            while rows := list(itertools.islice(found, 1000)):
-                yield pd.DataFrame(rows, columns=["raw", "broken"])
+    return split_objects(spark, path, layout)
 
 
 def bind(df: DataFrame, schema: T.StructType, raw: str = "raw", payload: str | None = "payload") -> DataFrame:
-    """Declared columns from JSON text; every other top-level key goes to a map of JSON texts."""
+    """Declared columns from JSON text; every other top-level key goes to a map of variants, which keep what each value was."""
     typed = F.from_json(F.col(raw), schema)
     out = [typed[f.name].alias(f.name) for f in schema]
     if payload:
-        keys = F.from_json(F.col(raw), "map<string,string>")
+        keys = F.from_json(F.col(raw), "map<string,variant>")
         declared = [f.name for f in schema]
         out.append(F.map_filter(keys, lambda k, _: ~k.isin(*declared)).alias(payload))
     return df.select(*out)

@@ -38,19 +38,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def json_lines(df: DataFrame, payload: str | None = None) -> DataFrame:
     """``document``: one JSON text a row, nulls left out, ISO times, payload keys at the top level.
 
-    The payload maps keys to JSON texts; a value that isn't one is written as a string. Declared columns win over equal keys.
+    The payload maps keys to variants, which are written as what they are, JSON nulls too, or to texts, which are written
+    as strings; a key without a value is left out. Declared columns win over equal keys.
     """
     style = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "ignoreNullFields": "true"}
-    own = F.to_json(F.struct(*[c for c in df.columns if c != payload]), style)
+    declared = [c for c in df.columns if c != payload]
+    own = F.to_json(F.struct(*declared), style) if declared else F.lit("{}")
     if not payload:
         return df.select(own.alias("document"))
-    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", "$1")
-    item = lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(F.to_json(F.try_parse_json(e["value"])), quoted(e["value"])))
-    declared = [c for c in df.columns if c != payload]
-    entries = F.filter(F.map_entries(payload), lambda e: e["value"].isNotNull() & ~e["key"].isin(*declared))
-    extra = F.coalesce(F.array_join(F.transform(entries, item), ","), F.lit(""))
-    glue = F.when((own == "{}") | (extra == ""), "").otherwise(",")
-    return df.select(F.concat(F.regexp_extract(own, r"(?s)^(.*)\}$", 1), glue, extra, F.lit("}")).alias("document"))
+    extra = F.coalesce(F.to_json(F.map_filter(payload, lambda k, v: v.isNotNull() & ~k.isin(*declared))), F.lit("{}"))
+    glue = F.when((own == "{}") | (extra == "{}"), "").otherwise(",")
+    return df.select(F.concat(F.regexp_extract(own, r"(?s)^(.*)\}$", 1), glue, F.regexp_extract(extra, r"(?s)^\{(.*)$", 1)).alias("document"))
 
 
 def native_extract(df: DataFrame, fields: Mapping[str, str | Column]) -> DataFrame:
