@@ -111,8 +111,10 @@ def _run(gap: str) -> re.Pattern[str]:
 #: Spelled digits beside digits, spelled digits or dot marks. The first ends at a sentence, the second goes on; the test of each kind decides.
 _SPELLED_RUNS = (_run(r"(?!\.\s+(?-i:[A-Z]))[ ,.()-]+"), _run("[ ,.()-]+"))
 _MARK_WORDS = ("dot", "point", "punkt", "punto", "arobase", "arroba")
-#: Whatever may hold an at mark before a host with a literal dot, in small letters.
-_AT_HOST = re.compile(r"(?:at|arobase|arroba|@)(?=[\])}>\s_-])[\])}>\s_]*+[a-z0-9-]*+\.[a-z0-9-]|[\s\[({<]@[a-z0-9-]++\.[a-z0-9-]")
+#: A run of host letters before a literal dot, from where the run begins.
+_DOTTED = re.compile(r"(?<![a-z0-9-])([a-z0-9-]*+)\.(?=[a-z0-9-])")
+_AT_IN_RUN = re.compile("(?:at|arobase|arroba)-")
+_AT_WORDS = ("at", "arobase", "arroba", "@")
 _APART = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 _SAID = frozenset(SPELLED) | {"plus"}
 
@@ -124,6 +126,21 @@ def _pair(words: frozenset[str]) -> re.Pattern[str]:
     return re.compile(rf"{any_of}[ ,.()-]+(?:[0-9]|{any_of})|[0-9][ ,.()-]+{any_of}", re.I)
 
 
+def _at_host(low: str) -> bool:
+    """Whether an at mark may stand before a host with a literal dot, in small letters. Each run of host letters is looked at once."""
+    for run in _DOTTED.finditer(low):
+        start = at = run.start()
+        if _AT_IN_RUN.search(run[1]) or (run[1][:1] == "-" and low[start - 1 : start] == "@"):
+            return True
+        while at and (low[at - 1] in "])}>_" or low[at - 1].isspace()):
+            at -= 1
+        if at < start and low.endswith(_AT_WORDS, max(0, at - 7), at):
+            return True
+        if at == start > 1 and low[at - 1] == "@" and (low[at - 2] in "[({<" or low[at - 2].isspace()):
+            return True
+    return False
+
+
 def hinted(text: str) -> bool:
     """Whether any transducer could change anything: a glyph to replace, a digit word, a dot mark, or an at mark before a host."""
     low, apart = text.lower(), _APART
@@ -139,7 +156,7 @@ def hinted(text: str) -> bool:
     bracketed = any(c in text for c in "[({<")
     if (bracketed or any(w in low for w in _MARK_WORDS)) and _DOT_MARK.search(text):
         return True
-    return _AT_HOST.search(low) is not None
+    return _at_host(low)
 
 
 class Tape:

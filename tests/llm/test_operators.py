@@ -309,6 +309,21 @@ def test_html_hostile_pages_take_linear_time(piece):
     assert time.time() - began < 15
 
 
+@pytest.mark.parametrize("piece", ["at-", "-at", "at", "arobase-", "at ", "@-", "[at] ", "_at_", "at]", " .", "x@-."])
+def test_pii_gate_takes_linear_time(piece):
+    text = piece * (1_000_000 // len(piece))
+    began = time.time()
+    pii.hinted(text)
+    pii.hinted(text + "host.com")
+    assert time.time() - began < 2
+
+
+def test_pii_scans_hostile_texts(spark):
+    texts = [p * (200_000 // len(p)) + end for p in ("at-", "-at", "arobase-", "@-") for end in ("", " jane at host.com")]
+    out = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(out) == len(texts) and all(("email" in r["spans"]) >= (r["doc_id"] % 2) for r in out)
+
+
 @pytest.mark.parametrize("text", ["a_dot_" * 170_000 + "! dot x", "1" * 500_000 + "." + "1" * 500_000, "bob at example dot com, " * 40_000, " " * 1_000_000 + "at", "( " * 500_000, "a at " * 200_000, "one two " * 125_000, "1." * 500_000, "+1(" * 300_000, "a@" * 500_000, "[dot]" * 200_000, "one (.) " * 120_000])
 def test_pii_hostile_texts_take_linear_time(text):
     began = time.time()
