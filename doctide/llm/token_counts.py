@@ -37,8 +37,8 @@ from .common import blocks, bound_batches, utf8
 
 #: Bytes of text that a task holds at a time; a longer text makes a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Words whose steps and seams whose verdict a task remembers; a full memory is emptied, which changes no result.
-MEMORY_WORDS, MEMORY_SEAMS = 1_000_000, 1_000_000
+#: Words whose steps and seams whose verdict a worker remembers; of words as many again that were asked before. A full memory is emptied, which changes no result.
+MEMORY_WORDS, MEMORY_SEAMS = 700_000, 1_000_000
 #: Characters of the longest word that is remembered.
 MEMORY_CHARS = 64
 #: How the model writes a space.
@@ -80,7 +80,9 @@ class Pieces:
         #: By left piece, which right ones fit behind it.
         self.seams: dict[str, dict[str, bool]] = {}
         self.n_seams = 0
+        #: Words solved lately, and those of the memory before it, of which words asked again come back.
         self.memory: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def _last_merge(self, piece: str) -> tuple[str, ...] | None:
         """The two parts that a piece is last merged from, () for a single character, None if its characters don't end up as it."""
@@ -157,11 +159,11 @@ class Pieces:
         """For each text a signed byte a character, behind a first one for the space that the model puts before it; empty for an empty text."""
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         words = set().union(*split)
-        fresh = words - self.memory.keys()
-        if len(self.memory) + len(fresh) > MEMORY_WORDS:
-            self.memory.clear()
-            fresh = words
-        known = self.memory
+        if len(self.memory) + len(words) > MEMORY_WORDS:
+            self.former, self.memory = self.memory, {}
+        known, former = self.memory, self.former
+        known.update((w, former[w]) for w in (words - known.keys()) & former.keys())
+        fresh = words - known.keys()
         known.update(self._solve(sorted(fresh)))
         out = [b"".join(map(known.__getitem__, ws)) for ws in split]
         for word in fresh:
