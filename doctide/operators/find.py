@@ -17,12 +17,36 @@ DEFAULT_LIMIT = 1000
 
 
 def _type_at(schema: T.StructType, path: str) -> T.DataType | None:
+    """The type of what a path leads to; an array of it where the path goes through an array."""
     kind: T.DataType | None = schema
+    many = False
     for part in path.split("."):
         if isinstance(kind, T.ArrayType):
-            kind = kind.elementType
+            kind, many = kind.elementType, True
         kind = next((f.dataType for f in kind if f.name == part), None) if isinstance(kind, T.StructType) else None
-    return kind
+    return T.ArrayType(kind.elementType if isinstance(kind, T.ArrayType) else kind) if many and kind is not None else kind
+
+
+def _field(name: str):
+    return lambda x: x.getField(name)
+
+
+def _value_at(schema: T.StructType, path: str) -> Column:
+    """What a path leads to; through arrays of objects, the values of all elements in one array."""
+    parts = path.split(".")
+    if parts[0] not in schema.names:
+        return F.col(path)
+    value, kind, many = F.col(f"`{parts[0]}`"), schema[parts[0]].dataType, False
+    for part in parts[1:]:
+        if isinstance(kind, T.ArrayType) and not many:
+            many, kind = True, kind.elementType
+        elif isinstance(kind, T.ArrayType):
+            value, kind = F.flatten(value), kind.elementType
+        if not isinstance(kind, T.StructType) or part not in kind.names:
+            return F.col(path)
+        value = F.transform(value, _field(part)) if many else value.getField(part)
+        kind = kind[part].dataType
+    return F.flatten(F.filter(value, lambda x: x.isNotNull())) if many and isinstance(kind, T.ArrayType) else value
 
 
 def _literal(value: Any) -> Column:
@@ -92,7 +116,7 @@ def condition(df: DataFrame, spec: Mapping[str, Any]) -> Column:
         elif key.startswith("$"):
             raise ValueError(f"unknown operator: {key}")
         else:
-            parts.append(_clause(F.col(key), _type_at(df.schema, key), value))
+            parts.append(_clause(_value_at(df.schema, key), _type_at(df.schema, key), value))
     return reduce(and_, parts, F.lit(True))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import sinks
+
 EMAIL = "^.+@.+$"
 
 
@@ -51,19 +53,73 @@ def undeclared_paths(raw: str, schema: T.StructType, at: str = "") -> Column:
     return F.array_sort(F.concat(own, *inner))
 
 
+def walk(df: DataFrame, raw: str) -> DataFrame:
+    """All nodes of JSON texts, at any depth: the other columns, ``parts``, ``kind`` and ``value``.
+
+    Parts are keys led by a dot, and ``[]`` for the elements of an array. Kinds: object, objects (an array that holds an
+    object or an array), values (another array), scalar, empty (null, a blank string, an empty object or array). A level
+    is written before the next is made from it, until a level holds nothing nested. Texts that can't be read have no nodes.
+    """
+    rest = [c for c in df.columns if c != raw]
+    fields, items = F.try_variant_get("value", "$", "map<string,variant>"), F.try_variant_get("value", "$", "array<variant>")
+    nested = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull() | F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    text = F.try_variant_get("value", "$", "string")
+    blank = F.is_variant_null("value") | (fields.isNotNull() & (F.size(fields) == 0)) | (items.isNotNull() & (F.size(items) == 0)) | (fields.isNull() & items.isNull() & (F.trim(text) == ""))
+    kind = F.when(blank, "empty").when(fields.isNotNull(), "object").when(items.isNotNull(), F.when(F.exists(items, nested), "objects").otherwise("values")).otherwise("scalar")
+    level = df.select(*rest, F.array().cast("array<string>").alias("parts"), F.try_parse_json(raw).alias("value")).filter("value IS NOT NULL")
+    out: DataFrame | None = None
+    while True:
+        here = sinks.written(level.select(*rest, "parts", kind.alias("kind"), "value"), "walk")
+        out = here if out is None else out.unionByName(here)
+        open_ = here.filter("kind IN ('object', 'objects')")
+        if open_.isEmpty():
+            return out
+        named = F.transform(F.map_entries(fields), lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("part"), e["value"].alias("value")))
+        listed = F.transform(items, lambda v: F.struct(F.lit("[]").alias("part"), v.alias("value")))
+        below = open_.select(*rest, "parts", F.explode(F.when(F.col("kind") == "object", named).otherwise(listed)).alias("__in"))
+        level = below.select(*rest, F.concat("parts", F.array("__in.part")).alias("parts"), F.col("__in.value").alias("value"))
+
+
 def coerce_leaves(df: DataFrame, raw: str) -> DataFrame:
-    """key columns with ``path``, ``number``, ``day`` and ``instant`` for every leaf of a JSON text, through objects and one level of arrays."""
+    """key columns with ``path``, ``number``, ``day`` and ``instant`` for every leaf of a JSON text at any depth; elements of an array have its path."""
     rest = [c for c in df.columns if c != raw]
-    level = df.select(*rest, F.expr(f"explode(from_json(`{raw}`, 'map<string,string>'))").alias("path", "value"))
-    for _ in range(3):
-        nested = F.col("value").startswith("{")
-        deeper = level.filter(nested).select(*rest, F.col("path").alias("__up"), F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")).select(*rest, F.concat_ws(".", "__up", "key").alias("path"), "value")
-        level = level.filter(~nested | F.col("value").isNull()).unionByName(deeper)
-    listed = F.col("value").startswith("[")
-    items = level.filter(listed).select(*rest, "path", F.explode(F.from_json("value", "array<string>")).alias("value"))
-    flat = level.filter(~listed | F.col("value").isNull()).unionByName(items)
-    made = coerce_dynamic(F.col("value"))
-    return flat.select(*rest, "path", *[c.alias(n) for n, c in made.items()])
+    nodes = walk(df, raw)
+    items = F.when(F.col("kind") == "values", F.try_variant_get("value", "$", "array<variant>")).otherwise(F.array("value"))
+    leaves = nodes.filter("kind NOT IN ('object', 'objects')").select(*rest, "parts", F.explode(items).alias("value"))
+    path = F.array_join(F.transform(F.filter("parts", lambda p: p != "[]"), lambda p: F.substring(p, 2, F.length(p))), ".")
+    # Whatever is empty is a leaf without a value.
+    flat = leaves.select(*rest, path.alias("path"), F.try_variant_get("value", "$", "string").alias("value"))
+    return flat.select(*rest, "path", *[c.alias(n) for n, c in coerce_dynamic(F.col("value")).items()])
+
+
+#: Which kind of a path's values the merged document takes, the last of these that comes.
+_MERGED = ("empty", "scalar", "object", "values", "objects")
+
+
+def merge_documents(df: DataFrame, raw: str) -> DataFrame:
+    """``document``: one JSON text with every path that any text has; no row if no text can be read.
+
+    Objects are merged field by field, arrays of objects to an array of one object merged from all elements. Of different
+    kinds at one path the fuller one stays: arrays of objects, other arrays, objects, scalars, then empty values. Of
+    several arrays of values or scalars that of the least JSON text stays, so the order of rows doesn't matter. Values are
+    counted out by path before they meet; what is put together then is as large as the merged document.
+    """
+    rank = sum((F.when(F.col("kind") == k, i).otherwise(0) for i, k in enumerate(_MERGED)), F.lit(0))
+    nodes = walk(df.select(raw), raw).select("parts", rank.alias("rank"), F.when(F.col("kind").isin("scalar", "values", "empty"), F.to_json("value")).alias("text"))
+    best = nodes.groupBy("parts").agg(F.max(F.struct("rank", F.lit(1).alias("one"))).alias("m"), *[F.min(F.when(F.col("rank") == i, F.col("text"))).alias(f"t{i}") for i in (0, 1, 3)])
+    found = best.select("parts", F.col("m.rank").alias("rank"), F.when(F.col("m.rank") == 0, F.col("t0")).when(F.col("m.rank") == 1, F.col("t1")).when(F.col("m.rank") == 3, F.col("t3")).alias("text"))
+    found = sinks.written(found, "merged")
+    quoted = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", "$1")
+    depth = found.agg(F.max(F.size("parts"))).first()[0] or 0
+    level = found.filter(F.size("parts") == depth)
+    for at in range(depth, 0, -1):
+        last, up = F.element_at("parts", -1), F.slice("parts", 1, at - 1)
+        said = F.when(last == "[]", F.col("text")).otherwise(F.concat(quoted(F.substring(last, 2, F.length(last))), F.lit(":"), F.col("text")))
+        made = level.filter("text IS NOT NULL").groupBy(up.alias("up"), (last == "[]").alias("listed")).agg(F.array_join(F.array_sort(F.collect_list(said)), ",").alias("inner"))
+        above = found.filter(F.size("parts") == at - 1).join(made, (F.col("parts") == F.col("up")) & (F.col("listed") == (F.col("rank") == 4)), "left")
+        text = F.when(F.col("rank") == 4, F.concat(F.lit("["), F.col("inner"), F.lit("]"))).when(F.col("rank") == 2, F.concat(F.lit("{"), F.col("inner"), F.lit("}"))).otherwise(F.col("text"))
+        level = above.select("parts", "rank", text.alias("text"))
+    return level.select(F.coalesce("text", F.lit("{}")).alias("document"))
 
 
 def schema_document(schema: T.StructType, rules: Sequence[tuple[str, str]] = (), closed: bool = True) -> dict:

@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.buckets import BUCKET, BucketTable, bucket_of
+
 K1, B = 1.2, 0.75
 
 
 def tokens(*fields: str) -> Column:
     """Lower-case words of one or several string fields."""
-    text = F.lower(F.concat_ws(" ", *fields))
-    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return _words(F.concat_ws(" ", *fields))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The distinct words of a query, cut as texts are."""
+    return spark.range(1).select(F.array_distinct(_words(F.lit(query)))).first()[0]
 
 
 def _is(term: str):
@@ -29,7 +40,7 @@ def postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 def text_search(df: DataFrame, key: str, fields: Sequence[str], query: str, limit: int = 1000, where: Column | None = None, skip: int = 0) -> DataFrame:
     """key and score of rows with any query term, best first. Only rows with a term are exploded; lengths come from all."""
-    terms = [t for t in dict.fromkeys(w.lower() for w in query.replace(",", " ").split()) if t]
+    terms = query_terms(df.sparkSession, query)
     words = df.select(F.col(key), tokens(*fields).alias("words"), (where if where is not None else F.lit(True)).alias("ok"))
     counts = [F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = words.select(key, "ok", F.size("words").alias("length"), *counts)
@@ -56,7 +67,7 @@ def text_fields(df: DataFrame, path: str | Sequence[str]) -> list[str]:
 
 def indexed_search(index: DataFrame, key: str, query: str, n_rows: int, mean_length: float, limit: int | None = 1000, skip: int = 0) -> DataFrame:
     """key and score from a ``postings`` table; only the query terms' rows of the index are read, and no text."""
-    terms = [t for t in dict.fromkeys(w.lower() for w in query.replace(",", " ").split()) if t]
+    terms = query_terms(index.sparkSession, query)
     found = index.filter(F.col("term").isin(terms))
     idf = found.groupBy(F.col("term").alias("of")).agg(F.count("*").alias("n")).select("of", F.log(1 + (F.lit(float(n_rows)) - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
@@ -77,3 +88,57 @@ def compound_search(df: DataFrame, key: str, texts: Sequence[tuple[str, str | Se
     if where is not None:
         out = out.join(df.filter(where).select(key).distinct(), key, "left_semi")
     return out.select(key, F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).offset(skip).limit(limit)
+
+
+class KeptIndex:
+    """Postings kept beside a table, brought forward by its changes, in buckets by term.
+
+    A change appends its rows: for each term of a row's old or new version the row's new count of it, 0 if it has gone.
+    The newest batch's word on a term and row is what holds. Appended folders are merged in levels as histories are, and
+    what has gone is left out of the oldest. A search reads the buckets of its terms and nothing of the documents; the
+    number of rows and their lengths stand in the manifest. A bucket's rows are dealt out to ``spread`` files, so that a
+    term that most rows hold is no single task's work. ``key`` is the documents' key, whose type ``schema`` tells.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str, fields: Sequence[str], schema: T.StructType, n_buckets: int = 64, spread: int = 4) -> None:
+        self.table, self.key, self.fields, self.n_buckets, self.spread = BucketTable(spark, root), key, list(fields), n_buckets, spread
+        self.rows = T.StructType().add("term", "string").add(key, schema[key].dataType).add("length", "integer").add("tf", "long").add("batch", "long")
+
+    def _put(self, rows: DataFrame, path: str) -> None:
+        placed = rows.withColumn(BUCKET, bucket_of(F.col("term"), self.n_buckets))
+        placed.repartition(BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.spread))).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+    def _newest(self, rows: DataFrame, oldest: bool = True) -> DataFrame:
+        one = rows.groupBy("term", self.key).agg(F.max_by(F.struct("length", "tf", "batch"), "batch").alias("r")).select("term", self.key, "r.*")
+        return one.filter("tf > 0") if oldest else one
+
+    def bring_forward(self, before: DataFrame, after: DataFrame, batch: int) -> None:
+        """Take in a batch: changed rows as they were and as they are, each key at most once a side. A repeated batch changes nothing."""
+        known = self.table.manifest() or self.table.start(self.rows, "term", self.n_buckets)
+        if known.batch >= batch:
+            return
+        gone = postings(before, self.key, self.fields).select("term", self.key, F.lit(0).alias("length"), F.lit(0).cast("long").alias("tf"))
+        new = postings(after, self.key, self.fields).select("term", self.key, "length", "tf")
+        both = gone.unionByName(new).groupBy("term", self.key).agg(F.max("length").alias("length"), F.max("tf").alias("tf")).withColumn("batch", F.lit(batch).cast("long"))
+        size = F.size(tokens(*self.fields))
+        counted = after.select(F.lit(1).alias("n"), size.alias("words")).unionByName(before.select(F.lit(-1).alias("n"), (-size).alias("words")))
+        more = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first().asDict()
+        folders = self.table.append(known, batch, both.select(*self.rows.names), self._put, self._newest)
+        self.table.publish(replace(known, batch=batch, history=folders, totals={k: known.totals.get(k, 0) + v for k, v in more.items()}))
+        self.table.expire()
+
+    def found(self, query: str) -> DataFrame:
+        """Postings of the query's terms as they hold now."""
+        known, spark = self.table.manifest(), self.table.spark
+        terms = query_terms(spark, query)
+        if known is None or not terms:
+            return spark.createDataFrame([], self.rows)
+        asked = spark.createDataFrame([(t,) for t in terms], "term string")
+        rows = self.table.history_of(known, self.rows, self.table.touched(known, F.col("term"), asked)).filter(F.col("term").isin(terms))
+        return self._newest(rows)
+
+    def search(self, query: str, limit: int | None = 1000, skip: int = 0) -> DataFrame:
+        """key and score of rows with any term of the query, best first."""
+        known = self.table.manifest()
+        n, words = (known.totals.get("rows", 0), known.totals.get("words", 0)) if known else (0, 0)
+        return indexed_search(self.found(query), self.key, query, n, words / n if n else 1.0, limit, skip)

@@ -278,6 +278,66 @@ def search_index(spark, sf_dir):
     return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("times"))
 
 
+_ASKED = "River-stone, THE house of"
+
+
+def _bm25(rows: str, terms: list[str], digits: int = 6) -> str:
+    """SQL of the scores of ``rows`` (id, words) for terms."""
+    tf = ", ".join(f"len(list_filter(words, lambda x: x = '{t}'))::DOUBLE AS tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0)::DOUBLE AS df{i}" for i in range(len(terms)))
+    parts = " + ".join(f"ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(len(terms)))
+    any_of = " + ".join(f"tf{i}" for i in range(len(terms)))
+    return f"""l AS (SELECT id, len(words)::DOUBLE AS n, {tf} FROM ({rows})), t AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS mean, {df} FROM l)
+SELECT id AS doc_id, round({parts}, {digits}) AS score FROM l, t WHERE {any_of} > 0"""
+
+
+_CUT = "[x FOR x IN regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']"
+
+
+@_query("WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN 'the wind house of ' || source ELSE text END AS text FROM documents WHERE doc_id % 5 <> 2), " + _bm25(f"SELECT id, {_CUT} AS words FROM r", ["river", "stone", "the", "house", "of"], 4))
+def kept_index_search(spark, sf_dir):
+    """An index of documents brought forward by batches: a part comes, the rest comes, a quarter changes, a fifth goes; then asked for words with marks between them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = search.KeptIndex(spark, sinks.scratch_path(spark, "index"), "doc_id", ["text"], docs.schema, n_buckets=32)
+    key, none = F.col("doc_id"), docs.limit(0)
+    changed = docs.withColumn("text", F.when(key % 4 == 1, F.concat(F.lit("the wind house of "), "source")).otherwise(F.col("text")))
+    index.bring_forward(none, docs.filter(key % 3 == 0), 0)
+    index.bring_forward(none, docs.filter(key % 3 != 0), 1)
+    index.bring_forward(docs.filter(key % 4 == 1), changed.filter(key % 4 == 1), 2)
+    index.bring_forward(changed.filter(key % 5 == 2), none, 3)
+    return index.search(_ASKED, None).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@_query("""SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey < 20) AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 7)""")
+def find_through_arrays(spark, sf_dir):
+    """A path through an array of objects matches where any element does."""
+    spec = {"filter": {"lines.l_partkey": {"$lt": 20}, "lines.l_quantity": {"$ne": 7}}, "projection": {"id": 1}, "limit": 0}
+    return find.find(_nested(spark, sf_dir), spec)
+
+
+@_query("""WITH e AS (SELECT event_id, event_id % 7 AS d, round(value)::BIGINT AS v FROM events)
+SELECT event_id, repeat('in.', d::INT) || 'v' AS path, v::DOUBLE AS number FROM e UNION ALL SELECT event_id, repeat('in.', d::INT) || 'l.x.y', i::DOUBLE FROM e, (SELECT unnest([1, 2]) AS i)
+UNION ALL SELECT event_id, 'a', NULL FROM e UNION ALL SELECT event_id, 'a', event_id::DOUBLE FROM e""")
+def coerce_any_depth(spark, sf_dir):
+    """Leaves of documents of up to seven levels, through arrays of objects that hold arrays of objects."""
+    d, inner = (F.col("event_id") % 7).cast("int"), F.concat(F.lit('"v":"'), F.round("value").cast("long").cast("string"), F.lit('","l":[{"x":[{"y":1}]},{"x":[{"y":"2"}]}]'))
+    text = F.concat(F.lit("{"), F.repeat(F.lit('"in":{'), d), inner, F.repeat(F.lit("}"), d), F.lit(',"a":["word",'), F.col("event_id").cast("string"), F.lit("]}"))
+    leaves = quality.coerce_leaves(_table(spark, sf_dir, "events").select("event_id", text.alias("raw")), "raw")
+    return leaves.select("event_id", "path", "number")
+
+
+@_query("""SELECT '{"at":{"type":"' || min(event_type) FILTER (WHERE event_id % 3 > 0) || '","user":' || min(user_id::VARCHAR) FILTER (WHERE event_id % 3 = 2) || '},"list":[{"k":' || min(event_id::VARCHAR) FILTER (WHERE event_id % 3 = 0) || ',"t":"' || min(event_type) FILTER (WHERE event_id % 3 = 1) || '"}],"none":null,"set":' || min('["' || event_type || '",1]') FILTER (WHERE event_id % 3 < 2) || '}' AS document FROM events""")
+def merged_document(spark, sf_dir):
+    """One document that holds every path of all events' documents, which differ in fields and kinds."""
+    rest = F.col("event_id") % 3
+    at = F.when(rest == 0, F.lit("5")).when(rest == 1, F.concat(F.lit('{"type":"'), F.col("event_type"), F.lit('"}'))).otherwise(F.concat(F.lit('{"user":'), F.col("user_id").cast("string"), F.lit(',"type":"'), F.col("event_type"), F.lit('"}')))
+    items = F.when(rest == 0, F.concat(F.lit('[{"k":'), F.col("event_id").cast("string"), F.lit("}]"))).when(rest == 1, F.concat(F.lit('[{"t":"'), F.col("event_type"), F.lit('"},3]'))).otherwise(F.lit('["q"]'))
+    kinds = F.when(F.col("event_id") % 2 == 0, F.lit('{"x":1}')).otherwise(F.lit('" "'))
+    kinds = F.when(rest == 2, kinds).otherwise(F.concat(F.lit('["'), F.col("event_type"), F.lit('",1]')))
+    text = F.concat(F.lit('{"at":'), at, F.lit(',"list":'), items, F.lit(',"none":null,"set":'), kinds, F.lit("}"))
+    return quality.merge_documents(_table(spark, sf_dir, "events").select(text.alias("raw")), "raw")
+
+
 @_query("SELECT event_id, 'extra,inner.more' AS undeclared FROM events")
 def closed_schema(spark, sf_dir):
     raw = _table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", F.lit(1).alias("extra"), F.struct(F.col("value").alias("value"), F.lit(2).alias("more")).alias("inner"))).alias("raw"))

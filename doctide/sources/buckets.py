@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,20 +138,31 @@ class BucketTable:
         gone = {str(b) for b in buckets}
         return {b: n for b, n in manifest.written.items() if b not in gone} | dict.fromkeys(sorted(left), batch)
 
-    def append(self, manifest: Manifest, batch: int, rows: DataFrame) -> list[tuple[int, int]]:
-        """Write history rows of the batch, and merge folders where a level is full. Returns the folders of the history."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/history/0-{batch}")
+    def append(self, manifest: Manifest, batch: int, rows: DataFrame, put: Callable[[DataFrame, str], None] | None = None, merged: Callable[[DataFrame, bool], DataFrame] | None = None) -> list[tuple[int, int]]:
+        """Write history rows of the batch, and merge folders where a level is full. Returns the folders of the history.
+
+        ``put`` writes rows to a folder; ``merged`` makes the rows of a merged folder, told whether it is the oldest.
+        """
+        put = put or (lambda df, path: df.write.mode("overwrite").parquet(path))
+        put(rows, f"{self.root}/history/0-{batch}")
         folders = [*manifest.history, (0, batch)]
         level = 0
         while len(full := [f for f in folders if f[0] == level]) >= FAN:
-            merged = (level + 1, full[-1][1])
-            parts = self.spark.read.parquet(*[f"{self.root}/history/{lv}-{n}" for lv, n in full])
-            parts.write.mode("overwrite").parquet(f"{self.root}/history/{merged[0]}-{merged[1]}")
-            folders = [f for f in folders if f[0] != level] + [merged]
+            into = (level + 1, full[-1][1])
+            each = [self.spark.read.schema(rows.schema).parquet(f"{self.root}/history/{lv}-{n}").select(*rows.columns) for lv, n in full]
+            parts = reduce(DataFrame.unionByName, each)
+            put(merged(parts, full[0] == folders[0]) if merged else parts, f"{self.root}/history/{into[0]}-{into[1]}")
+            folders = [f for f in folders if f[0] != level] + [into]
             folders.sort(key=lambda f: f[1])
             level += 1
         return folders
 
+    def history_of(self, manifest: Manifest, schema: T.StructType, buckets: list[int]) -> DataFrame:
+        """History rows of the given buckets, where folders are partitioned by bucket; only their files are read."""
+        names = {f"{level}-{batch}" for level, batch in manifest.history}
+        found = [f"{self.root}/history/{n}/{BUCKET}={b}" for n in sorted(names) for b in buckets if self._fs().exists(self._path(f"history/{n}/{BUCKET}={b}"))]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
     def publish(self, manifest: Manifest) -> None:
         """Make the manifest's batch the newest."""
         self._put(f"manifests/{manifest.batch}", json.dumps(asdict(manifest)))
