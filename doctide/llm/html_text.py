@@ -71,7 +71,7 @@ _TAG_COLUMN = {t: k for k, t in enumerate(TAGS)}
 #: Tags that tell a zone by themselves.
 BOILER_TAGS = frozenset("nav footer aside form search button select label title head dialog menu header".split())
 _KNOWN = frozenset(TAGS) | BOILER_TAGS | {"html", "body"}
-WIDTH = 1 + len(TAGS) + len(_BOILER) + 1 + 14 + 3
+WIDTH = 1 + len(TAGS) + len(_BOILER) + 1 + 14 + 4
 
 
 @dataclass(frozen=True)
@@ -236,13 +236,14 @@ def features(page: list[Block]) -> np.ndarray:
         words = text.count(" ") + 1
         rows.append((
             min(log1p(words) / 4, 1.5), words <= 3, words >= 15, b.links, b.links > 0.6, text[-1] in _END, min((len(text) - len(text.translate(_NO_DIGITS))) / len(text) * 3, 1), words < 60 and _LAST_WORDS.search(text) is not None,
-            i == 0, i == count - 1, i / count, not b.tags & _TAG_SET, text.count("|") > 1, text[0].isupper(), b.zone > 0, b.zone < 0, b.zone == 0 and words >= 8,
+            i == 0, i == count - 1, i / count, not b.tags & _TAG_SET, text.count("|") > 1, text[0].isupper(), b.zone > 0, b.zone < 0, b.zone == 0 and words >= 8, b.links > 0.6 and b.zone > 0 and not b.tags.isdisjoint(_ARTICLE),
         ))
     return np.concatenate([np.stack([_place(b.tags, b.groups) for b in page]), np.array(rows, float)], 1)
 
 
 _NO_DIGITS = dict.fromkeys(range(48, 58))
 _EXTRA = 1 + len(TAGS) + len(_BOILER)
+_ARTICLE = frozenset({"article", "main"})
 _TAG_SET = frozenset({"p", "li", "h1", "h2", "h3", "h4", "td", "blockquote", "pre"})
 
 
@@ -277,9 +278,10 @@ def variants(pages: list[tuple[list[Block], list[int]]], seed: int = 7) -> list[
         return " ".join(texts[int(rng.integers(len(texts)))].split(" ")[: int(rng.integers(1, words))])
 
     def zone(inside: tuple[frozenset[str], frozenset[int], int]) -> list[tuple[Block, int]]:
-        if rng.random() < 0.15:  # links without any mark
+        if rng.random() < 0.15:  # links without any mark, which belong to a marked article that holds them
             tags = inside[0] - {"p", "li", "pre"} | [{"table", "td"}, {"ul", "li"}, {"div"}, {"p"}][int(rng.integers(4))]
-            return [(Block(some(prose, 7), frozenset(tags), inside[1], 1.0, inside[2]), 0) for _ in range(int(rng.integers(1, 5)))]
+            own = int(inside[2] > 0 and not inside[0].isdisjoint(_ARTICLE))
+            return [(Block(some(prose, 7), frozenset(tags), inside[1], 1.0, inside[2]), own) for _ in range(int(rng.integers(1, 5)))]
         tag, group = _ZONES[int(rng.integers(len(_ZONES)))]
         tags = inside[0] - {"p", "li", "pre"} | {tag} | [{"p"}, {"ul", "li"}, {"div"}, {"label"}, set()][int(rng.integers(5))]
         if tag == "header" and tags & {"article", "main"}:
@@ -317,6 +319,9 @@ def variants(pages: list[tuple[list[Block], list[int]]], seed: int = 7) -> list[
                 first = False
                 if rng.random() < 0.12:
                     rows += zone(layout)
+                elif layout[2] > 0 and not layout[0].isdisjoint(_ARTICLE) and rng.random() < 0.15:  # a list of links in the article
+                    tags = layout[0] - {"p", "pre"} | {"ul", "li"}
+                    rows += [(Block(some(prose, 7), frozenset(tags), layout[1], 1.0, layout[2]), 1) for _ in range(int(rng.integers(1, 5)))]
             for _ in range(int(rng.integers(0, 4))):
                 rows += zone(layout if rng.random() < 0.3 else (_PLAIN, frozenset(), 0))
             out.append(([r[0] for r in rows], [r[1] for r in rows]))
@@ -351,6 +356,7 @@ def prior() -> Crf:
     w[extra + 1 + np.array([3, 4, 7]), 0] = 2
     w[extra + 1 + np.array([2, 5, 14, 16]), 1] = 1
     w[extra + 1 + 15, 0] = 2
+    w[extra + 1 + 17, 1] = 2
     return Crf(w, np.array([[0.5, 0.0], [0.0, 0.5]]))
 
 

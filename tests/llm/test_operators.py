@@ -278,6 +278,8 @@ def test_html(spark):
 FIRST = "The quiet harbour lay under a pale sky while boats came in from the long night at sea, and people waited on the stones."
 SECOND = "Nobody had expected the storm to turn north so late in the year, yet it did, and the whole coast felt it for weeks."
 LAYOUTS = {
+    "links inside": (f"<body><nav><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></nav><article><h1>Storm at sea</h1><p>{FIRST}</p><ul><li><a href=1>First report</a></li><li><a href=2>Second report</a></li></ul><p>{SECOND}</p></article><footer><a href=z>About us</a></footer></body>", ["Storm at sea", FIRST, "First report", "Second report", SECOND]),
+    "links last": (f"<body><div class='menu'><a href=x>Home</a></div><main><h1>Storm at sea</h1><p>{FIRST}</p><p>{SECOND}</p><p><a href=1>The full report</a></p><ul><li><a href=2>A map of the coast</a></li></ul></main><aside><ul><li><a href=3>Other story</a></li></ul></aside></body>", ["Storm at sea", FIRST, SECOND, "The full report", "A map of the coast"]),
     "aside inside": (f"<body><article><h1>Storm at sea</h1><p>{FIRST}</p><aside>Read our other story about the northern coast and its people today.</aside><p>{SECOND}</p></article></body>", ["Storm at sea", FIRST, SECOND]),
     "comments inside": (f"<body><article><h1>Storm at sea</h1><p>{FIRST}</p><p>{SECOND}</p><section class='comments'><p>Great story, I was there that night and it was terrible to see.</p><p>Me too!</p></section></article></body>", ["Storm at sea", FIRST, SECOND]),
     "form inside": (f"<body><article><h1>Storm at sea</h1><p>{FIRST}</p><form><label>Your mail</label><button>Send</button></form><p>{SECOND}</p></article></body>", ["Storm at sea", FIRST, SECOND]),
