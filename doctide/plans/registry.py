@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import find, generate, history, joins, profile, quality, querylog, search, upsert
+from ..operators import alias, find, generate, history, joins, profile, quality, querylog, search, upsert
 from ..sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,6 +283,16 @@ def weighted_sample(spark, sf_dir):
     return joins.weighted_pick(draws, "r", ranges, total).select("o_orderkey", "p_partkey")
 
 
+@_query("SELECT p_brand AS brand, count(*) * (SELECT count(DISTINCT p_brand) FROM part) AS picks FROM part GROUP BY 1")
+def weighted_alias(spark, sf_dir):
+    """All draws from an alias table of the brands' frequencies, counted: each brand as often as its weight says, exactly."""
+    brands = _table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("w"))
+    made = alias.alias_table(brands, "w", ["p_brand"], F.crc32(F.col("p_brand").cast("binary")) % 4)
+    draws = spark.range(made.n * made.total).withColumnRenamed("id", "r")
+    picked = made.pick(draws, F.floor(F.col("r") / made.total), F.col("r") % made.total)
+    return picked.groupBy(F.col("picked.p_brand").alias("brand")).agg(F.count("*").alias("picks"))
+
+
 @_query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN floor(o_totalprice * 101 / 100) ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 10 = 4 THEN CASE o_orderstatus WHEN 'F' THEN 'O' ELSE 'F' END ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def mutation_by_rule(spark, sf_dir):
     pick = lambda n: F.col("o_orderkey") % 10 == n
