@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 from functools import reduce
 from operator import and_, or_
@@ -183,14 +183,37 @@ def ordered(df: DataFrame, sort: Mapping[str, int] | None, tiebreak: str | None
     return df.orderBy(*keys, *([tiebreak] if tiebreak and tiebreak not in (sort or {}) else [])) if keys or tiebreak else df
 
 
-def find(df: DataFrame, spec: str | Mapping[str, Any], key: str | None = None, names: Mapping[str, str] | None = None) -> DataFrame:
-    """``{filter, projection, sort, skip, limit}``; limit is 1000 unless given, 0 means none."""
+def _first_matches(df: DataFrame, condition_of: Mapping[str, Any], name: str) -> Column:
+    """The first element of an array of objects that meets what the filter asks of its elements, in an array; null if it asks nothing or none does."""
+    asked = {k[len(name) + 1 :]: v for k, v in condition_of.items() if k.startswith(name + ".")}
+    more = condition_of.get(name)
+    asked |= more["$elemMatch"] if isinstance(more, Mapping) and isinstance(more.get("$elemMatch"), Mapping) else {}
+    kind = _type_at(df.schema, name)
+    if not asked or not isinstance(kind, T.ArrayType):
+        return F.lit(None).cast(kind or "string")
+    hits = F.filter(F.col(name), lambda x: reduce(and_, [_clause(x.getField(k), _type_at(kind.elementType, k), v) for k, v in asked.items()]))
+    return F.when(F.size(hits) > 0, F.slice(hits, 1, 1))
+
+
+def find(df: DataFrame, spec: str | Mapping[str, Any], key: str | None = None, names: Mapping[str, str] | None = None, stages: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """``{filter, projection, sort, skip, limit}``; limit is 1000 unless given, 0 means none.
+
+    ``stages`` are functions from frame to frame that run between the filter and the sort. A projected ``path.$`` is the
+    first element of the array that the filter's conditions on it are met by.
+    """
     q = renamed(parsed(spec), names or {})
-    out = ordered(df.filter(condition(df, q.get("filter") or {})), q.get("sort"), key if q.get("sort") else None)
+    out = df.filter(condition(df, q.get("filter") or {}))
+    projection = dict(q.get("projection") or {})
+    for path in [p for p in projection if p.endswith(".$") and "." not in p[:-2]]:
+        out = out.withColumn(path[:-2], _first_matches(df, q.get("filter") or {}, path[:-2]))
+        projection[path[:-2]] = projection.pop(path)
+    for stage in stages:
+        out = out.transform(stage)
+    out = ordered(out, q.get("sort"), key if q.get("sort") else None)
     if q.get("skip"):
         out = out.offset(int(q["skip"]))
     limit = int(q.get("limit", DEFAULT_LIMIT))
-    return project(out.limit(limit) if limit else out, q.get("projection") or {}, key)
+    return project(out.limit(limit) if limit else out, projection, key)
 
 
 def _leaves(probe: Mapping[str, Any], at: str = "") -> dict[str, Any]:

@@ -119,12 +119,22 @@ class BucketTable:
     def history(self, manifest: Manifest | None = None) -> DataFrame:
         """History rows of published batches, each once."""
         known = manifest or self.manifest()
+        if known is None or not known.history:
+            return self.spark.createDataFrame([], "history_id string, record_id string, ts timestamp, seq long, type string, changes map<string,string>")
         return self.spark.read.parquet(*[f"{self.root}/history/{level}-{batch}" for level, batch in known.history])
 
     def start(self, schema: T.StructType, key: str, n_buckets: int) -> Manifest:
         """The manifest of an empty table, which is published with its first batch."""
         return Manifest(-1, key, n_buckets, schema.json())
 
+    def create(self, schema: T.StructType, key: str, n_buckets: int) -> Manifest:
+        """Publish the empty table, unless there is one."""
+        known = self.manifest()
+        if known is None:
+            known = self.start(schema, key, n_buckets)
+            self.publish(known)
+        return known
+
     def touched(self, manifest: Manifest, keys: Column, rows: DataFrame) -> list[int]:
         """Buckets that keys of ``rows`` fall into; at most as many as the table has."""
         return sorted(r[0] for r in rows.select(bucket_of(keys, manifest.n_buckets)).distinct().collect())
@@ -238,3 +248,25 @@ def apply_batch(
     table.publish(new)
     table.expire(keep)
     return new
+
+
+def ensure_tables(spark: SparkSession, tables: dict[str, tuple[str, T.StructType, str]], create: bool = True, n_buckets: int = 64) -> DataFrame:
+    """Before a load: that each table (folder, columns, key) is there, with its history and the columns asked for.
+
+    Missing ones are made, or stop the load with ``create=False``. A row a table: name, present (before), created, batch,
+    and schema_diff, the columns that differ or are missing.
+    """
+    from ..operators.upsert import with_bookkeeping
+
+    rows = []
+    for name, (root, schema, key) in tables.items():
+        table = BucketTable(spark, root)
+        known = table.manifest()
+        if known is None and not create:
+            raise ValueError(f"table {name} is missing at {root}")
+        there = known is not None
+        known = known or table.create(with_bookkeeping(spark.createDataFrame([], schema)).schema, key, n_buckets)
+        have = {f.name: f.dataType.simpleString() for f in known.row_type}
+        diff = ",".join(sorted(f"{f.name}:{have.get(f.name, 'missing')}" for f in schema if have.get(f.name) != f.dataType.simpleString()))
+        rows.append((name, there, not there, known.batch, diff))
+    return spark.createDataFrame(rows, "name string, present boolean, created boolean, batch long, schema_diff string")

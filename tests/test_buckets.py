@@ -126,3 +126,25 @@ def test_stream_goes_on_with_what_was_held_back(spark, tmp_path):
     again.finish()
     assert {r["id"]: r["v"] for r in again.state().collect()} == {i: 1 if i < 5 else 2 for i in range(15)}
     assert again.counters().first()["broken"] == 1 and not os.listdir(tmp_path / "table/pending")
+
+
+def test_tables_are_made_before_a_load(spark, tmp_path):
+    asked = {"a": (f"file://{tmp_path}/a", DOC, "id"), "b": (f"file://{tmp_path}/b", T.StructType().add("id", "long").add("w", "string"), "id")}
+    with pytest.raises(ValueError, match="table a is missing"):
+        buckets.ensure_tables(spark, asked, create=False)
+    first = {r["name"]: r for r in buckets.ensure_tables(spark, asked, n_buckets=4).collect()}
+    assert all(r["created"] and not r["present"] and r["batch"] == -1 for r in first.values())
+    table = buckets.BucketTable(spark, asked["a"][0])
+    assert table.state().count() == 0 and table.history().count() == 0
+    buckets.apply_batch(table, frame(spark, [(1, 1)]), 0, "id", DOC, batch_ts=at(1))
+    asked["b"] = (asked["a"][0], asked["b"][1], "id")
+    again = {r["name"]: r for r in buckets.ensure_tables(spark, asked, create=False).collect()}
+    assert again["a"]["present"] and again["a"]["batch"] == 0 and again["a"]["schema_diff"] == "" and again["b"]["schema_diff"] == "w:missing"
+
+
+def test_relational_source_in_key_ranges(spark):
+    url, rows = "jdbc:derby:memory:doctide;create=true", [(i, f"n{i}") for i in range(100)]
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame(rows, "id long, name string").write.format("jdbc").options(url=url, dbtable="people", **options).mode("overwrite").save()
+    read = readers.read_jdbc(spark, url, 'SELECT * FROM people WHERE "id" < 90', "id", 0, 90, 3, **options)
+    assert read.rdd.getNumPartitions() == 3 and sorted(r[0] for r in read.collect()) == list(range(90))

@@ -1,6 +1,7 @@
 """A kept index against full scans after changes, words with marks, documents of any depth and merged documents."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,22 @@ def test_paths_through_arrays_of_objects(spark):
         assert [r["id"] for r in find.find(df, {"filter": spec}).collect()] == want, spec
 
 
+def test_stages_and_positional_projection(spark):
+    rows = [(1, [(6, 1), (7, 2), (7, 3)]), (2, [(5, 9)]), (3, None)]
+    df = spark.createDataFrame(rows, "id long, lines array<struct<p:long,q:long>>")
+    out = find.find(df, {"filter": {"lines.p": {"$gte": 7}}, "projection": {"id": 1, "lines.$": 1}}).collect()
+    assert [(r["id"], [tuple(x) for x in r["lines"]]) for r in out] == [(1, [(7, 2)])]
+    out = find.find(df, {"filter": {"lines": {"$elemMatch": {"p": 7, "q": 3}}}, "projection": {"lines.$": 1}}, "id").collect()
+    assert [(r["id"], [tuple(x) for x in r["lines"]]) for r in out] == [(1, [(7, 3)])]
+    counted = find.find(df, {"filter": {"id": {"$lt": 3}}, "sort": {"n": -1}}, stages=[lambda d: d.select("id", F.size("lines").alias("n")), lambda d: d.filter("n > 0")])
+    assert [tuple(r) for r in counted.collect()] == [(1, 3), (2, 1)]
+
+
+def test_one_schema_for_all_documents(spark):
+    raw = spark.createDataFrame([('{"a":1,"b":{"c":"x"}}',), ('{"a":2.5,"d":[true]}',)], "raw string")
+    assert re.fullmatch(r"OBJECT<a: DECIMAL\(\d+,1\), b: OBJECT<c: STRING>, d: ARRAY<BOOLEAN>>", quality.infer_schema(raw, "raw"))
+
+
 def test_leaves_of_any_depth(spark):
     deep = '{"a":' * 12 + '"7"' + "}" * 12
     rows = [(1, deep), (2, '{"l":[1,"2024-01-01",null],"o":[{"x":"1"},{"y":[{"z":[3]}]}],"e":{}}'), (3, "broken"), (4, None), (5, "[[1],[2]]")]
