@@ -3,8 +3,8 @@
 ``carry`` stores a payload as the quantised coefficients of 8x8 luminance blocks, 64 bytes a block in zigzag order,
 each byte less ``SHIFT``. The quantisation steps are 1 and the entropy coding loses nothing, so the stored bytes
 give the payload back. ``read`` is the general reader: it parses the markers of any baseline JPEG (several
-components, sampling factors, restart intervals) and Huffman-decodes the scans of many images in lockstep, one
-symbol a step for every restart interval. A thumbnail takes the DC coefficient of each luminance block as a pixel.
+components in one scan or in several, sampling factors, restart intervals) and Huffman-decodes the scans of many images in
+lockstep, one symbol a step for every restart interval. A thumbnail takes the DC coefficient of each luminance block as a pixel.
 
 Repeated rows give equal media and an empty table none. There are no ties. A very long text becomes one tall image and
 is held whole by its task, with about 20 bytes of arrays a byte of text. Columns other than the id and the text, or the
@@ -188,9 +188,18 @@ def _header(wide: int, high: int, size: int) -> bytes:
     ])
 
 
+@dataclass
+class Scan:
+    """Components of a scan (by their place) with their DC and AC tables, and its restart intervals."""
+
+    comps: list[tuple[int, bytes, bytes]]
+    restart: int
+    lanes: list[bytes]
+
+
 @dataclass
 class Image:
-    """What the markers say: size, components (id, sampling, tables), tables, and the entropy-coded lanes."""
+    """What the markers say: size, components (id, sampling, quantisation), tables, and the entropy-coded scans."""
 
     width: int = 0
     height: int = 0
@@ -199,7 +208,7 @@ class Image:
     tables: dict[int, bytes] = field(default_factory=dict)
     restart: int = 0
     payload: tuple[int, int] | None = None
-    lanes: list[bytes] = field(default_factory=list)
+    scans: list[Scan] = field(default_factory=list)
     coefs: list[np.ndarray] = field(default_factory=list)
     error: str = ""
 
@@ -244,20 +253,24 @@ def parse(data: bytes) -> Image:
             elif kind == 0xFE and body[:5] == b"bytes" and len(body) == 16:
                 im.payload = struct.unpack_from(">QH", body, 5)
             elif kind == 0xDA:
-                if body[0] != len(im.comps) or not im.comps:
-                    raise ValueError("scan of some components")
-                for k in range(body[0]):
-                    comp = next(c for c in im.comps if c["id"] == body[1 + 2 * k])
-                    comp["dc"], comp["ac"] = body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15
-                im.lanes = _lanes(data, at)
-                return im
+                named = [(next(i for i, c in enumerate(im.comps) if c["id"] == body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
+                seen = {c for scan in im.scans for c, _, _ in scan.comps}
+                if not named or len({i for i, _ in named} - seen) < len(named):
+                    raise ValueError("scans that repeat a component")
+                lanes, at = _lanes(data, at)
+                im.scans.append(Scan([(i, im.tables[t >> 4], im.tables[0x10 | t & 15]) for i, t in named], im.restart, lanes))
+                if len(seen) + len(named) == len(im.comps):
+                    return im
+    except KeyError:
+        im.error = "no table"
+        return im
     except (ValueError, IndexError, struct.error, StopIteration) as e:
         im.error = str(e) or type(e).__name__
         return im
 
 
-def _lanes(data: bytes, at: int) -> list[bytes]:
-    """The scan's restart intervals without stuffing."""
+def _lanes(data: bytes, at: int) -> tuple[list[bytes], int]:
+    """The scan's restart intervals without stuffing, and where it ends."""
     raw = np.frombuffer(data, np.uint8)[at:]
     ff = np.flatnonzero(raw[:-1] == 0xFF)
     after = raw[ff + 1]
@@ -265,7 +278,7 @@ def _lanes(data: bytes, at: int) -> list[bytes]:
     stop = int(ends[0]) if len(ends) else len(raw)
     cuts = ff[(after >= 0xD0) & (after <= 0xD7) & (ff < stop)].tolist()
     body = raw[:stop].tobytes()
-    return [body[s:e].replace(b"\xff\x00", b"\xff") for s, e in zip([0, *(c + 2 for c in cuts)], [*cuts, stop], strict=True)]
+    return [body[s:e].replace(b"\xff\x00", b"\xff") for s, e in zip([0, *(c + 2 for c in cuts)], [*cuts, stop], strict=True)], at + stop
 
 
 @lru_cache(64)
@@ -279,55 +292,80 @@ def read(files: list[bytes]) -> list[Image]:
     looks: dict[bytes, int] = {}
     stack: list[Table] = []
 
-    def table(im: Image, kind: int) -> int:
-        raw = im.tables[kind]
+    def table(raw: bytes) -> int:
         if raw not in looks:
             looks[raw] = len(stack)
             stack.append(_read_table(raw))
         return looks[raw]
 
-    lanes, lane_blocks, lane_image, patterns = [], [], [], {}
+    lanes, lane_blocks, lane_scan, patterns = [], [], [], {}
     for k, im in enumerate(images):
-        if im.error:
-            continue
-        try:
-            units = [(c, im_c["h"] * im_c["v"] if len(im.comps) > 1 else 1) for c, im_c in enumerate(im.comps)]
-            pattern = tuple((c, table(im, im.comps[c]["dc"]), table(im, 0x10 | im.comps[c]["ac"])) for c, n in units for _ in range(n))
-        except KeyError:
-            im.error = "no table"
-            continue
-        h, v = (max(c["h"] for c in im.comps), max(c["v"] for c in im.comps)) if len(im.comps) > 1 else (1, 1)
-        mcus = -(-im.width // (8 * h)) * -(-im.height // (8 * v))
-        left = mcus
-        for lane in im.lanes:
-            n = min(im.restart or mcus, left)
-            if n <= 0:
-                break
-            left -= n
-            lanes.append(lane)
-            lane_blocks.append(n * len(pattern))
-            lane_image.append(k)
-        if left:
-            im.error = "cut off"
-        patterns[k] = pattern
+        for at, scan in enumerate(im.scans if not im.error else []):
+            alone = len(scan.comps) == 1
+            patterns[k, at] = tuple((c, table(dc), table(ac)) for c, dc, ac in scan.comps for _ in range(1 if alone else im.comps[c]["h"] * im.comps[c]["v"]))
+            down, across = _grid(im, scan.comps[0][0]) if alone else _units(im)
+            left = down * across
+            for lane in scan.lanes:
+                n = min(scan.restart or left, left)
+                if n <= 0:
+                    break
+                left -= n
+                lanes.append(lane)
+                lane_blocks.append(n * len(patterns[k, at]))
+                lane_scan.append((k, at))
+            if left:
+                im.error = "cut off"
     if not lanes:
         return images
-    coefs, good = _decode(lanes, np.array(lane_blocks), [patterns[k] for k in lane_image], (np.concatenate([t.value for t in stack]), np.concatenate([t.move for t in stack])))
+    coefs, good = _decode(lanes, np.array(lane_blocks), [patterns[x] for x in lane_scan], (np.concatenate([t.value for t in stack]), np.concatenate([t.move for t in stack])))
     bounds = np.concatenate([[0], np.cumsum(lane_blocks)])
-    by_image: dict[int, list[int]] = {}
-    for n, k in enumerate(lane_image):
-        by_image.setdefault(k, []).append(n)
-    for k, own in by_image.items():
+    by_scan: dict[tuple[int, int], list[int]] = {}
+    for n, x in enumerate(lane_scan):
+        by_scan.setdefault(x, []).append(n)
+    for k, im in enumerate(images):
+        im.coefs = [np.zeros((0, 64), np.int16)] * len(im.comps) if im.scans and not im.error else []
+    for (k, at), own in by_scan.items():
+        im, scan = images[k], images[k].scans[at]
         if not good[own].all():
-            images[k].error = images[k].error or "bad code"
+            im.error, im.coefs = im.error or "bad code", []
+        if im.error:
             continue
         mine = coefs[bounds[own[0]] : bounds[own[-1] + 1]]
-        which = np.array([c for c, _, _ in patterns[k]])
+        if len(scan.comps) == 1:
+            im.coefs[scan.comps[0][0]] = _by_unit(im, scan.comps[0][0], mine)
+            continue
+        which = np.array([c for c, _, _ in patterns[k, at]])
         slots = np.arange(len(mine)) % len(which)
-        images[k].coefs = [mine[which[slots] == c] for c in range(len(images[k].comps))]
+        for c, _, _ in scan.comps:
+            im.coefs[c] = mine[which[slots] == c]
     return images
 
 
+def _units(im: Image) -> tuple[int, int]:
+    """Rows and columns of the units that scans of several components are coded in."""
+    h, v = (max(c["h"] for c in im.comps), max(c["v"] for c in im.comps)) if len(im.comps) > 1 else (1, 1)
+    return -(-im.height // (8 * v)), -(-im.width // (8 * h))
+
+
+def _grid(im: Image, comp: int) -> tuple[int, int]:
+    """Rows and columns of the blocks of a component in a scan of its own, which goes line by line and not beyond the image."""
+    if len(im.comps) == 1:
+        return _units(im)
+    c, h, v = im.comps[comp], max(c["h"] for c in im.comps), max(c["v"] for c in im.comps)
+    return -(-(-(-im.height * c["v"] // v)) // 8), -(-(-(-im.width * c["h"] // h)) // 8)
+
+
+def _by_unit(im: Image, comp: int, blocks_: np.ndarray) -> np.ndarray:
+    """Blocks of a scan of one component in the order that units have, zeros where the scan has none."""
+    if len(im.comps) == 1:
+        return blocks_
+    (down, across), c = _units(im), im.comps[comp]
+    rows, columns = _grid(im, comp)
+    whole = np.zeros((down * c["v"], across * c["h"], 64), blocks_.dtype)
+    whole[:rows, :columns] = blocks_.reshape(rows, columns, 64)
+    return whole.reshape(down, c["v"], across, c["h"], 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)
+
+
 def _decode(lanes: list[bytes], n_blocks: np.ndarray, patterns: list[tuple], look: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All lanes in lockstep, a symbol a step; lanes that are done leave."""
     raw = np.frombuffer(b"".join(x + b"\xff" * 8 for x in lanes) + b"\xff" * 8, np.uint8)

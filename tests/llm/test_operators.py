@@ -105,6 +105,113 @@ def test_jpeg_broken_media(spark):
     assert all(r["error"] for r in jpeg.describe(media).collect())
 
 
+class Bits:
+    """A plain bit writer with stuffing, for a coder of its own."""
+
+    def __init__(self):
+        self.out = ""
+
+    def put(self, value, n):
+        self.out += format(value, f"0{n}b") if n else ""
+
+    def done(self):
+        bits = self.out + "1" * (-len(self.out) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+
+#: Twelve DC codes of four bits, and all AC symbols in codes of eight.
+DC_COUNTS, DC_SYMBOLS = [0, 0, 0, 12] + [0] * 12, list(range(12))
+AC_SYMBOLS = [0, 0xF0] + [r << 4 | z for r in range(16) for z in range(1, 11)]
+AC_COUNTS = [0] * 7 + [len(AC_SYMBOLS)] + [0] * 8
+
+
+def coded(bits, block, before):
+    def number(v, size):
+        bits.put(v if v > 0 else v + (1 << size) - 1, size)
+
+    step = int(block[0]) - before
+    size = abs(step).bit_length()
+    bits.put(DC_SYMBOLS.index(size), 4)
+    number(step, size)
+    run = 0
+    for v in map(int, block[1:]):
+        if not v:
+            run += 1
+            continue
+        while run > 15:
+            bits.put(AC_SYMBOLS.index(0xF0), 8)
+            run -= 16
+        size = abs(v).bit_length()
+        bits.put(AC_SYMBOLS.index(run << 4 | size), 8)
+        number(v, size)
+        run = 0
+    if run:
+        bits.put(AC_SYMBOLS.index(0), 8)
+    return int(block[0])
+
+
+def jpeg_file(width, height, sampling, grids, together, restart):
+    """A file of components with block grids (rows, columns, 64), in one scan or in one each."""
+    seg = lambda kind, body: bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    out = b"\xff\xd8" + seg(0xDB, b"\0" + bytes(range(1, 65)))
+    out += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(sampling)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling)))
+    out += seg(0xC4, b"\0" + bytes(DC_COUNTS) + bytes(DC_SYMBOLS)) + seg(0xC4, b"\x10" + bytes(AC_COUNTS) + bytes(AC_SYMBOLS)) + seg(0xDD, restart.to_bytes(2, "big"))
+    top_h, top_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+    for comps in [range(len(sampling))] if together else [[i] for i in range(len(sampling))]:
+        if together:
+            units = [[(i, y * sampling[i][1] + b, x * sampling[i][0] + a) for i in comps for b in range(sampling[i][1]) for a in range(sampling[i][0])] for y in range(-(-height // (8 * top_v))) for x in range(-(-width // (8 * top_h)))]
+        else:
+            (i,), (h, v) = comps, sampling[comps[0]]
+            units = [[(i, y, x)] for y in range(-(-(-(-height * v // top_v)) // 8)) for x in range(-(-(-(-width * h // top_h)) // 8))]
+        parts = []
+        for at in range(0, len(units), restart or len(units)):
+            bits, before = Bits(), collections.Counter()
+            for unit in units[at : at + (restart or len(units))]:
+                for i, y, x in unit:
+                    before[i] = coded(bits, grids[i][y, x], before[i])
+            parts.append(bits.done())
+        body = parts[0] + b"".join(b"\xff" + bytes([0xD0 + n % 8]) + p for n, p in enumerate(parts[1:]))
+        out += seg(0xDA, bytes([len(comps)]) + b"".join(bytes([i + 1, 0]) for i in comps) + bytes([0, 63, 0])) + body
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("together", [True, False])
+@pytest.mark.parametrize("restart", [0, 3])
+def test_jpeg_of_another_coder(spark, together, restart):
+    rng = np.random.default_rng(4)
+    files, expected = [], []
+    for width, height, sampling in [(37, 29, [(2, 2), (1, 1), (1, 1)]), (16, 9, [(1, 1)]), (50, 33, [(2, 1), (1, 1), (1, 1)])]:
+        top_h, top_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+        across, down = -(-width // (8 * top_h)), -(-height // (8 * top_v))
+        grids = []
+        for h, v in sampling:
+            grid = np.zeros((down * v, across * h, 64), np.int64)
+            grid[..., 0] = rng.integers(-200, 200, grid.shape[:2])
+            grid[..., 1:] = rng.integers(-1000, 1000, (*grid.shape[:2], 63)) * (rng.random((*grid.shape[:2], 63)) < 0.08)
+            grids.append(grid)
+        files.append(jpeg_file(width, height, sampling, grids, together, restart))
+        expected.append((width, height, sampling, grids))
+    for im, (width, height, sampling, grids) in zip(jpeg.read(files), expected, strict=True):
+        assert not im.error
+        top_h, top_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+        shown = np.clip((grids[0][..., 0] + 4 >> 3) + 128, 0, 255)[: -(-height * sampling[0][1] // (8 * top_v)), : -(-width * sampling[0][0] // (8 * top_h))]
+        assert (jpeg.thumbnail(im) == shown).all()
+        for c, (h, v) in enumerate(sampling):
+            grid = grids[c]
+            if not together and len(sampling) > 1:  # a scan of its own doesn't reach beyond the image
+                rows, columns = -(-(-(-height * v // top_v)) // 8), -(-(-(-width * h // top_h)) // 8)
+                grid = np.where((np.arange(grid.shape[0]) < rows)[:, None, None] & (np.arange(grid.shape[1]) < columns)[None, :, None], grid, 0)
+            units = grid.reshape(grid.shape[0] // v, v, grid.shape[1] // h, h, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)
+            assert (im.coefs[c] == units).all()
+    out = jpeg.describe(spark.createDataFrame(list(enumerate(map(bytearray, files))), "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert [(r["width"], r["height"], r["payload_bytes"], r["error"]) for r in out] == [(w, h, None, None) for w, h, _, _ in expected]
+    for r, im in zip(out, jpeg.read(files), strict=True):
+        pixels = jpeg.thumbnail(im).astype(int)
+        cell = [[pixels[y * pixels.shape[0] // 8 : max((y + 1) * pixels.shape[0] // 8, y * pixels.shape[0] // 8 + 1), x * pixels.shape[1] // 9 : max((x + 1) * pixels.shape[1] // 9, x * pixels.shape[1] // 9 + 1)].mean() for x in range(9)] for y in range(8)]
+        bits = "".join("1" if row[i] < row[i + 1] else "0" for row in cell for i in range(8))
+        assert r["feature"].split(":")[1] == f"{int(bits, 2):016x}"
+
+
 def test_line_quality_counts(docs, empty, labels, rows):
     out = {r["doc_id"]: r for r in line_quality.label_documents(docs, line_quality.train(docs, labels)).collect()}
     for i, t, *_ in rows:
