@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,12 @@ def nest_lookup(left: DataFrame, right: DataFrame, key: str, other: str, name: s
 
 def code_lookup(df: DataFrame, codes: DataFrame, key: str, code: str, value: str, name: str) -> DataFrame:
     """A code's text; the planner broadcasts the table if its size allows."""
-    one = first_per_key(codes.select(F.col(code).alias("__code"), F.col(value).alias(name)), ["__code"], [F.col(name)])
+    return code_lookups(df, codes, key, code, {value: name})
+
+
+def code_lookups(df: DataFrame, codes: DataFrame, key: str, code: str, names: Mapping[str, str]) -> DataFrame:
+    """Several columns of a code's row under other names, by one join; of rows of one code the first by these columns."""
+    one = first_per_key(codes.select(F.col(code).alias("__code"), *[F.col(v).alias(n) for v, n in names.items()]), ["__code"], [F.col(n) for n in names.values()])
     return df.join(one, df[key] == one["__code"], "left").drop("__code")
 
 

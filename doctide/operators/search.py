@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import sinks
 from ..sources.buckets import BUCKET, BucketTable, bucket_of
 
 K1, B = 1.2, 0.75
@@ -39,11 +40,11 @@ def postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
 
 def text_search(df: DataFrame, key: str, fields: Sequence[str], query: str, limit: int = 1000, where: Column | None = None, skip: int = 0) -> DataFrame:
-    """key and score of rows with any query term, best first. Only rows with a term are exploded; lengths come from all."""
+    """key and score of rows with any query term, best first. Texts are cut once: their lengths and counts of the terms are written and read twice."""
     terms = query_terms(df.sparkSession, query)
     words = df.select(F.col(key), tokens(*fields).alias("words"), (where if where is not None else F.lit(True)).alias("ok"))
     counts = [F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select(key, "ok", F.size("words").alias("length"), *counts)
+    counted = sinks.written(words.select(key, "ok", F.size("words").alias("length"), *counts), "counted")
     totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     scored = counted.filter(F.col("ok") & (sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0)).crossJoin(F.broadcast(totals))  # one row of totals
     parts = F.lit(0.0)

@@ -108,8 +108,9 @@ def nested_order_document(spark, sf_dir):
     lines = joins.code_lookup(lines, _table(spark, sf_dir, "supplier"), "l_suppkey", "s_suppkey", "s_name", "supplier")
     doc = joins.nest_lookup(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), lines, "o_orderkey", "l_orderkey", "items", [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")])
     customer, nation, region = (_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    for codes, key, code, value, name in [(customer, "o_custkey", "c_custkey", "c_name", "name"), (customer, "o_custkey", "c_custkey", "c_mktsegment", "segment"), (customer, "o_custkey", "c_custkey", "c_nationkey", "nk"), (nation, "nk", "n_nationkey", "n_name", "nation"), (nation, "nk", "n_nationkey", "n_regionkey", "rk"), (region, "rk", "r_regionkey", "r_name", "region")]:
-        doc = joins.code_lookup(doc, codes, key, code, value, name)
+    doc = joins.code_lookups(doc, customer, "o_custkey", "c_custkey", {"c_name": "name", "c_mktsegment": "segment", "c_nationkey": "nk"})
+    doc = joins.code_lookups(doc, nation, "nk", "n_nationkey", {"n_name": "nation", "n_regionkey": "rk"})
+    doc = joins.code_lookup(doc, region, "rk", "r_regionkey", "r_name", "region")
     doc = joins.group_columns(doc, "customer", ["name", "segment", "nation", "region"])
     said = F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), F.coalesce(x["text"], F.lit("")), F.coalesce(x["supplier"], F.lit(""))))
     return doc.select(F.col("o_orderkey").alias("id"), "customer.*", F.array_join(said, ";").alias("items"), F.size("items").cast("long").alias("n"))
