@@ -56,7 +56,7 @@ def documents(ids: DataFrame, tables: Tables, arrays: Mapping[str, Tables], seed
     for name, table in tables.items():
         fields = [c for c in table.columns if c != weight]
         # Any order of the rows gives the same odds, so a hash deals them out to buckets.
-        bucket = F.pmod(F.crc32(F.concat_ws("\x01", *[F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields]).cast("binary")), F.lit(256))
+        bucket = F.conv(F.substring(F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields])), 1, 2), 16, 10).cast("int")
         ranges, total = weight_ranges(table, weight, fields, bucket)
         names = {f: f"{name}/{f}" for f in fields}
         ranges = ranges.select("lo", "hi", *[F.col(f"`{f}`").cast("string").alias(a) for f, a in names.items()])

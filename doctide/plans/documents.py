@@ -229,11 +229,15 @@ def as_of_one_key(spark, sf_dir):
     return history.as_of_one(state, log, "o_orderkey", key, values.instant(F.lit("20240101120000"))).select("o_orderkey", F.col("d.o_totalprice").alias("price"), F.col("d.o_orderpriority").alias("priority"))
 
 
-@_query("""SELECT CASE n WHEN 1 THEN 'd.o_orderpriority' ELSE 'd.o_totalprice' END AS path, 4 - n::BIGINT AS seq FROM (SELECT unnest([1, 2]) AS n) WHERE (SELECT count(*) FROM orders WHERE o_orderkey % 15 = 0) > 0""")
+@_query("""WITH k AS (SELECT * FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 15 = 0))
+SELECT 3::BIGINT AS seq, 'd.o_orderpriority' AS path, o_orderpriority AS old FROM k UNION ALL SELECT 2, 'd.o_totalprice', round(o_totalprice, 2)::DECIMAL(18, 2)::VARCHAR FROM k""")
 def change_log_newest_first(spark, sf_dir):
+    """What changed in one document and what was there before, by path."""
     _, log = _versions(spark, sf_dir)
     key = _table(spark, sf_dir, "orders").filter("o_orderkey % 15 = 0").agg(F.max("o_orderkey")).first()[0]
-    return history.change_log(log, key).select(F.array_join(F.map_keys("changes"), ",").alias("path"), "seq")
+    steps = history.change_log(log, key).select("seq", F.explode("changes").alias("path", "was"))
+    old = F.get_json_object("was", "$.v")
+    return steps.select("seq", "path", F.when(F.col("path") == "d.o_totalprice", old.cast("decimal(18,2)").cast("string")).otherwise(old).alias("old"))
 
 
 @_query("""SELECT event_id, (event_id % 5)::BIGINT AS n, event_type || ':' || coalesce(v, '-') AS merged, 'number' AS kind, CASE WHEN event_type LIKE '%c%' THEN regexp_extract(event_type, '(.)c', 1) END AS captured, substr(event_type, 3) AS tail,
@@ -339,13 +343,46 @@ def merged_document(spark, sf_dir):
     return quality.merge_documents(_table(spark, sf_dir, "events").select(text.alias("raw")), "raw")
 
 
-@_query("SELECT event_id, 'extra,inner.more' AS undeclared FROM events")
+@_query("""SELECT event_id, concat_ws(',', CASE WHEN event_id % 2 = 0 THEN 'extra' END, CASE WHEN event_id % 3 > 0 THEN 'inner.' || event_type END) AS undeclared FROM events""")
 def closed_schema(spark, sf_dir):
-    raw = _table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", F.lit(1).alias("extra"), F.struct(F.col("value").alias("value"), F.lit(2).alias("more")).alias("inner"))).alias("raw"))
+    """Keys that a closed schema doesn't have, which differ from row to row, at two levels."""
+    extra = F.when(F.col("event_id") % 2 == 0, F.lit(',"extra":1')).otherwise("")
+    more = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit(',"'), F.col("event_type"), F.lit('":2'))).otherwise("")
+    raw = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), extra, F.lit(',"inner":{"value":0.5'), more, F.lit("}}")).alias("raw"))
     schema = T.StructType().add("event_id", "long").add("inner", T.StructType().add("value", "double"))
     return raw.select("event_id", F.array_join(quality.undeclared_paths("raw", schema), ",").alias("undeclared"))
 
 
+def _weights(name: str, table: str, fields: str, *columns: str) -> str:
+    """SQL of a frequency table (columns, w) with each row's start on the line of weights, and their total."""
+    said = " || chr(1) || ".join(f"coalesce({c}, '')" for c in columns)
+    order = f"('0x' || substr(md5({said}), 1, 2))::INT, {', '.join(columns)}"
+    return f"{name} AS (SELECT *, sum(w) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) - w AS lo, sum(w) OVER () AS total FROM (SELECT {fields}, count(*) AS w FROM {table} GROUP BY ALL))"
+
+
+_ROOTED = """CASE WHEN o_orderkey % 4 = 0 THEN '@JSON({"root":true})' ELSE '' END"""
+
+
+@_query(f"""WITH {_weights('k', 'events', 'event_type AS v', 'v')}, {_weights('o', 'orders', 'o_orderstatus AS s, o_orderpriority AS p', 's', 'p')}, {_weights('t', 'orders', _ROOTED + ' AS r', 'r')},
+d AS (SELECT i AS id, floor({_u(1, 'kinds', 'i')} * (SELECT max(total) FROM k))::BIGINT AS rk, floor({_u(1, 'orders', 'i')} * (SELECT max(total) FROM o))::BIGINT AS ro, floor({_u(1, 'roots', 'i')} * (SELECT max(total) FROM t))::BIGINT AS rt FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS i)),
+x AS (SELECT d.id, k.v, o.s, o.p, t.r <> '' AS rooted FROM d ASOF JOIN k ON rk >= k.lo ASOF JOIN o ON ro >= o.lo ASOF JOIN t ON rt >= t.lo)
+SELECT id, rooted AS root, CASE WHEN NOT rooted THEN v END AS type, CASE WHEN NOT rooted THEN s || '/' || p END AS placed, CASE WHEN NOT rooted THEN (id + 1)::VARCHAR END AS n, CASE WHEN NOT rooted THEN floor(3 + {_u(1, 'macros/level/macro', 'id')} * 7)::BIGINT::VARCHAR END AS level,
+CASE WHEN NOT rooted THEN round(1 + {_u(1, 'macros/price/macro', 'id')} * 1.5, 6) END AS price, CASE WHEN NOT rooted THEN strftime(DATE '2024-01-01' + floor({_u(1, 'macros/day/macro', 'id')} * 366)::INT, '%Y-%m-%d') END AS day,
+CASE WHEN NOT rooted THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(floor({_u(1, 'macros/at/macro', 'id')} * 1441)::INT), '%Y-%m-%dT%H:%M:%SZ') END AS at, CASE WHEN NOT rooted THEN '[1,{{"b":2}}]' END AS listed FROM x""")
+def generated_values(spark, sf_dir):
+    """Every value of seeded documents: picks by the learned weights, all macros, given JSON, and a quarter whose root is another object."""
+    kinds = profile.frequency(_table(spark, sf_dir, "events"), "event_type", "event.type")
+    orders = _table(spark, sf_dir, "orders")
+    placed = orders.groupBy(F.col("o_orderstatus").alias("order.status"), F.col("o_orderpriority").alias("order.priority")).agg(F.count("*").alias("probability"))
+    macros = {"n": "@ONEUP", "level": "@INTEGER(3,9)", "price": "@DOUBLE(1,2.5)", "day": "@DATE(2024-01-01,2024-12-31)", "at": "@DATETIME(2024-01-01T00:00:00Z,2024-01-02T00:00:00Z)", "listed": '@JSON([1,{"b":2}])'}
+    fixed = orders.groupBy(*[F.lit(m).alias(n) for n, m in macros.items()]).agg(F.count("*").alias("probability"))
+    roots = orders.groupBy(F.when(F.col("o_orderkey") % 4 == 0, '@JSON({"root":true})').otherwise("").alias("ROOT")).agg(F.count("*").alias("probability"))
+    made = generate.generate(spark, orders.count(), {"kinds": kinds, "orders": placed, "macros": fixed, "roots": roots})
+    at = lambda path: F.get_json_object("document", f"$.{path}")
+    both = F.concat(at("order.status"), F.lit("/"), at("order.priority"))
+    return made.select("id", F.coalesce(at("root") == "true", F.lit(False)).alias("root"), at("event.type").alias("type"), both.alias("placed"), at("n").alias("n"), at("level").alias("level"), F.round(at("price").cast("double"), 6).alias("price"), at("day").alias("day"), at("at").alias("at"), at("listed").alias("listed"))
+
+
 @_query("""SELECT path, count(*) AS n, count(number) AS numbers, count(day) AS days FROM (
 SELECT 'at' AS path, NULL AS number, 1 AS day FROM events UNION ALL SELECT 'in.k', 1, NULL FROM events UNION ALL SELECT 'tags', NULL, NULL FROM events UNION ALL SELECT 'tags', 1, NULL FROM events) GROUP BY 1""")
 def coerce_leaves(spark, sf_dir):
