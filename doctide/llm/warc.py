@@ -271,6 +271,8 @@ def lookup(spark: SparkSession, path: str, url: str) -> list[dict]:
     return found
 
 
+#: Captures that are handed on at a time, of however few URLs they are.
+READ_ROWS = 1024
 _FOUND = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())])
 
 
@@ -296,9 +298,12 @@ def fetch(spark: SparkSession, path: str, urls: DataFrame, url_col: str = "url",
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(path, shards)
         for batch in batches:
-            rows = []
+            rows: list[dict] = []
             for asked in batch.to_pylist():
                 for capture in index.captures(**asked):
+                    if len(rows) == READ_ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, _FOUND)
+                        rows = []
                     h, payload = parse(index.files.read(capture))
                     sha, size = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
                     if h["warc-type"] == "response":

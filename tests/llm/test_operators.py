@@ -639,6 +639,7 @@ def test_warc(spark):
 def test_warc_many_blocks_busy_urls_and_odd_keys(spark, monkeypatch):
     """Blocks of 7 lines: a busy URL over many blocks, keys with spaces, marks and fragments, ids of other types, repeated rows."""
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    monkeypatch.setattr(warc, "READ_ROWS", 3)
     urls = ["http://a.org/a b", "http://a.org/a!b", "http://a.org/a#b", "http://a.org/a%20b", "http://a.org/a\nb", " http://a.org/~", "http://b.a.org:8080/x?b&a", "http://busy.org/"]
     rows = [(i, urls[i % 8] if i % 3 else urls[7], f"page {i % 50}") for i in range(300)] + [(5, urls[0], "page 5")]
     for kind in ("smallint", "string"):
