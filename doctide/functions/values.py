@@ -22,7 +22,7 @@ def concat_arrays(*arrays: Column) -> Column:
 
 
 def clean_map(nested: Column) -> Column:
-    """Without keys whose JSON text is null, an empty object or an empty array of objects."""
+    """Without keys whose JSON text is null, blank or an empty object; empty arrays stay."""
     return F.map_filter(nested, lambda _, v: v.isNotNull() & ~F.trim(v).isin("", "null", "{}"))
 
 

@@ -21,8 +21,8 @@ COUNTERS = ("inserts", "updates", "deletes", "conflicts", "broken")
 class Holder:
     """Rows of micro-batches that wait, as folders by batch, until there are enough of them or none has come for a while."""
 
-    def __init__(self, root: str, rows: int, idle: float, flush: Callable[[DataFrame, int], None]) -> None:
-        self.root, self.rows, self.idle, self.flush = f"{root}/pending", rows, idle, flush
+    def __init__(self, table: BucketTable, rows: int, idle: float, flush: Callable[[DataFrame, int], None]) -> None:
+        self.table, self.root, self.rows, self.idle, self.flush = table, f"{table.root}/pending", rows, idle, flush
         self.lock, self.timer, self.arrived, self.failed = threading.RLock(), None, 0.0, None
 
     def add(self, batch: DataFrame, number: int) -> None:
@@ -32,11 +32,24 @@ class Holder:
                 raise self.failed
             batch.write.mode("overwrite").parquet(f"{self.root}/batch={number}")
             self.arrived = time.monotonic()
-            waiting = batch.sparkSession.read.schema(batch.schema).parquet(f"{self.root}/batch=*")
-            if waiting.count() >= self.rows:
-                self.release(batch.sparkSession)
+            spark = batch.sparkSession
+            if spark.read.schema(batch.schema).parquet(*self._waiting(spark).values()).count() >= self.rows:
+                self.release(spark)
             else:
-                self._wait(batch.sparkSession)
+                self._wait(spark)
+
+    def _waiting(self, spark: SparkSession) -> dict[int, str]:
+        """Folders by batch; those of batches that a publication covers, left by a driver lost just then, are deleted."""
+        fs, at = sinks.file_system(spark, self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        known, out = self.table.manifest(), {}
+        for number in sorted(int(n.split("=")[1]) for n in names if n.startswith("batch=")):
+            path = f"{self.root}/batch={number}"
+            if known is not None and number <= known.batch:
+                fs.delete(sinks.file_system(spark, path)[1], True)
+            else:
+                out[number] = path
+        return out
 
     def _wait(self, spark: SparkSession) -> None:
         if self.timer:
@@ -58,14 +71,9 @@ class Holder:
         with self.lock:
             if self.timer:
                 self.timer.cancel()
-            fs, at = sinks.file_system(spark, self.root)
-            names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-            if not (numbers := sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))):
-                return
-            paths = [f"{self.root}/batch={n}" for n in numbers]
-            self.flush(spark.read.parquet(*paths), numbers[-1])
-            for path in paths:
-                fs.delete(sinks.file_system(spark, path)[1], True)
+            if waiting := self._waiting(spark):
+                self.flush(spark.read.parquet(*waiting.values()), max(waiting))
+                self._waiting(spark)
 
 
 @dataclass
@@ -133,7 +141,7 @@ def stream_upsert(
         finally:
             batch.unpersist()
 
-    holder = Holder(root, flush_rows, idle_seconds, flush) if flush_rows else None
+    holder = Holder(table, flush_rows, idle_seconds, flush) if flush_rows else None
 
     def take(batch: DataFrame, number: int) -> None:
         known = table.manifest()

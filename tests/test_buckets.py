@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 import time
 
 import pytest
@@ -123,6 +124,13 @@ def test_stream_goes_on_with_what_was_held_back(spark, tmp_path):
     assert held.table.manifest() is None
     drop(source, "1.json", [{"id": i, "v": 2} for i in range(5, 15)], 1001)
     again = start()
+    again.query.awaitTermination()
+    kept = tmp_path / "kept"
+    shutil.copytree(tmp_path / "table/pending", kept)
+    again.finish()
+    # As if the driver were lost between publication and clearing up: what is published isn't applied again.
+    shutil.copytree(kept, tmp_path / "table/pending", dirs_exist_ok=True)
+    again = start()
     again.finish()
     assert {r["id"]: r["v"] for r in again.state().collect()} == {i: 1 if i < 5 else 2 for i in range(15)}
     assert again.counters().first()["broken"] == 1 and not os.listdir(tmp_path / "table/pending")
