@@ -41,6 +41,15 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
 
 
+def whole_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Two tables of documents by key, sorted and merged whatever their size seems to be.
+
+    A column's share of a table's files is guessed from its type, of which a payload of variants takes nearly all: without
+    the payload, millions of rows look small enough to be broadcast through the driver.
+    """
+    return left.join(right.hint("merge"), key)
+
+
 def union_with(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right, allowMissingColumns=True)
 
