@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import typed_json
+from ..sources import sinks
 from .joins import weight_ranges, weighted_pick
 
 Tables = Mapping[str, DataFrame]
@@ -29,15 +30,30 @@ MACROS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {
 }
 
 
-def macro_json(text: Column, seed: int, name: str, id_col: str = "id") -> Column:
-    """A picked value as JSON text: a macro expanded, ``@JSON`` as it is, an unknown one and any literal typed by its look."""
-    u = uniform(seed, name + "/macro", id_col)
+def _once(c: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` says of a column that it names several times, which is worked out once."""
+    return F.get(F.transform(F.array(c), make), F.lit(0))
+
+
+def picked_parts(text: Column) -> dict[str, Column]:
+    """What a table's value says, told once for the table's row: its macro with two arguments, or its JSON text."""
+    macro = F.coalesce(*[F.when(text.rlike(rf"^@{name}(\(.*\))?$"), F.lit(name)) for name in MACROS])
     args = F.transform(F.split(F.regexp_extract(text, r"^@\w+\((.*)\)$", 1), ","), lambda x: F.trim(x))
-    a, b = F.get(args, F.lit(0)), F.get(args, F.lit(1))
-    value = text
-    for macro, make in MACROS.items():
-        value = F.when(text.rlike(rf"^@{macro}(\(.*\))?$"), make(a, b, u, F.col(id_col))).otherwise(value)
-    return F.when(text.startswith("@JSON("), F.regexp_extract(text, r"(?s)^@JSON\((.*)\)$", 1)).otherwise(typed_json(value))
+    plain = F.when(text.startswith("@JSON("), F.regexp_extract(text, r"(?s)^@JSON\((.*)\)$", 1)).otherwise(typed_json(text))
+    return {"macro": macro, "a": F.get(args, F.lit(0)), "b": F.get(args, F.lit(1)), "json": F.when(macro.isNull(), plain)}
+
+
+def macro_json(column: str, macros: Sequence[str], seed: int, id_col: str = "id") -> Column:
+    """A picked value as JSON text: a macro expanded, ``@JSON`` as it is, an unknown one and any literal typed by its look.
+
+    ``macros`` are those that the value's table has, by which rows are dealt out; the parts lie beside the value.
+    """
+    u = uniform(seed, column + "/macro", id_col)
+    part = lambda p: F.col(f"`{column}!{p}`")
+    value = F.lit(None).cast("string")
+    for macro in macros:
+        value = F.when(part("macro") == macro, MACROS[macro](part("a"), part("b"), u, F.col(id_col))).otherwise(value)
+    return F.when(part("macro").isNotNull(), _once(value, typed_json)).otherwise(part("json")) if macros else part("json")
 
 
 def generate(spark: SparkSession, count: int, tables: Tables, arrays: Mapping[str, Tables] | None = None, seed: int = 1, weight: str = "probability") -> DataFrame:
@@ -53,19 +69,26 @@ def documents(ids: DataFrame, tables: Tables, arrays: Mapping[str, Tables], seed
     """The rows of ``ids`` (id, ...) with a document each."""
     docs = ids
     columns: list[str] = []
+    macros: dict[str, list[str]] = {}
     for name, table in tables.items():
         fields = [c for c in table.columns if c != weight]
         # Any order of the rows gives the same odds, so a hash deals them out to buckets.
         bucket = F.conv(F.substring(F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) for f in fields])), 1, 2), 16, 10).cast("int")
-        ranges, total = weight_ranges(table, weight, fields, bucket)
+        ranges, total = weight_ranges(sinks.written(table, "weights"), weight, fields, bucket)
         names = {f: f"{name}/{f}" for f in fields}
-        ranges = ranges.select("lo", "hi", *[F.col(f"`{f}`").cast("string").alias(a) for f, a in names.items()])
-        docs = weighted_pick(docs.withColumn("__r", F.floor(uniform(seed, name) * F.lit(total))), "__r", ranges, total).drop("__r", "lo", "hi")
+        texts = {a: F.col(f"`{f}`").cast("string") for f, a in names.items()}
+        parts = [c.alias(f"{a}!{p}") for a, text in texts.items() for p, c in picked_parts(text).items()]
+        # Written, a table's size is known, so that a small one is sent to the documents instead of these being shuffled.
+        ranges = sinks.written(ranges.select("lo", "hi", *[c.alias(a) for a, c in texts.items()], *parts), "ranges")
+        seen = ranges.agg(F.count("*").alias("__rows"), *[F.collect_set(f"`{a}!macro`").alias(a) for a in texts]).first()  # at most the known macros a column
+        macros |= {a: sorted(seen[a]) for a in texts}
+        cells = min(1 << 16, max(64, 4 * seen["__rows"]))
+        docs = weighted_pick(docs.withColumn("__r", F.floor(uniform(seed, name) * F.lit(total))), "__r", ranges, total, cells).drop("__r", "lo", "hi")
         columns += names.values()
     for a in columns:
         for name, inner in arrays.items():
             docs = _with_array(docs, a, name, inner, arrays, seed, weight)
-        made = macro_json(F.col(f"`{a}`"), seed, a)
+        made = macro_json(a, macros[a], seed)
         docs = docs.withColumn(a, F.coalesce(*[F.col(f"`{a}#{name}`") for name in arrays], made) if arrays else made)
     roots = [c for c in columns if c.endswith("/ROOT")]
     tree: dict = {}
@@ -98,7 +121,7 @@ def _nested(tree: dict) -> list[Column]:
     for k, v in tree.items():
         if isinstance(v, dict):
             inner = F.to_json(F.struct(*_nested(v)))
-            out.append(F.try_parse_json(F.when(inner != "{}", inner)).alias(k))
+            out.append(F.try_parse_json(_once(inner, lambda x: F.when(x != "{}", x))).alias(k))
         else:
             out.append(F.try_parse_json(F.col(f"`{v}`")).alias(k))
     return out
