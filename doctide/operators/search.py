@@ -33,10 +33,23 @@ def _is(term: str):
     return lambda x: x == F.lit(term)
 
 
+def _term_counts(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """A row for each distinct word of each row: term, key, length and tf; and one of each row with term null and tf 1.
+
+    Words are counted inside of their row, as runs of its sorted words: nothing is shuffled, and texts are cut once.
+    """
+    words = df.select(F.col(key), F.sort_array(tokens(*fields)).alias("words"))
+    # A run ends where another word follows, or none; 0 stands for the row itself.
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: ~F.get("words", i).eqNullSafe(F.get("words", i - 1)))
+    words = words.select(key, "words", F.concat(F.array(F.lit(0)), ends).alias("ends"))
+    runs = words.select(key, "words", "ends", F.posexplode_outer("ends").alias("run", "end"))  # not outer, words would be cut once more to filter by their number
+    tf = F.when(F.col("run") > 0, F.col("end") - F.get("ends", F.col("run") - 1)).otherwise(1).cast("long")
+    return runs.select(F.get("words", F.col("end") - 1).alias("term"), key, F.size("words").alias("length"), tf.alias("tf"))
+
+
 def postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """term, key, tf and document length, to be kept as an index table."""
-    words = df.select(F.col(key), tokens(*fields).alias("words"))
-    return words.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    return _term_counts(df, key, fields).filter("term IS NOT NULL").groupBy("term", key, "length").agg(F.sum("tf").alias("tf"))
 
 
 def text_search(df: DataFrame, key: str, fields: Sequence[str], query: str, limit: int = 1000, where: Column | None = None, skip: int = 0) -> DataFrame:
@@ -91,14 +104,20 @@ def compound_search(df: DataFrame, key: str, texts: Sequence[tuple[str, str | Se
     return out.select(key, F.round("score", 6).alias("score")).orderBy(F.desc("score"), key).offset(skip).limit(limit)
 
 
+#: The bucket of rows that stand for documents: by what a batch changes the number of rows and of their words.
+_DOCUMENTS = -1
+
+
 class KeptIndex:
     """Postings kept beside a table, brought forward by its changes, in buckets by term.
 
-    A change appends its rows: for each term of a row's old or new version the row's new count of it, 0 if it has gone.
-    The newest batch's word on a term and row is what holds. Appended folders are merged in levels as histories are, and
-    what has gone is left out of the oldest. A search reads the buckets of its terms and nothing of the documents; the
-    number of rows and their lengths stand in the manifest. A bucket's rows are dealt out to ``spread`` files, so that a
-    term that most rows hold is no single task's work. ``key`` is the documents' key, whose type ``schema`` tells.
+    A change appends its rows: for each term of a row's new version its count, for each of the old one 0. The newest
+    batch's word on a term and row is what holds, a count before a 0 of the same batch. Rows are dealt out once, as they are
+    written; a batch's numbers of rows and words are read from a folder of its own. Appended folders are merged in levels as
+    histories are, and what has gone is left out of the oldest. A search reads the buckets of its terms and nothing of the
+    documents; the number of rows and their lengths stand in the manifest. A bucket's rows are dealt out to ``spread``
+    files, so that a term that most rows hold is no single task's work. ``key`` is the documents' key, whose type
+    ``schema`` tells.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str, fields: Sequence[str], schema: T.StructType, n_buckets: int = 64, spread: int = 4) -> None:
@@ -106,25 +125,30 @@ class KeptIndex:
         self.rows = T.StructType().add("term", "string").add(key, schema[key].dataType).add("length", "integer").add("tf", "long").add("batch", "long")
 
     def _put(self, rows: DataFrame, path: str) -> None:
-        placed = rows.withColumn(BUCKET, bucket_of(F.col("term"), self.n_buckets))
+        placed = rows.withColumn(BUCKET, F.when(F.col("term").isNull(), _DOCUMENTS).otherwise(bucket_of(F.col("term"), self.n_buckets)))
         placed.repartition(BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.spread))).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
     def _newest(self, rows: DataFrame, oldest: bool = True) -> DataFrame:
-        one = rows.groupBy("term", self.key).agg(F.max_by(F.struct("length", "tf", "batch"), "batch").alias("r")).select("term", self.key, "r.*")
+        one = rows.filter("term IS NOT NULL").groupBy("term", self.key).agg(F.max_by(F.struct("length", "tf", "batch"), F.struct("batch", "tf")).alias("r")).select("term", self.key, "r.*")
         return one.filter("tf > 0") if oldest else one
 
+    def _changes(self, before: DataFrame, after: DataFrame, batch: int) -> DataFrame:
+        """Rows of a batch. Those with term null are the documents that go and come: -1 and 1 as tf, and their lengths."""
+        words = before.select(F.col(self.key), tokens(*self.fields).alias("words"))
+        terms = words.select(self.key, F.size("words").alias("size"), F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("words")).alias("terms"))
+        gone = terms.select(self.key, "size", F.explode_outer("terms").alias("term"))
+        of_row = F.col("term").isNull()
+        gone = gone.select("term", self.key, F.when(of_row, -F.col("size")).otherwise(0).alias("length"), F.when(of_row, -1).otherwise(0).cast("long").alias("tf"))
+        return gone.unionByName(_term_counts(after, self.key, self.fields)).withColumn("batch", F.lit(batch).cast("long")).select(*self.rows.names)
+
     def bring_forward(self, before: DataFrame, after: DataFrame, batch: int) -> None:
         """Take in a batch: changed rows as they were and as they are, each key at most once a side. A repeated batch changes nothing."""
         known = self.table.manifest() or self.table.start(self.rows, "term", self.n_buckets)
         if known.batch >= batch:
             return
-        gone = postings(before, self.key, self.fields).select("term", self.key, F.lit(0).alias("length"), F.lit(0).cast("long").alias("tf"))
-        new = postings(after, self.key, self.fields).select("term", self.key, "length", "tf")
-        both = gone.unionByName(new).groupBy("term", self.key).agg(F.max("length").alias("length"), F.max("tf").alias("tf")).withColumn("batch", F.lit(batch).cast("long"))
-        size = F.size(tokens(*self.fields))
-        counted = after.select(F.lit(1).alias("n"), size.alias("words")).unionByName(before.select(F.lit(-1).alias("n"), (-size).alias("words")))
-        more = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first().asDict()
-        folders = self.table.append(known, batch, both.select(*self.rows.names), self._put, self._newest)
+        folders = self.table.append(known, batch, self._changes(before, after, batch), self._put, self._newest)
+        came = self.table.history_of(replace(known, history=[(0, batch)]), self.rows, [_DOCUMENTS])
+        more = came.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first().asDict()
         self.table.publish(replace(known, batch=batch, history=folders, totals={k: known.totals.get(k, 0) + v for k, v in more.items()}))
         self.table.expire()
 

@@ -45,6 +45,24 @@ def test_kept_index_equals_a_full_scan_after_each_batch(spark, tmp_path, monkeyp
     assert index.search("absent", None).collect() == [] and index.search("", None).collect() == []
 
 
+def test_a_batch_of_the_kept_index_cuts_texts_once_and_deals_its_rows_out_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "FAN", 2)
+    index, plans = search.KeptIndex(spark, f"file://{tmp_path}", "id", ["text"], DOC, n_buckets=4, spread=2), []
+    put = index._put
+    monkeypatch.setattr(index, "_put", lambda rows, path: (plans.append((path, rows._jdf.queryExecution().executedPlan().toString())), put(rows, path)))
+    old, new = [(1, "a b a"), (2, None), (3, " - "), (4, "b")], [(1, "a a a c"), (3, "b b"), (5, "")]
+    sides = [spark.createDataFrame(rows, DOC).repartition(2).localCheckpoint() for rows in (old, new)]
+    index.bring_forward(sides[0].limit(0), sides[0], 0)
+    assert index.table.manifest().totals == {"rows": 4, "words": 4}
+    index.bring_forward(*sides, 1)
+    assert index.table.manifest().totals == {"rows": 3, "words": 6} and index.table.manifest().history == [(1, 1)]
+    held = [(r["term"], r["id"], r["length"], r["tf"]) for r in index.found("a b c").collect()]
+    assert sorted(held) == [("a", 1, 4, 3), ("b", 3, 2, 2), ("c", 1, 4, 1)]
+    plan = next(text for path, text in plans if path.endswith("/0-1")).split("== Initial Plan ==")[0]
+    assert "Exchange" not in plan and plan.count("split(") == 2  # once a side
+    assert not any("=-1" in f for f in spark.read.parquet(f"file://{tmp_path}/history/1-1").inputFiles())  # documents' rows are no part of what is kept
+
+
 def test_paths_through_arrays_of_objects(spark):
     rows = [(1, [(6, [1, 2]), (7, None)]), (2, [(5, [9])]), (3, None), (4, [None])]
     df = spark.createDataFrame(rows, "id long, lines array<struct<p:long,q:array<long>>>")
